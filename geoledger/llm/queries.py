@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import licenses, packing, token_files, warc
 from .common import scratch, table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    return warc.read_archives(spark, path)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token_ids")
     token_files.write_ids(table(spark, sf_dir, "documents"), path)
