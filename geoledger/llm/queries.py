@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, near_dedup, packing, pii, quality, token_files, warc
+from . import ann_search, exact_search, licenses, near_dedup, packing, pii, quality, token_files, warc
 from .common import scratch, table
 
 
@@ -14,6 +14,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
@@ -38,6 +42,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
