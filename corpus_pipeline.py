@@ -1,25 +1,59 @@
-"""The corpus pipeline: documents to packed sequences."""
+"""The corpus pipeline: documents to packed sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared folder and hands on
+what it reads back, so that a lost executor costs no earlier stage. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoledger.llm import mixing, near_dedup, packing, pii, quality
+from geoledger.llm.common import table, tune, written
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labelled documents among `docs`."""
+    tune(spark)
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, carry=others).filter("predicted = 1").select(docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays; rows repeated in full stay once."""
+    tune(spark)
+    dropped = near_dedup.link(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns).distinct()
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in brackets; other documents stay as they are."""
+    tune(spark)
+    return pii.mask(docs)
+
 
-from geoledger.llm import packing
-from geoledger.llm.common import tune, written
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document of several epochs is several rows."""
+    tune(spark)
+    return mixing.mix(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences."""
+    tune(spark)
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality", classify), ("near_dedup", deduplicate), ("pii", mask), ("mixing", mix), ("packing", pack)]
 
 #: The classifier, signatures and token ids aren't SQL: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

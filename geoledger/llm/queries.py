@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, exact_search, licenses, near_dedup, packing, pii, quality, token_files, warc
+from . import ann_search, exact_search, licenses, mixing, near_dedup, packing, pii, quality, token_files, warc
 from .common import scratch, table
 
 
@@ -28,6 +28,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mix_domain", "lang", "source", "mix_tokens", "mix_epoch")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token_ids")
     token_files.write_ids(table(spark, sf_dir, "documents"), path)
