@@ -2,13 +2,14 @@
 
 1. Texts to sets: 64-bit fingerprints of their distinct five-word shingles. Texts with equal sets are one node, so exact
    copies cost one row each, whatever their number.
-2. Bands: BANDS keys of ROWS minhashes each. In a bucket each node is a candidate with the bucket's smallest node only, not with
-   all others.
+2. Bands: BANDS keys of ROWS minhashes each. A bucket's hub is the node that meets most others over all its buckets, which in a group
+   of copies is the one nearest to their original. Each node is a candidate with the HUBS hubs that it shares most buckets with.
 3. Signatures of candidates are compared batch by batch; a pair is dropped once the posterior probability (uniform prior)
    that its similarity reaches the threshold is below MISS. Survivors are confirmed on their full sets.
-4. Connected components of the confirmed links. Buckets that still hold several components are taken again: nodes outside the
-   bucket's main component meet all others in blocks, inside tasks, and only Bayesian survivors leave them. Nodes of the
-   same component need no further link. So every pair that shares a bucket has been tested or is connected already.
+4. Connected components of the confirmed links. Buckets that still hold several components are taken again, whole: nodes outside
+   the hub's component meet all others in blocks, inside tasks, by the same test and confirmation, each pair in the first
+   bucket that it shares; only links that join components leave a task. So every pair that shares a bucket has been
+   tested or is connected already, and a group of near copies gives about as many rows as it has nodes.
 
 The chance that a pair at the threshold shares no band is (1 - 0.75^4)^32 = 5e-6, and falls steeply above it.
 
@@ -26,17 +27,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import empty_text, text_bytes, written
 
 WORDS, BANDS, ROWS = 5, 32, 4
 SIMILARITY_PERCENT = 75
 #: Hashes compared at once, and the chance at which a pair is given up.
 BATCH, MISS = 16, 1e-7
-#: Nodes of a block, where a bucket's nodes meet each other.
-BLOCK = 256
+#: Hubs that a node is tested with at first; nodes of a block, where a bucket's nodes meet each other.
+HUBS, BLOCK = 2, 256
 
 _LOWER = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b for b in range(256))
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,17 +153,18 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """node, key: a row for each band."""
+    """node, band, key: a row for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _as_rows(batch.column("signature").to_pylist(), batch.num_rows).astype(np.uint64)
-            keys = np.zeros((batch.num_rows, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+            bands = np.arange(BANDS, dtype=np.uint64)
+            keys = np.zeros((batch.num_rows, BANDS), np.uint64) + bands
             for r in range(ROWS):
                 keys = _mix(keys * np.uint64(_STEP) + sig[:, r::ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64))], ["node", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(np.tile(bands.astype(np.int32), batch.num_rows)), pa.array(keys.ravel().view(np.int64))], ["node", "band", "key"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "node long, key long")
+    return nodes.select("node", "signature").mapInArrow(run, "node long, band int, key long")
 
 
 def surviving(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,81 +181,93 @@ def surviving(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets reach the threshold. Only the sets of nodes in pairs are made again, from their texts."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """node, grams (sorted fingerprints) for the nodes in `needed`, made again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, sizes = shingle_sets(text_bytes(batch))
-            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "grams"])
+            grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), grams], ["node", "grams"])
 
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), empty_text()).join(needed, "node", "left_semi")
-    sets = written(texts.mapInArrow(run, "node long, grams array<long>"), "near-sets")
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), empty_text()).join(needed.select("node").distinct(), "node", "left_semi")
+    return texts.mapInArrow(run, "node long, grams array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     both = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     return both.filter(100 * shared >= SIMILARITY_PERCENT * (F.size("grams_a") + F.size("grams_b") - shared)).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for the nodes of edges (a, b): large-star and small-star steps until nothing changes."""
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = now
-
-
-def block_survivors(rows: DataFrame) -> DataFrame:
-    """rows: tile keys, node, component, signature, side. Inside a tile, nodes of side 0 meet those of the other side (or
-    one another, in a tile of one block) in other components; the pairs that survive leave it."""
+def hub_candidates(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with the hubs that it shares most buckets with. keys: node, key, meets."""
+    hubs = keys.groupBy("key").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("hub"))
+    shared = keys.join(hubs, "key").filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"), F.max("meets").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))
+    return shared.withColumn("r", rank).filter(F.col("r") <= HUBS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def tile_links(node, part, side, sig, sets, band: int) -> list[tuple[int, int]]:
+    """Links that join components of a tile: nodes of side 0 meet side 1, or one another where there is none. Pairs whose first
+    shared bucket is another band's are left to it. The most similar pairs, by their signatures, are confirmed first."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            x = y
+        return x
+
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    open_ = []
+    for n, i in enumerate(left):
+        other = right[n + 1 :] if alone else right
+        other = other[part[other] != part[i]]
+        other = other[likely(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other])]
+        same = sig[other] == sig[i]
+        first = same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band
+        open_ += [(int(m), int(i), int(j)) for m, j in zip(same[first].sum(1), other[first], strict=True)]
+    found = []
+    for _, i, j in sorted(open_, reverse=True):
+        a, b = find(part[i]), find(part[j])
+        if a != b:
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * shared >= SIMILARITY_PERCENT * (len(sets[i]) + len(sets[j]) - shared):
+                root[a] = b
+                found.append((min(node[i], node[j]), max(node[i], node[j])))
+    return found
+
+
+def remaining_links(keys: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) in buckets that hold several components. keys: node, band, key, meets."""
+    member = keys.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = member.groupBy("key").agg(F.max_by("component", F.struct("meets", -F.col("node"))).alias("main"), F.max("component").alias("hi"), F.min("component").alias("lo"))
+    member = member.join(sizes.filter("lo <> hi").select("key", "main"), "key").withColumn("outside", F.col("component") != F.col("main"))
+    counts = member.groupBy("key").agg(F.count_if("outside").alias("n_out"), F.count_if(~F.col("outside")).alias("n_main"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    member = written(member.join(counts.select("key", blocks("n_out").alias("b_out"), blocks("n_main").alias("b_main")), "key"), "near-open")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    struct = lambda a, b, side: F.struct(a.alias("tile_a"), b.alias("tile_b"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outside, main = member.filter("outside").withColumn("own", own("b_out")), member.filter("NOT outside").withColumn("own", own("b_main"))
+    # nodes outside meet each other in tiles of two of their blocks, and each block of the main component
+    among = F.transform(upto("b_out"), lambda j: struct(F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.col("own") > j))
+    against = F.transform(upto("b_main"), lambda j: struct(F.col("own"), -1 - j, F.lit(0)))
+    placed = outside.withColumn("t", F.explode(F.concat(among, against))).unionByName(main.withColumn("t", F.explode(F.transform(upto("b_out"), lambda j: struct(j, -1 - F.col("own"), F.lit(1))))))
+    rows = placed.select("key", "band", "node", "component", "t.*").join(nodes.select("node", "signature"), "node").join(sets, "node")
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        sig = _as_rows(tile["signature"], len(tile))
-        node, part, side = (tile[c].to_numpy() for c in ("node", "component", "side"))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        found = []
-        for i in left:
-            other = right[(part[right] != part[i]) & ((node[right] != node[i]))]
-            ok = other[likely(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other])]
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in ok]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+        tile = tile.sort_values("node", ignore_index=True)
+        sets = [np.asarray(g, np.int64) for g in tile["grams"]]
+        found = tile_links(tile["node"].to_numpy(), tile["component"].to_numpy(), tile["side"].to_numpy(), _as_rows(tile["signature"], len(tile)), sets, int(tile["band"][0]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "tile_a", "tile_b").applyInPandas(run, "a long, b long").distinct()
 
 
-def remaining(keys: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates in buckets that hold several components, but for those of a node with the bucket's smallest."""
-    member = keys.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = member.groupBy("key").agg(F.min_by("component", "node").alias("main"), F.min("node").alias("hub"), F.count("*").alias("n"), F.max("component").alias("hi"), F.min("component").alias("lo"))
-    sizes = sizes.filter("n > 2 AND lo <> hi").drop("n", "hi", "lo")
-    member = member.join(sizes, "key").withColumn("outside", F.col("component") != F.col("main"))
-    counts = member.groupBy("key").agg(F.count_if("outside").alias("n_out"), F.count_if(~F.col("outside")).alias("n_main"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    member = member.join(counts.select("key", blocks("n_out").alias("b_out"), blocks("n_main").alias("b_main"), (F.col("n_main") + F.col("n_out")).alias("n")), "key")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    outside = member.filter("outside").withColumn("own", own("b_out"))
-    # nodes outside meet each other in tiles of two blocks, and each block of the main component
-    tile = lambda a, b, side: F.struct(F.least(a, b).alias("tile_a"), F.greatest(a, b).alias("tile_b"), F.when(side, 1).otherwise(0).alias("side"))
-    among = outside.select("key", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("b_out") - 1), lambda j: tile(F.col("own"), j, F.col("own") > j))).alias("t"))
-    against = outside.filter("b_main > 0").select("key", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("b_main") - 1), lambda j: F.struct(F.col("own").alias("tile_a"), (-1 - j).alias("tile_b"), F.lit(0).alias("side")))).alias("t"))
-    main = member.filter("NOT outside AND node <> hub").withColumn("own", own("b_main"))
-    main = main.select("key", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("b_out") - 1), lambda j: F.struct(j.alias("tile_a"), (-1 - F.col("own")).alias("tile_b"), F.lit(1).alias("side")))).alias("t"))
-    rows = among.union(against).union(main).select("key", "node", "component", "t.*")
-    return block_survivors(rows.join(nodes.select("node", "signature"), "node"))
-
-
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
     rows = written(signed(docs), "near-signed")
@@ -261,13 +276,13 @@ def link(docs: DataFrame) -> DataFrame:
     sets = written(sets, "near-nodes")
     nodes = sets.groupBy("node").agg(F.min_by("signature", "set_key").alias("signature"))
     keys = band_keys(sets)
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
-    keys = written(keys.join(hubs, "key"), "near-keys")  # buckets of one node are gone
-    candidates = keys.filter("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(confirmed(written(surviving(candidates, nodes), "near-pairs"), docs), "near-links")
-    parts = components(links)
-    more = written(remaining(keys.select("key", "node"), parts, nodes), "near-rest")
-    more = confirmed(more.join(links, ["a", "b"], "left_anti"), docs)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    keys = written(keys.join(sizes, "key"), "near-buckets")  # buckets of one node are gone
+    meets = keys.groupBy("node").agg(F.sum("n").alias("meets"))
+    keys = written(keys.drop("n").join(meets, "node"), "near-keys")
+    grams = written(full_sets(docs, meets), "near-sets")
+    links = written(confirmed(written(surviving(hub_candidates(keys), nodes), "near-pairs"), grams), "near-links")
+    more = written(remaining_links(keys, components(links), nodes, grams), "near-rest")
     parts = components(links.union(more))
     by_set = sets.join(parts, "node", "left").select("set_key", F.coalesce("component", "node").alias("found"))
     out = rows.drop("signature").join(by_set, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))

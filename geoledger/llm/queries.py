@@ -59,5 +59,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {x.__name__: x for x in sorted(found, key=lambda x: int(x.__name__[2:].split("_")[0]))}
 
 
+BASE32 = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), 'string_agg', '')"
+
 #: Where SQL can express the rows.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
+    "op3_warc": f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, from_hex(sha1(coalesce(html, '')))::BIT::VARCHAR AS b FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url, CASE WHEN page_id = first THEN CAST(greatest(ceil(strlen(html) / 1048576.0), 1) AS BIGINT) ELSE 1 END AS n_chunks FROM p""",
+    "op4_near_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 75 * (x.n + y.n - both_n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(least, w.doc_id)) AS component_id, w.doc_id <= coalesce(least, w.doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op5_mixing": """
+WITH d AS (SELECT doc_id, lang, source, text, CASE WHEN length(source) <= 4 THEN 'web' ELSE 'curated' END AS dom, CAST(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), ' +')) END AS BIGINT) AS t FROM documents WHERE trim(coalesce(text, '')) <> ''),
+leaf AS (SELECT dom, lang, source, sum(t)::DOUBLE AS t FROM d GROUP BY ALL),
+n1 AS (SELECT dom, sum(t) * 2 AS cap, pow(sum(t), 0.7::DOUBLE) AS w, (SELECT floor(sum(t) * 0.9::DOUBLE) FROM leaf) AS given FROM leaf GROUP BY 1),
+u1 AS (SELECT *, (given - coalesce(sum(cap) OVER (ORDER BY cap / w, dom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, dom ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM n1),
+s1 AS (SELECT dom, coalesce(least(cap, w * max(CASE WHEN cap > unit * w THEN unit END) OVER ()), cap) AS share FROM u1),
+n2 AS (SELECT dom, lang, sum(t) * 2 AS cap, pow(sum(t), 0.7::DOUBLE) AS w, any_value(share) AS given FROM leaf JOIN s1 USING (dom) GROUP BY 1, 2),
+u2 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY dom ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY dom ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM n2),
+s2 AS (SELECT dom, lang, coalesce(least(cap, w * max(CASE WHEN cap > unit * w THEN unit END) OVER (PARTITION BY dom)), cap) AS share FROM u2),
+n3 AS (SELECT dom, lang, source, t, t * 2 AS cap, pow(t, 0.7::DOUBLE) AS w, share AS given FROM leaf JOIN s2 USING (dom, lang)),
+u3 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY dom, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY dom, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM n3),
+s3 AS (SELECT dom, lang, source, t, CAST(floor(coalesce(least(cap, w * max(CASE WHEN cap > unit * w THEN unit END) OVER (PARTITION BY dom, lang)), cap)) AS BIGINT) AS budget FROM u3),
+b AS (SELECT dom, lang, source, CAST(least(floor(budget / t), 2) AS INTEGER) AS whole, CASE WHEN floor(budget / t) < 2 THEN budget - CAST(floor(budget / t) * t AS BIGINT) ELSE 0 END AS rest FROM s3),
+o AS (SELECT doc_id, dom, lang, source, d.t, whole, rest, coalesce(sum(d.t) OVER (PARTITION BY dom, lang, source ORDER BY md5('mix-1:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM d JOIN b USING (dom, lang, source))
+SELECT doc_id, dom AS mix_domain, lang, source, t AS mix_tokens, CAST(unnest(range(whole)) AS INTEGER) AS mix_epoch FROM o WHERE whole > 0
+UNION ALL SELECT doc_id, dom, lang, source, t, whole FROM o WHERE earlier < rest""",
+}
