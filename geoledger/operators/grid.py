@@ -73,7 +73,7 @@ def coverage(mask: DataFrame, predictions: DataFrame, least: float = 0.0, most:
 
 def text_matrix(mask: DataFrame, predictions: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """row, line: the matrix as text, six decimals, zero outside the mask; a row is one group of `shape[1]` cells at most."""
-    spine = mask.sparkSession.range(shape[0]).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(shape[1] - 1))).cast("long").alias("col"))
+    spine = mask.sparkSession.range(shape[0]).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[1] - 1).cast("long"))).alias("col"))
     active = mask.filter("value <> 0").select("row", "col", F.lit(True).alias("active"))
     cells = spine.join(active, ["row", "col"], "left").join(predictions.select("row", "col", "prediction"), ["row", "col"], "left")
     cells = cells.withColumn("v", F.when(F.col("active"), F.col("prediction")).otherwise(0.0))

@@ -68,7 +68,7 @@ def legend(spark: SparkSession, path: str) -> DataFrame:
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """JSON with comment lines and trailing commas."""
-    text = spark.read.option("wholetext", "true").text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     return json.loads(re.sub(r",(\s*[}\]])", r"\1", re.sub(r"(?m)^\s*//.*$", "", text)))
 
 
