@@ -68,7 +68,7 @@ def test_config_and_digests(spark, tmp_path):
     (tmp_path / "l.tsv").write_text("symbol\tname\nA\tx\nA\ty\nB\tz\n")
     assert tables.legend(spark, str(tmp_path / "l.tsv")).count() == 2
     digests = tables.content_digests(spark, str(tmp_path / "l.tsv")).first()
-    assert digests.size == 20 and len(digests.sha256) == 64
+    assert digests.size == 24 and len(digests.sha256) == 64
 
 
 def test_chunk_policies(spark, tmp_path):
