@@ -16,9 +16,7 @@ from geoledger.llm.common import table, tune, written
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labelled documents among `docs`."""
     tune(spark)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, carry=others).filter("predicted = 1").select(docs.columns)
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,8 @@ def budgets(leaves: DataFrame, levels: tuple[str, ...], budget: Column, epochs:
 
 def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, power: float = POWER, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The selected documents, with mix_epoch (from 0), mix_domain and mix_tokens; a document of several epochs is several rows."""
-    rows = docs.withColumns({"mix_domain": domain_of(F.col("source")), "mix_tokens": tokens_of(F.coalesce("text", F.lit("")))}).filter("mix_tokens > 0")
+    # the documents' own columns stay in a struct, apart from those that are added here
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "lang", "source", domain_of(F.col("source")).alias("mix_domain"), tokens_of(F.coalesce("text", F.lit(""))).alias("mix_tokens")).filter("mix_tokens > 0")
     keyed = [F.col("mix_domain").alias("domain"), "lang", "source"]
     leaves = rows.groupBy(*keyed).agg(F.sum("mix_tokens").alias("tokens"))
     whole = leaves.agg(F.sum("tokens").alias("all_tokens"))
@@ -80,7 +81,8 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str =
     at = at.join(edge, [F.col(c).eqNullSafe(F.col(f"edge_{c}")) for c in leaf], "left")
     always = at.filter("whole_epochs > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("whole_epochs") - 1)))
     lower = at.filter("rest > 0 AND (edge_bucket IS NULL OR mix_bucket < edge_bucket)").withColumn("mix_epoch", F.col("whole_epochs"))
-    order = Window.partitionBy(*leaf).orderBy("mix_hash", F.col("doc_id").asc_nulls_first(), "mix_tokens", "text").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*leaf).orderBy("mix_hash", F.col("doc_id").asc_nulls_first(), "mix_tokens", F.col("row.text")).rowsBetween(Window.unboundedPreceding, -1)
     last = at.filter("rest > 0 AND mix_bucket = edge_bucket").withColumn("earlier", F.coalesce(F.sum("mix_tokens").over(order), F.lit(0))).filter("earlier < edge_rest").withColumn("mix_epoch", F.col("whole_epochs")).drop("earlier")
-    out = [*docs.columns, "mix_domain", "mix_tokens", F.col("mix_epoch").cast("int").alias("mix_epoch")]
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_domain", "mix_tokens", "mix_epoch")]
+    out = [*own, "mix_domain", "mix_tokens", F.col("mix_epoch").cast("int").alias("mix_epoch")]
     return always.select(out).unionByName(lower.select(out)).unionByName(last.select(out))

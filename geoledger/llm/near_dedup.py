@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -209,9 +208,44 @@ def hub_candidates(keys: DataFrame) -> DataFrame:
     return shared.withColumn("r", rank).filter(F.col("r") <= HUBS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of sets `rows` with sets `columns`: products of indicator matrices, `width` fingerprints at a time."""
+    used = np.unique(np.concatenate([rows, columns]))
+    flat, owner = np.concatenate([sets[i] for i in used]), np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    _, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    common = n > 1  # a fingerprint of one set is in no intersection
+    place, owner = (np.cumsum(common) - 1)[place[common[place]]], owner[common[place]]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    at, other = np.searchsorted(used, rows), np.searchsorted(used, columns)
+    total = np.zeros((len(rows), len(columns)), np.float32)
+    for start in range(0, int(common.sum()), width):
+        part = slice(*np.searchsorted(place, [start, start + width]))
+        has = np.zeros((len(used), width), np.float32)
+        has[owner[part], place[part] - start] = 1
+        total += has[at] @ has[other].T
+    return total.astype(np.int64)
+
+
 def tile_links(node, part, side, sig, sets, band: int) -> list[tuple[int, int]]:
     """Links that join components of a tile: nodes of side 0 meet side 1, or one another where there is none. Pairs whose first
     shared bucket is another band's are left to it. The most similar pairs, by their signatures, are confirmed first."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    open_: list[tuple[int, int, int]] = []
+    for n, i in enumerate(left):
+        other = left[n + 1 :] if alone else right
+        other = other[part[other] != part[i]]
+        same = sig[other] == sig[i]
+        mine = same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band
+        other, same = other[mine], same[mine]
+        ok = likely(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other]) if len(other) else mine[:0]
+        open_ += zip(same[ok].sum(1).tolist(), [int(i)] * int(ok.sum()), other[ok].tolist(), strict=True)
+    if not open_:
+        return []
+    open_.sort(reverse=True)
+    rows, columns = (np.unique([x[k] for x in open_]) for k in (1, 2))
+    both = shared_counts(sets, rows, columns)[np.searchsorted(rows, [x[1] for x in open_]), np.searchsorted(columns, [x[2] for x in open_])].tolist()
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -219,25 +253,11 @@ def tile_links(node, part, side, sig, sets, band: int) -> list[tuple[int, int]]:
             x = y
         return x
 
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = not len(right)
-    right = left if alone else right
-    open_ = []
-    for n, i in enumerate(left):
-        other = right[n + 1 :] if alone else right
-        other = other[part[other] != part[i]]
-        other = other[likely(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other])]
-        same = sig[other] == sig[i]
-        first = same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band
-        open_ += [(int(m), int(i), int(j)) for m, j in zip(same[first].sum(1), other[first], strict=True)]
     found = []
-    for _, i, j in sorted(open_, reverse=True):
-        a, b = find(part[i]), find(part[j])
-        if a != b:
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= SIMILARITY_PERCENT * (len(sets[i]) + len(sets[j]) - shared):
-                root[a] = b
-                found.append((min(node[i], node[j]), max(node[i], node[j])))
+    for (_, i, j), shared in zip(open_, both, strict=True):
+        if 100 * shared >= SIMILARITY_PERCENT * (len(sets[i]) + len(sets[j]) - shared) and (a := find(part[i])) != (b := find(part[j])):
+            root[a] = b
+            found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
     return found
 
 
@@ -257,15 +277,45 @@ def remaining_links(keys: DataFrame, parts: DataFrame, nodes: DataFrame, sets: D
     among = F.transform(upto("b_out"), lambda j: struct(F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.col("own") > j))
     against = F.transform(upto("b_main"), lambda j: struct(F.col("own"), -1 - j, F.lit(0)))
     placed = outside.withColumn("t", F.explode(F.concat(among, against))).unionByName(main.withColumn("t", F.explode(F.transform(upto("b_out"), lambda j: struct(j, -1 - F.col("own"), F.lit(1))))))
-    rows = placed.select("key", "band", "node", "component", "t.*").join(nodes.select("node", "signature"), "node").join(sets, "node")
+    tile = ["key", "tile_a", "tile_b"]
+    rows = placed.select("key", "band", "node", "component", "t.*")
+    rows = rows.join(nodes.select("node", "signature"), "node").join(sets, "node").repartition(*tile).sortWithinPartitions(*tile, "node")
 
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("node", ignore_index=True)
-        sets = [np.asarray(g, np.int64) for g in tile["grams"]]
-        found = tile_links(tile["node"].to_numpy(), tile["component"].to_numpy(), tile["side"].to_numpy(), _as_rows(tile["signature"], len(tile)), sets, int(tile["band"][0]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles lie one after the other; the one that a batch ends in is held."""
+        held: list[tuple] = []
+
+        def links() -> list[tuple[int, int]]:
+            node, part, side, sig = (np.concatenate([h[k] for h in held]) for k in range(4))
+            return tile_links(node, part, side, sig, [g for h in held for g in h[4]], held[0][5])
 
-    return rows.groupBy("key", "tile_a", "tile_b").applyInPandas(run, "a long, b long").distinct()
+        current = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            marks = np.stack([batch.column(c).to_numpy() for c in tile], 1)
+            node, part, side, bands = (batch.column(c).to_numpy() for c in ("node", "component", "side", "band"))
+            sig, grams = _as_rows(batch.column("signature").to_pylist(), batch.num_rows), batch.column("grams")
+            offsets, values = grams.offsets.to_numpy(), grams.values.to_numpy()
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(marks)], strict=True):
+                mark = tuple(marks[a].tolist())
+                if mark != current and held:
+                    found += links()
+                    held = []
+                current = mark
+                held.append((node[a:b], part[a:b], side[a:b], sig[a:b], [values[offsets[i] : offsets[i + 1]] for i in range(a, b)], int(bands[a])))
+            yield _pairs(found)
+        if held:
+            yield _pairs(links())
+
+    return rows.select(*tile, "band", "node", "component", "side", "signature", "grams").mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def link(docs: DataFrame) -> DataFrame:

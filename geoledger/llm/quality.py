@@ -183,25 +183,35 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> M
     n = usable.count()
     parts = 1 << 20
     sample = usable.filter(F.pmod(F.xxhash64("label_id"), F.lit(parts)) < int(parts * min(1.0, 0.95 * most_rows / max(n, 1)) + 1)).limit(most_rows)
-    found = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # at most most_rows rows of two numbers
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # at most most_rows rows of two numbers
     rows = _with_features(found, "quality").limit(2 * most_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], float))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and predicted; carry: columns of docs that stay."""
-    kept = docs.select("doc_id", empty_text().alias("scored_text"), *carry)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "scored_text"] + ["score double", "predicted int"])
+def _scores(batch_texts: list[str], model: Model) -> np.ndarray:
+    return model.scores(np.array([features(t) for t in batch_texts]).reshape(len(batch_texts), len(FEATURES)))
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = _scores(texts(batch), model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return docs.select("doc_id", empty_text()).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are predicted good, with the columns that they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in texts(batch, "scored_text")]).reshape(batch.num_rows, len(FEATURES))
-            s = model.scores(x)
-            names = [c for c in batch.schema.names if c != "scored_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield batch.filter(pa.array(_scores(texts(batch), model) >= threshold))
 
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

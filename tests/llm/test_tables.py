@@ -116,7 +116,8 @@ def test_budgets_go_to_siblings_first(spark):
 
 def test_mix_takes_prefixes(spark):
     rows = [(i, "w " * (1 + i % 7), lang, source) for i, (lang, source) in enumerate([("en", "src1")] * 60 + [("de", "src12")] * 20 + [(None, None)] * 5)] + [(900, None, "en", "src1"), (901, "", "en", "src1")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows = [(*r, 1, 2, "x", "y", 3) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int, rest int, budget string, leaf_lang string, mix_tokens int")
     out = mixing.mix(docs, share=0.5).collect()
     again = mixing.mix(docs.repartition(7), share=0.5).collect()
     key = lambda r: (r.doc_id, r.mix_epoch)

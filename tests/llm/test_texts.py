@@ -163,6 +163,8 @@ def test_quality_held_out(spark):
     held = [r for r in rows if r.held_out and r.doc_id < 350]
     assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(r.predicted == int(r.doc_id < 250) for r in held)
+    kept = quality.keep(docs, quality.train(docs, labels))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.predicted}
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows) and len(rows) == 352
 
 
