@@ -3,7 +3,8 @@
 The neighbour graph of a bounded sample (SAMPLE vectors) is cut into balanced parts: seeds far apart grow over the graph under a
 size limit, then nodes move to the part of most of their neighbours while sizes allow it. A small softmax classifier learns to tell
 the part from the vector. Every row is indexed under its most probable part; a query goes to its most probable parts, as many as
-hold PROBED of the probability but at least LEAST_PARTS, and the rows there are reranked by the exact inner product.
+hold PROBED of the probability but at least LEAST_PARTS, and the rows there are reranked by the exact inner product. The first
+LEAST_PARTS parts give a query its k-th score so far; from the others only rows that reach it leave their task.
 
 A part's rows lie in blocks of at most about BLOCK rows, so that a part with a third of all rows is many rows of the join. The
 parts grow in number with the table. Defined results: vectors that are null, zero or hold null or non-finite components take no
@@ -19,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .vectors import best_rows, finite_vectors
 
 SAMPLE, GRAPH_DEGREE, PART_ROWS, MOST_PARTS = 6000, 16, 1024, 64
-PROBED, LEAST_PARTS, QUERY_BLOCK, BLOCK = 0.98, 4, 512, 4096
+PROBED, LEAST_PARTS, QUERY_BLOCK, BLOCK = 0.95, 4, 512, 4096
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -123,16 +124,18 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def rerank(qi, q, ci, c, k: int) -> Iterator[tuple[int, int, float]]:
+def rerank(qi, q, floor, ci, c, k: int) -> Iterator[tuple[int, int, float]]:
+    """The k best of each query that reach its floor."""
     rough = q @ c.T
     off = 1e-9 * (1 + np.abs(q).max() * np.abs(c).max() * q.shape[1])
     for a in range(len(qi)):
         s = np.where(ci == qi[a], -np.inf, rough[a])
-        least = np.partition(s, -k)[-k] - off if len(s) > k else -np.inf
+        least = max(floor[a], np.partition(s, -k)[-k] if len(s) > k else -np.inf) - off
         near = np.flatnonzero((s >= least) & (ci != qi[a]))
         score = exact_scores(q[a], c[near])
         for i in np.lexsort((ci[near], -score))[:k]:
-            yield int(qi[a]), int(ci[near[i]]), float(score[i])
+            if score[i] >= floor[a]:
+                yield int(qi[a]), int(ci[near[i]]), float(score[i])
 
 
 def search(embeddings: DataFrame, every: int, k: int) -> DataFrame:
@@ -167,8 +170,8 @@ def search(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     n_blocks = max(1, math.ceil(n / every / QUERY_BLOCK))
 
     def found(probed: DataFrame) -> DataFrame:
-        """Query blocks of each part, with each block of it."""
-        mine = probed.groupBy("part", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(n_blocks)).alias("q_block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("q"))
+        """probed: part, vec_id, vector, floor. Query blocks of each part, with each block of it."""
+        mine = probed.groupBy("part", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(n_blocks)).alias("q_block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", "floor"))).alias("q"))
         mine = mine.withColumn("block", F.explode(F.sequence(F.lit(0), block_count[F.col("part")] - 1)))
         return mine.join(blocks, ["part", "block"]).select("q", "r").mapInArrow(tile, "query_id long, vec_id long, score double")
 
@@ -176,14 +179,19 @@ def search(embeddings: DataFrame, every: int, k: int) -> DataFrame:
         for batch in batches:
             for q, r in zip(batch.column("q"), batch.column("r"), strict=True):
                 (qi, qx), (ci, cx) = ((v.values.field("vec_id").to_numpy(), v.values.field("vector").flatten().to_numpy()) for v in (q, r))
-                best = list(zip(*rerank(qi, qx.reshape(len(qi), -1), ci, cx.reshape(len(ci), -1), k), strict=True)) or [(), (), ()]
+                best = list(zip(*rerank(qi, qx.reshape(len(qi), -1), q.values.field("floor").to_numpy(), ci, cx.reshape(len(ci), -1), k), strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(best[0], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    first = written(best_rows(found(queries.select("vec_id", "vector", F.explode("parts").alias("part"))), k), "ann-found")
-    if not sizes:
-        return first
+    def probe(rows: DataFrame, parts: Column) -> DataFrame:
+        return rows.select("vec_id", "vector", "floor", F.explode(parts).alias("part"))
+
+    none = F.lit(float("-inf"))
+    first = written(best_rows(found(probe(queries.withColumn("floor", none), F.slice("parts", 1, LEAST_PARTS))), k), "ann-first")
+    floors = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
+    others = queries.filter(F.size("parts") > LEAST_PARTS).join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reached", none))
+    more = found(probe(others, F.slice("parts", LEAST_PARTS + 1, MOST_PARTS)))
+    both = written(best_rows(first.drop("rank").unionByName(more), k), "ann-found")
     # queries whose parts hold fewer than k rows are searched everywhere
-    short = queries.join(first.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= min(k, n - 1)), "vec_id", "left_anti")
-    everywhere = short.select("vec_id", "vector", F.explode(F.array(*(F.lit(p) for p in sorted(sizes)))).alias("part"))
-    again = best_rows(found(everywhere), k)
-    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    short = queries.join(both.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= min(k, n - 1)), "vec_id", "left_anti")
+    everywhere = probe(short.withColumn("floor", none), F.array(*(F.lit(p) for p in sorted(sizes))) if sizes else F.col("parts"))
+    return both.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(best_rows(found(everywhere), k))
