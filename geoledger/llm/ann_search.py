@@ -144,19 +144,18 @@ def search(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     vectors = written(vectors, "ann-vectors")
     n = vectors.count()
     sample = vectors.select("vector", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).collect()
-    router = Router(np.array([r.vector for r in sample]).reshape(len(sample), -1), min(MOST_PARTS, max(1, n // PART_ROWS)))
-    rows = lambda batch: batch.column("vector").combine_chunks() if hasattr(batch.column("vector"), "combine_chunks") else batch.column("vector")
+    router = Router(np.array([r.vector for r in sample]).reshape(len(sample), -1 if sample else 0), min(MOST_PARTS, max(1, n // PART_ROWS)))
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = rows(batch).flatten().to_numpy().reshape(batch.num_rows, -1)
+                x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(router.home(x), pa.int32()), batch.column("vec_id"), batch.column("vector")], ["part", "vec_id", "vector"])
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = rows(batch).flatten().to_numpy().reshape(batch.num_rows, -1)
+                x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(router.probes(x), pa.list_(pa.int32())), batch.column("vec_id"), batch.column("vector")], ["parts", "vec_id", "vector"])
 
     indexed = written(vectors.mapInArrow(at_home, "part int, vec_id long, vector array<double>"), "ann-index")
