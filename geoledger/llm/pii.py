@@ -177,11 +177,13 @@ def fit(graphs: list[Graph], rounds: int = 120, rate: float = 0.3, l2: float = 1
     np.add.at(right, c[:, 0], one[c[:, 1]])
     np.add.at(near, s[:, 0], one[s[:, 1]])
     np.add.at(near, s[:, 1], one[s[:, 0]])
+    # whether a node that is tied to a labelled one, but has no label, is personal data is what the field is to tell
+    known = ((y > 0) | (near[:, 1:].sum(1) == 0))[:, None]
     sums = [np.full(p.shape, 1e-3) for p in (unary, chain, skip)]
     for _ in range(rounds):
         z = unary[x].sum(1) + left @ chain + right @ chain.T + near @ skip
         p = np.exp(z - z.max(1, keepdims=True))
-        r = (one - p / p.sum(1, keepdims=True)) / len(y)
+        r = known * (one - p / p.sum(1, keepdims=True)) / len(y)
         du = np.stack([np.bincount(x.ravel(), np.repeat(r[:, k], x.shape[1]), HASHED) for k in range(N)], 1)
         ds = near.T @ r
         for param, step, total in zip((unary, chain, skip), (du, left.T @ r + (right.T @ r).T, (ds + ds.T) / 2), sums, strict=True):
