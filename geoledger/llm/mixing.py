@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Share of the corpus' tokens that is asked for, epochs allowed, seed, and the power of a node's tokens that is its weight.
 SHARE, EPOCHS, SEED, POWER = 0.9, 2, "mix-1", 0.7
 LEVELS = ("domain", "lang", "source")
@@ -71,18 +73,25 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str =
     planned = planned.select(F.col("domain").alias("leaf_domain"), F.col("lang").alias("leaf_lang"), F.col("source").alias("leaf_source"), F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(epochs)).cast("int").alias("whole_epochs"), F.col("budget"), F.col("tokens"))
     planned = planned.withColumn("rest", F.when(F.col("whole_epochs") < epochs, F.col("budget") - F.col("whole_epochs") * F.col("tokens")).otherwise(0))
 
-    same = F.col("mix_domain").eqNullSafe(F.col("leaf_domain")) & F.col("lang").eqNullSafe(F.col("leaf_lang")) & F.col("source").eqNullSafe(F.col("leaf_source"))
+    planned = written(planned, "mix-planned")  # a row for each leaf
     leaf = ["leaf_domain", "leaf_lang", "leaf_source"]
-    at = rows.join(planned, same).withColumn("mix_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    at = at.withColumn("mix_bucket", F.substring("mix_hash", 1, DIGITS))
-    sums = at.groupBy(*leaf, "rest", "mix_bucket").agg(F.sum("mix_tokens").alias("bucket_tokens"))
+
+    def hashed(frame: DataFrame, plan: DataFrame) -> DataFrame:
+        same = F.col("mix_domain").eqNullSafe(F.col("leaf_domain")) & F.col("lang").eqNullSafe(F.col("leaf_lang")) & F.col("source").eqNullSafe(F.col("leaf_source"))
+        text = F.concat_ws(":", F.lit(seed), F.col("whole_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        return frame.join(plan, same).withColumn("mix_hash", F.md5(text.cast("binary"))).withColumn("mix_bucket", F.substring("mix_hash", 1, DIGITS))
+
+    sums = hashed(rows.drop("row"), planned).groupBy(*leaf, "rest", "mix_bucket").agg(F.sum("mix_tokens").alias("bucket_tokens"))
     sums = sums.withColumn("upto", F.sum("bucket_tokens").over(Window.partitionBy(*leaf).orderBy("mix_bucket")))
     edge = sums.filter("upto > rest AND upto - bucket_tokens <= rest").select(*(F.col(c).alias(f"edge_{c}") for c in leaf), F.col("mix_bucket").alias("edge_bucket"), (F.col("rest") - (F.col("upto") - F.col("bucket_tokens"))).alias("edge_rest"))
-    at = at.join(edge, [F.col(c).eqNullSafe(F.col(f"edge_{c}")) for c in leaf], "left")
-    always = at.filter("whole_epochs > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("whole_epochs") - 1)))
-    lower = at.filter("rest > 0 AND (edge_bucket IS NULL OR mix_bucket < edge_bucket)").withColumn("mix_epoch", F.col("whole_epochs"))
+    plan = written(planned.join(edge, [F.col(c).eqNullSafe(F.col(f"edge_{c}")) for c in leaf], "left"), "mix-plan")
+
+    at = hashed(rows, plan)
+    below = (F.col("rest") > 0) & (F.col("edge_bucket").isNull() | (F.col("mix_bucket") < F.col("edge_bucket")))
+    whole = F.when(F.col("whole_epochs") > 0, F.sequence(F.lit(0), F.col("whole_epochs") - 1)).otherwise(F.array().cast("array<int>"))
+    taken = at.withColumn("mix_epoch", F.explode(F.concat(whole, F.when(below, F.array("whole_epochs")).otherwise(F.array().cast("array<int>")))))
     order = Window.partitionBy(*leaf).orderBy("mix_hash", F.col("doc_id").asc_nulls_first(), "mix_tokens", F.col("row.text")).rowsBetween(Window.unboundedPreceding, -1)
-    last = at.filter("rest > 0 AND mix_bucket = edge_bucket").withColumn("earlier", F.coalesce(F.sum("mix_tokens").over(order), F.lit(0))).filter("earlier < edge_rest").withColumn("mix_epoch", F.col("whole_epochs")).drop("earlier")
+    last = at.filter("rest > 0 AND mix_bucket = edge_bucket").repartition(*leaf).withColumn("earlier", F.coalesce(F.sum("mix_tokens").over(order), F.lit(0))).filter("earlier < edge_rest").withColumn("mix_epoch", F.col("whole_epochs"))
     own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_domain", "mix_tokens", "mix_epoch")]
     out = [*own, "mix_domain", "mix_tokens", F.col("mix_epoch").cast("int").alias("mix_epoch")]
-    return always.select(out).unionByName(lower.select(out)).unionByName(last.select(out))
+    return taken.select(out).unionByName(last.select(out))
