@@ -45,9 +45,11 @@ def exclude_near(rows: DataFrame, heldout: DataFrame, tolerance: float, key: str
     return rows.join(near.select(key).distinct(), key, "left_anti")
 
 
-def nearest_reference(points: DataFrame, references: DataFrame, radius: float, key: str, reference_key: str) -> DataFrame:
-    """For each point: the nearest reference within the radius, its distance, and how many are within it."""
-    found = near_pairs(points, references, radius, key, reference_key).groupBy(key).agg(F.min(F.struct("distance", reference_key)).alias("best"), F.count("*").alias("n_within"))
+def nearest_reference(points: DataFrame, references: DataFrame, radius: float, key: str, reference_key: str, itself: bool = True) -> DataFrame:
+    """For each point: the nearest reference within the radius, its distance, and how many are within it. Unless `itself`, a
+    reference with the point's own key doesn't count."""
+    pairs = near_pairs(points, references, radius, key, reference_key)
+    found = (pairs if itself else pairs.filter(F.col(key) != F.col(reference_key))).groupBy(key).agg(F.min(F.struct("distance", reference_key)).alias("best"), F.count("*").alias("n_within"))
     return points.select(key).join(found, key, "left").select(key, F.col(f"best.{reference_key}").alias(f"nearest_{reference_key}"), F.col("best.distance").alias("nearest_distance"), F.coalesce("n_within", F.lit(0)).alias("n_within"))
 
 

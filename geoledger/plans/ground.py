@@ -45,8 +45,8 @@ ZONE = "zone AS (SELECT CAST(n_nationkey AS BIGINT) AS poly_id, 'Z' || (n_nation
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laboratory samples of the orders whose key leaves no remainder by 3, some a little off their hole, some without an interval."""
-    h = holes(spark, sf_dir).filter("hole_id % 3 = 0")
+    """A laboratory sample of each hole, some a little off their hole, some without an interval."""
+    h = holes(spark, sf_dir)
     off = F.when(F.col("hole_id") % 7 == 0, 5.0).otherwise(0.0)
     top = (F.col("hole_id") % 30).cast("double")
     bottom = F.when(F.col("hole_id") % 11 == 0, top - 1).otherwise(top + 4)

@@ -140,8 +140,8 @@ def nearest_event(spark, d):
 @query(f"WITH {HOLE}, p AS (SELECT * FROM hole WHERE hole_id % 7 = 1), t AS (SELECT hole_id AS ref_id, x, y FROM hole WHERE hole_id % 9 = 2), j AS (SELECT p.hole_id, ref_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS dist FROM p JOIN t ON abs(p.x - t.x) <= 1500 AND abs(p.y - t.y) <= 1500), b AS (SELECT hole_id, count(*) AS n, min(dist) AS d, arg_min(ref_id, (dist, ref_id)) AS ref_id FROM j WHERE dist <= 1500 GROUP BY 1) SELECT p.hole_id, ref_id AS nearest_ref_id, round(d, 6) AS nearest_distance, coalesce(n, 0) AS n_within FROM p LEFT JOIN b USING (hole_id)")
 def knn_hole(spark, d):
     h = ground.holes(spark, d)
-    refs = h.filter("hole_id % 9 = 2").select(F.col("hole_id").alias("ref_id"), "x", "y")
-    return joins.nearest_reference(h.filter("hole_id % 7 = 1"), refs, 1500.0, "hole_id", "ref_id").withColumn("nearest_distance", r6("nearest_distance"))
+    refs = h.select(F.col("hole_id").alias("ref_id"), "x", "y")
+    return joins.nearest_reference(h, refs, 1500.0, "hole_id", "ref_id", itself=False).withColumn("nearest_distance", r6("nearest_distance"))
 
 
 @query("SELECT p_type, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS weighted_mean, count(*) AS n, sum(l_quantity) AS weight_sum, min(l_extendedprice) AS value_min, max(l_extendedprice) AS value_max FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY p_type")
@@ -289,13 +289,13 @@ SITES = "site AS (SELECT o_custkey AS owner, hole_id, x, y, CAST(floor(x / 10000
 
 @query(f"WITH RECURSIVE {HOLE}, {SITES}, e AS (SELECT DISTINCT a.block AS a, b.block AS b FROM site a JOIN site b USING (owner)), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), g AS (SELECT a AS block, min(b) AS spatial_group FROM reach GROUP BY 1), t AS (SELECT hole_id, owner, block, spatial_group FROM site JOIN g USING (block)), {_ranked('s3', 'spatial_group', 't')} SELECT hole_id, owner, block, spatial_group, CAST(rank % 3 AS INTEGER) AS fold FROM t JOIN k USING (spatial_group)")
 def spatial_block_folds(spark, d):
-    owners = table(spark, d, "orders").filter("o_custkey % 40 = 0").select(F.col("o_orderkey").alias("hole_id"), F.col("o_custkey").alias("owner"))
+    owners = table(spark, d, "orders").select(F.col("o_orderkey").alias("hole_id"), F.col("o_custkey").alias("owner"))
     return splits.spatial_block_folds(ground.holes(spark, d).join(owners, "hole_id"), "owner", 10000.0, 3, "s3").select("hole_id", "owner", "block", "spatial_group", "fold")
 
 
 @query(f"WITH RECURSIVE {HOLE}, s AS (SELECT hole_id, x, y FROM hole WHERE hole_id % 4 = 1), e AS (SELECT a.hole_id AS a, b.hole_id AS b FROM s a JOIN s b ON abs(a.x - b.x) <= 600 AND abs(a.y - b.y) <= 600 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 600), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS hole_id, min(b) AS location FROM reach GROUP BY 1")
 def connected_components(spark, d):
-    return graph.location_groups(ground.holes(spark, d).filter("hole_id % 4 = 1"), 600.0, "hole_id")
+    return graph.location_groups(ground.holes(spark, d), 600.0, "hole_id")
 
 
 MESH = "q AS (SELECT hole_id, 122 + (hole_id * 7919 % 30000) / 1024.0::DOUBLE AS lon, 24 + (hole_id * 6131 % 20000) / 1024.0::DOUBLE AS lat FROM hole), q1 AS (SELECT *, floor(lat * 1.5) AS a1, floor(lon - 100) AS o1, (lat * 1.5 - floor(lat * 1.5)) * 8 AS fa, (lon - 100 - floor(lon - 100)) * 8 AS fo FROM q), q2 AS (SELECT *, least(floor(fa), 7) AS a2, least(floor(fo), 7) AS o2 FROM q1), q3 AS (SELECT *, (fa - a2) * 10 AS ga, (fo - o2) * 10 AS go FROM q2), q4 AS (SELECT *, least(floor(ga), 9) AS a3, least(floor(go), 9) AS o3 FROM q3), q5 AS (SELECT *, ga - a3 AS ha, go - o3 AS ho FROM q4)"
