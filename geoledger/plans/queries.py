@@ -64,8 +64,9 @@ WIDE = "wide AS (SELECT hole_id, max(CASE WHEN measurement_no = 1 THEN depth END
 @query(f"WITH {SPT}, {WIDE} SELECT hole_id, CAST(1 AS SMALLINT) AS measurement_no, d1 AS depth, round(n1, 6) AS n_value FROM wide UNION ALL SELECT hole_id, 2, d2, round(n2, 6) FROM wide UNION ALL SELECT hole_id, 3, d3, round(n3, 6) FROM wide")
 def wide_to_long(spark, d):
     m = ground.measurements(spark, d)
-    wide = m.groupBy("hole_id").agg(*(F.max(F.when(F.col("measurement_no") == i, F.col(v))).alias(f"{v[0]}{i}") for i in (1, 2, 3) for v in ("depth", "n_value")))
-    long = reshape.wide_to_long(wide, "hole_id", [(f"d{i}", f"n{i}") for i in (1, 2, 3)])
+    numbers = range(1, (m.agg(F.max("measurement_no")).first()[0] or 1) + 1)  # one number
+    wide = m.groupBy("hole_id").agg(*(F.max(F.when(F.col("measurement_no") == i, F.col(v))).alias(f"{v[0]}{i}") for i in numbers for v in ("depth", "n_value")))
+    long = reshape.wide_to_long(wide, "hole_id", [(f"d{i}", f"n{i}") for i in numbers])
     return long.select("hole_id", "measurement_no", "depth", r6("n_value").alias("n_value"))
 
 
@@ -166,7 +167,8 @@ def cumulative_thickness(spark, d):
 
 @query(f"WITH {THICK} SELECT p_type, " + ", ".join(f"coalesce(sum(CASE WHEN horizon = {i} THEN thickness END), 0) AS h{i}" for i in (1, 2, 3, 4)) + " FROM t GROUP BY p_type")
 def thickness_pivot(spark, d):
-    return _thickness(spark, d).groupBy("p_type").pivot("horizon", [1, 2, 3, 4]).agg(F.sum("thickness")).select("p_type", *(F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"h{i}") for i in (1, 2, 3, 4)))
+    horizons = [r.l_linenumber for r in table(spark, d, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]  # a row for each column of the result
+    return _thickness(spark, d).groupBy("p_type").pivot("horizon", horizons).agg(F.sum("thickness")).select("p_type", *(F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"h{i}") for i in horizons))
 
 
 @query("SELECT l_returnflag, round(avg(l_discount), 6) AS l_discount_mean, round(stddev_samp(l_discount), 6) AS l_discount_std, round(avg(l_tax), 6) AS l_tax_mean, round(stddev_samp(l_tax), 6) AS l_tax_std FROM lineitem GROUP BY 1")

@@ -85,3 +85,26 @@ def test_interval_match_of_every_hole(spark, small):
         else:
             want[k] = (("interval_mean" if k % 5 else "exact_depth_mean") if values else "no_spt_in_interval", len(values), round(sum(values) / len(values), 6) if values else None)
     assert found == want
+
+
+def test_wide_to_long_keeps_every_measurement(spark, small):
+    path, _, lines = small
+    rows = entry.queries()["wide_to_long"](spark, path).collect()
+    want = {(k, i): (q - 1, n / 1000) for k, _, _, i, q, n in lines}
+    most = max(i for _, i in want)
+    assert most == 9 and {(r.hole_id, r.measurement_no): (r.depth, r.n_value) for r in rows} == {(k, i): want.get((k, i), (None, None)) for k, _ in want for i in range(1, most + 1)}
+
+
+def test_thickness_pivot_has_every_horizon(spark, small):
+    path, _, lines = small
+    spark.createDataFrame([(i, f"type {i % 3}") for i in range(1, 21)], "p_partkey long, p_type string").write.mode("overwrite").parquet(f"{path}/part.parquet")
+    rows = entry.queries()["thickness_pivot"](spark, path).collect()
+    want = {f"type {t}": {f"h{i}": float(sum(q for _, p, _, j, q, _ in lines if j == i and p % 3 == t)) for i in range(1, 10)} for t in range(3)}
+    assert {r.p_type: {c: r[c] for c in r.asDict() if c != "p_type"} for r in rows} == want
+
+
+def test_reshapes_of_empty_tables(spark, small, tmp_path):
+    spark.read.parquet(f"{small[0]}/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert entry.queries()["wide_to_long"](spark, str(tmp_path)).count() == 0
+    assert entry.queries()["thickness_pivot"](spark, str(tmp_path)).count() == 0
