@@ -1,10 +1,10 @@
 """License scans by a positional rare-token index.
 
-The index holds, for each word of the license templates, its postings (template, position). A file's licence words with the
-highest IDF are looked up; an occurrence at word p of a word with posting (t, q) votes for template t at word p - q. Where
-enough different words agree on a place, the template's mandatory key phrases are verified there, and the share of its words
-that stand in their places is its score. Base phrases are templates that must match whole and everywhere: their rarest word is
-always looked up, so no place is missed. The IDF of a licence word is taken over all documents.
+The index holds, for the word of each template's mandatory key phrases with the highest IDF, its posting (template, phrase,
+position). A template stands at no place without that word, so each of its occurrences in a file is looked up, however many
+notices the file holds, and gives the template's places, up to SLACK words off. There all its key phrases are verified,
+and the share of its words that stand in their places is its score. Base phrases are templates that must match whole and
+everywhere: their rarest word is looked up alike, so no place is missed. The IDF of a licence word is taken over all documents.
 
 Defined results: null text is an empty text (no words, score 0); other columns play no part; repeated rows and null ids
 stay as they are; an empty table gives no rows.
@@ -43,8 +43,8 @@ TEMPLATES = {
     "unlicense": [("this is free and unencumbered software released into the public domain", ["unencumbered software"])],
 }
 
-#: Licence words looked up in a file, agreeing words that make a place a candidate, words that a key phrase may be off, and share of a template's words that must be in place.
-RARE_WORDS, AGREEING, SLACK, SHARE = 16, 3, 2, 0.6
+#: Words that a key phrase may be off, and share of a template's words that must be in place.
+SLACK, SHARE = 2, 0.6
 
 # Word characters are [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z; bytes from 0x80 on are parts of such characters.
 _FOLD = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -57,16 +57,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words; base phrases stand beside them."""
+    """The templates and the base phrases, by the rarest word that each must hold."""
 
     def __init__(self, base: dict[str, str], templates: dict[str, list]):
         self.templates = [(label, tuple(text.encode().split()), [_placed(text, key) for key in keys]) for label, texts in templates.items() for text, keys in texts]
         self.base = [(label, tuple(phrase.encode().split())) for phrase, label in base.items()]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for q, w in enumerate(words):
-                self.postings.setdefault(w, []).append((t, q))
-        self.vocabulary = frozenset(self.postings) | {w for _, phrase in self.base for w in phrase}
+        self.vocabulary = frozenset(w for _, words, _ in self.templates for w in words) | {w for _, phrase in self.base for w in phrase}
 
     def weigh(self, idf: dict[bytes, float]) -> None:
         self.idf = idf
@@ -74,15 +70,18 @@ class Index:
         for b, (_, phrase) in enumerate(self.base):
             q = max(range(len(phrase)), key=lambda i: (idf[phrase[i]], -i))
             self.anchors.setdefault(phrase[q], []).append((b, q))
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = {}  # rarest word of a template's key phrases: (template, phrase, its place in that)
+        for t, (_, _, keys) in enumerate(self.templates):
+            k, q = max(((k, q) for k, (_, key) in enumerate(keys) for q in range(len(key))), key=lambda x: (idf[keys[x[0]][1][x[1]]], -x[0], -x[1]))
+            self.postings.setdefault(keys[k][1][q], []).append((t, k, q))
+        self.rare = frozenset(self.anchors) | frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> tuple[list[int], list[str], list[tuple[str, int, float]]]:
         """Places of base phrases, their labels, and (label, word, share) of the templates found."""
-        present = self.vocabulary.intersection(words)
-        rare = set(sorted(present & self.postings.keys(), key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
-        look = rare | (present & self.anchors.keys())
-        if not present & self.anchors.keys() and len(rare) < AGREEING:
+        look = self.rare.intersection(words)
+        if not look:
             return [], [], []
-        places, labels, votes = [], set(), {}
+        places, labels, candidates = [], set(), set()
         for p, w in enumerate(words):
             if w in look:
                 for b, q in self.anchors.get(w, ()):
@@ -90,14 +89,12 @@ class Index:
                     if p >= q and tuple(words[p - q : p - q + len(phrase)]) == phrase:
                         places.append(p - q)
                         labels.add(label)
-                if w in rare:
-                    for t, q in self.postings[w]:
-                        if p >= q:
-                            votes.setdefault((t, p - q), set()).add(w)
+                for t, k, q in self.postings.get(w, ()):
+                    offset, key = self.templates[t][2][k]
+                    if p >= q and tuple(words[p - q : p - q + len(key)]) == key:
+                        candidates.update((t, p - q - offset - d) for d in range(-SLACK, SLACK + 1) if p - q - offset >= d)
         best: dict[str, tuple[float, int]] = {}
-        for (t, at), agreeing in votes.items():
-            if len(agreeing) < min(AGREEING, len(set(self.templates[t][1]))):
-                continue
+        for t, at in candidates:
             label, template, keys = self.templates[t]
             if all(any(tuple(words[max(0, at + q + d) : at + q + d + len(key)]) == key for d in range(-SLACK, SLACK + 1)) for q, key in keys):
                 share = sum(a == b for a, b in zip(words[at : at + len(template)], template, strict=False)) / len(template)
