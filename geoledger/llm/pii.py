@@ -5,6 +5,8 @@ node beside it, and skip potentials with distant tokens of the same digits or th
 each document then makes repeats agree. Nodes that a base pattern covers are fixed at its label, so that what the patterns
 find once is found again where it is written in another form. A repeated token is tied to its previous and to its first
 place only, so that a document's graph grows with its length. Similar is: the same last seven digits, or the same mailbox.
+A number may be written in groups: a run of nodes side by side (or in one base span) ends in a number of up to RUN_DIGITS digits,
+and the nodes of two runs are tied as far as their digits agree from the end on; a run is also tied to the last one in a base span.
 
 The potentials are learned by pseudo-likelihood from what the patterns label in a bounded sample of documents (SAMPLE_DOCS
 by a hash of the text, SAMPLE_NODES nodes of each). Base spans are always kept; the field adds spans that touch none of them.
@@ -30,6 +32,8 @@ from .common import empty_text, texts
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and nodes of one that the field is fitted on, at most; hashed features; probability from which a node is labelled.
 SAMPLE_DOCS, SAMPLE_NODES, HASHED, SURE = 4000, 200, 1 << 13, 0.8
+#: Digits of the longest number that is looked for in groups (a card's), and those that two runs must share at their ends.
+RUN_DIGITS, SHARED_DIGITS = 19, 7
 #: Log-odds that tied nodes share a kind, before any are seen in the sample.
 AGREE = 5.0
 
@@ -39,6 +43,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_GROUP = re.compile(r"[^\w@]*[0-9]+([().,/-]+[0-9]+)*[^\w@]*")
 _DIGIT, _NODE, _NOT_DIGIT, _SPACE = re.compile(r"[0-9]"), re.compile(r"[0-9@]"), re.compile(r"[^0-9]+"), re.compile(r"\s")
 
 Span = tuple[int, int, str]
@@ -114,6 +119,7 @@ def graph(text: str, base: list[Span]) -> Graph:
         places.append((start, end))
         at = end
     fixed, hashed, chain, skip, seen, k = [], [], [], [], {}, 0
+    said, joined, runs = [], [], {}  # a node's digits; whether the number may go on from the node before; last seven digits to runs
     for i, (a, b) in enumerate(places):
         while k < len(base) and base[k][1] <= a:
             k += 1
@@ -126,7 +132,15 @@ def graph(text: str, base: list[Span]) -> Graph:
         digits = _NOT_DIGIT.sub("", token)
         core = token.strip(".,;:!?()[]<>\"'").lower()
         mailbox = core.partition("@")[0] if "@" in core else ""
-        for key in {core if len(core) >= 6 else "", f"#{digits[-7:]}" if len(digits) >= 7 else "", f"@{mailbox}" if mailbox else ""} - {""}:
+        said.append(digits)
+        beside = i > 0 and (bool(chain and chain[-1] == (i - 1, i)) or (cover is not None and cover[0] < places[i - 1][1]))
+        joined.append(beside and _GROUP.fullmatch(token) is not None and _GROUP.fullmatch(text[slice(*places[i - 1])]) is not None and "+" not in token)
+        run = _run(said, joined, i)
+        if run and len(run[0]) >= SHARED_DIGITS:
+            first, before, based = runs.get(run[0][-SHARED_DIGITS:], (run, None, None))
+            skip += sorted({e for other in (first, before, based) if other and other is not run for e in _ties(other, run, other is based or cover is not None)})
+            runs[run[0][-SHARED_DIGITS:]] = (first, run, run if cover is not None else based)
+        for key in {core if len(core) >= 6 else "", f"@{mailbox}" if mailbox else ""} - {""}:
             if key in seen:
                 skip += [(j, i) for j in {seen[key][0], seen[key][1]}]
                 seen[key] = (seen[key][0], i)
@@ -135,6 +149,27 @@ def graph(text: str, base: list[Span]) -> Graph:
     return Graph(places, hashed, fixed, chain, skip)
 
 
+Run = tuple[str, list[tuple[int, int, int]]]
+
+
+def _run(said: list[str], joined: list[bool], last: int) -> Run:
+    """The digits of the longest number that ends with a node, and its nodes from there back: (node, digits after it, digits up to its start)."""
+    digits, nodes, i = said[last], [(last, 0, len(said[last]))], last
+    while joined[i] and len(digits) + len(said[i - 1]) <= RUN_DIGITS:
+        i -= 1
+        nodes.append((i, len(digits), len(digits) + len(said[i])))
+        digits = said[i] + digits
+    return digits, nodes
+
+
+def _ties(a: Run, b: Run, all_of_them: bool) -> list[tuple[int, int]]:
+    """Edges between the nodes of two runs that lie in the digits which both end with (of a compact number, the seven last are enough); only
+    between nodes that share a digit's place, unless all of them are to be tied."""
+    shared = next((n for n, (x, y) in enumerate(zip(reversed(a[0]), reversed(b[0]), strict=False)) if x != y), min(len(a[0]), len(b[0])))
+    (left, right) = ([(i, x, y) for i, x, y in nodes if y <= shared or x + SHARED_DIGITS <= shared] for _, nodes in (a, b))
+    return [(min(i, j), max(i, j)) for i, x, y in left for j, u, v in right if i != j and (all_of_them or (x < v and u < y))]
+
+
 def _hashed(token: str, before: list[str], after: list[str]) -> list[int]:
     """Ten features as numbers below HASHED."""
     core = token.strip(".,;:!?[]<>\"'")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from geoledger.llm import licenses
+from geoledger.llm import licenses, pii
 
 MIT = licenses.TEMPLATES["mit"][1][0]
 GPL = licenses.TEMPLATES["gpl-3.0"][1][0]
@@ -42,3 +42,32 @@ def test_templates_against_every_place():
         assert index.scan(text)[2] == [(label, -at, share) for label, (share, at) in sorted(best.items())]
         every += len(best)
     assert every > 150
+
+
+def spans(text, field):
+    (_, found), *_ = pii._spans([text], field)
+    return [(k, text[a:b]) for a, b, k in found]
+
+
+@pytest.fixture(scope="module")
+def field():
+    rng = random.Random(0)
+    train = [f"the quick +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} thing and ab{rng.randint(1, 99)}@mail.example.com or {rng.randint(0, 99)} items, {rng.randint(100, 999)} boxes in {rng.randint(1900, 2030)}." for _ in range(300)]
+    return pii.fit([pii.graph(t, pii.base_spans(t)) for t in train])
+
+
+@pytest.mark.parametrize("base", ["+1 988 555 2485", "+19885552485", "+1 (988) 555-2485", "+1 988  555  2485"])
+@pytest.mark.parametrize("again", ["988 555 2485", "9885552485", "98 85 55 24 85", "(988) 555 2485", "988 5552485"])
+def test_field_finds_repeats_in_groups(field, base, again):
+    want = [("phone", base), ("phone", again)]
+    assert spans(f"call {base} now and later dial {again} again; 42 items in 1999", field) == want
+    assert spans(f"first {again} is dialled, then they call {base} now; 42 items in 1999", field) == want[::-1]
+
+
+def test_numbers_beside_a_repeat_stay(field):
+    assert spans("call +1 988 555 2485 now and later one of 42 boxes; 123 items 2486 is none, 555 2485 is", field)[1:] == [("phone", "555 2485")]
+    assert spans("nothing like 988 555 2485 or 988 555 2485 here, 10 20 30 40 50", field) == []
+    found = spans("call +1 988 555 2485 now; later 988 555 2485, then 988 555 2485 and then 988 555 2485.", field)
+    assert [t for _, t in found] == ["+1 988 555 2485"] + ["988 555 2485"] * 3
+    text = "x " + "+1 988 555 2485 " * 300
+    assert len(pii.graph(text, pii.base_spans(text)).skip) < 100 * 300
