@@ -9,7 +9,7 @@ A number may be written in groups: a run of nodes side by side (or in one base s
 and the nodes of two runs are tied as far as their digits agree from the end on; a run is also tied to the last one in a base span.
 
 The potentials are learned by pseudo-likelihood from what the patterns label in a bounded sample of documents (SAMPLE_DOCS
-by a hash of the text, SAMPLE_NODES nodes of each). Base spans are always kept; the field adds spans that touch none of them.
+by a hash of the text, whole, as long as they hold SAMPLE_NODES nodes together). Base spans are always kept; the field adds spans that touch none of them.
 
 Defined results: null text is an empty text (no spans); repeated rows and null ids stay; an empty table gives no rows.
 """
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import empty_text, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents and nodes of one that the field is fitted on, at most; hashed features; probability from which a node is labelled.
-SAMPLE_DOCS, SAMPLE_NODES, HASHED, SURE = 4000, 200, 1 << 13, 0.8
+#: Documents and nodes of all of them that the field is fitted on, at most; hashed features; probability from which a node is labelled.
+SAMPLE_DOCS, SAMPLE_NODES, HASHED, SURE = 4000, 800_000, 1 << 13, 0.8
 #: Digits of the longest number that is looked for in groups (a card's), and those that two runs must share at their ends.
 RUN_DIGITS, SHARED_DIGITS = 19, 7
 #: Log-odds that tied nodes share a kind, before any are seen in the sample.
@@ -299,17 +299,19 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) < int(parts * min(1.0, 0.9 * sample_docs / max(n, 1)) + 1)).select(empty_text()).filter(F.col("text").rlike("[0-9@]")).limit(sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = SAMPLE_NODES  # a limited table is one task
         for batch in batches:
             rows = []
             for text in texts(batch):
-                g, m = graph(text, base_spans(text)), SAMPLE_NODES
-                near = lambda edges: [list(e) for e in edges if max(e) < m]  # noqa: E731, B023
-                rows.append({"hashed": g.hashed[:m], "fixed": g.fixed[:m], "chain": near(g.chain), "skip": near(g.skip)})
+                g = graph(text, base_spans(text))
+                if len(g.places) <= left:
+                    left -= len(g.places)
+                    rows.append({"hashed": g.hashed, "fixed": g.fixed, "chain": [list(e) for e in g.chain], "skip": [list(e) for e in g.skip]})
             nested = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("hashed", nested), ("fixed", pa.list_(pa.int64())), ("chain", nested), ("skip", nested)]))
 
     nested = "array<array<long>>"
-    rows = sample.mapInArrow(run, f"hashed {nested}, fixed array<long>, chain {nested}, skip {nested}").collect()
+    rows = sample.coalesce(1).mapInArrow(run, f"hashed {nested}, fixed array<long>, chain {nested}, skip {nested}").collect()
     graphs = [Graph([(0, 0)] * len(r.fixed), r.hashed, r.fixed, [tuple(e) for e in r.chain], [tuple(e) for e in r.skip]) for r in rows if r.fixed]
     return fit(sorted(graphs, key=lambda g: (g.fixed, g.hashed)))
 

@@ -71,3 +71,12 @@ def test_numbers_beside_a_repeat_stay(field):
     assert [t for _, t in found] == ["+1 988 555 2485"] + ["988 555 2485"] * 3
     text = "x " + "+1 988 555 2485 " * 300
     assert len(pii.graph(text, pii.base_spans(text)).skip) < 100 * 300
+
+
+def test_field_is_fitted_on_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", seen.extend)
+    text = "+1 (988) 555-2485 " + " ".join(f"w {i} x" for i in range(400)) + " dial 988-555-2485"
+    pii.learn(documents(spark, [text, "see 12 items"]))
+    want = {tuple(g.fixed): g for g in (pii.graph(t, pii.base_spans(t)) for t in (text, "see 12 items"))}
+    assert len(seen) == 2 and all((g.hashed, g.chain, g.skip) == (want[tuple(g.fixed)].hashed, want[tuple(g.fixed)].chain, want[tuple(g.fixed)].skip) for g in seen)
