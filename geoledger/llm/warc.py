@@ -1,9 +1,13 @@
-"""WARC archives, written and read back as a table of chunks.
+"""WARC archives as a chunked record table.
 
-A payload over `chunk_bytes` becomes a WARC segment series: rows of record identifier and chunk number, each with
-the digest of the payload so far, so that neither side ever puts a whole record together. The text writer with a
-blank line as its line separator makes the files: a row is a record's header, a blank line and a block. They are
-gzip files, which Spark reads in one task each, in order; a parser walks a file's rows as they come.
+An archive is a Parquet folder of rows (page_id, record_id, chunk_no, n_chunks, running_digest, member). A payload over `chunk_bytes` is
+many rows: its record's identifier, chunk numbers from 1, and the digest of the payload so far. Each member is a WARC record
+(the first chunk's) or a continuation (the others'), as a gzip member of its own, so one row can be fetched by record and
+chunk number, and members in order are a WARC file. Chunks are cut by the scan's own rows: no side ever puts a whole record
+together, and a digest goes on from chunk to chunk.
+
+Reading checks every block against its digest. Records of one chunk are read where they lie; only chunks of longer ones are
+dealt by record and streamed in order. `write_files` turns an archive into plain WARC files for other tools.
 
 Of records with equal payloads of at least `least_bytes` bytes the one with the smallest page_id is the response, the
 others are revisits that refer to it. Defined results: null html is an empty payload; a null url is left out; a null
@@ -14,17 +18,24 @@ with the group's smallest page_id are all responses; an empty table gives no row
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Parts that the rows of one payload are dealt to, so that a hot payload is many groups.
+SALTS = 1 << 14
+#: Bytes of members that a task holds before it hands them on.
+HELD_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 BREAK = "\r\n\r\n"
+ARCHIVE = "page_id long, record_id string, chunk_no long, n_chunks long, running_digest string, member binary"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, n_chunks long"
 
 
@@ -33,137 +44,90 @@ def base32(digest: bytes) -> str:
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with payload, record_type and refers_to. A hot payload meets one row of the other
-    side, so the join may be split; revisits carry no payload any further."""
-    keyed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    keyed = keyed.withColumns({"key": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = keyed.filter(F.col("payload_bytes") >= least_bytes).groupBy("key", "payload_bytes").agg(F.min("page_id").alias("first_id"))
+    """pages (page_id, url, html) with payload, payload_bytes, record_type and refers_to. Payloads meet their group's smallest
+    page_id by (digest, salt): a payload that a third of all pages hold is up to SALTS groups. Revisits drop theirs."""
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    keyed = keyed.withColumns({"key": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long"), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+    group = ["key", "payload_bytes"]
+    least = keyed.filter(F.col("payload_bytes") >= least_bytes).groupBy(*group, "salt").agg(F.min("page_id").alias("least"))
+    first = least.groupBy(*group).agg(F.min("least").alias("first_id"), F.collect_list("salt").alias("salts")).select(*group, "first_id", F.explode("salts").alias("salt"))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return keyed.join(first, ["key", "payload_bytes"], "left").select(
+    return keyed.join(first, [*group, "salt"], "left").select(
         "page_id",
         "url",
         F.when(~revisit, F.col("payload")).alias("payload"),
+        "payload_bytes",
         "key",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
     )
 
 
-def segments(payload: bytes, chunk_bytes: int) -> Iterator[tuple[int, bytes, bytes, bool]]:
-    """(chunk number from 1, chunk, digest of the payload up to its end, whether it is the last)."""
-    view, running = memoryview(payload), hashlib.sha1()
-    for number, at in enumerate(range(0, max(1, len(view)), chunk_bytes), 1):
-        chunk = view[at : at + chunk_bytes]
-        running.update(chunk)
-        yield number, chunk, running.digest(), at + chunk_bytes >= len(view)
-
-
-def write_archives(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
-    """records as of plan_records; one gzip archive for each partition."""
-
-    def header(*fields: tuple[str, object]) -> bytes:
-        return ("WARC/1.1\r\n" + "\r\n".join(f"{k}: {v}" for k, v in fields if v is not None) + BREAK).encode()
-
-    def rows(page_id, url, payload, key, kind, refers_to) -> Iterator[bytes]:
-        name, url = f"<urn:page:{page_id}>", url and re.sub(r"[\r\n]+", " ", url)
-        common = (("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{base32(bytes.fromhex(key))}"))
-        if kind == "revisit":
-            yield header(("WARC-Type", kind), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Length", 0))
-            return
-        for number, chunk, running, last in segments(payload or b"", chunk_bytes):
-            size = ("Content-Type", "text/html"), ("Content-Length", len(chunk))
-            if number == 1 and last:
-                yield header(("WARC-Type", kind), *common, *size) + chunk
-            elif number == 1:
-                yield header(("WARC-Type", kind), *common, ("WARC-Segment-Number", 1), ("X-Running-Digest", f"sha1:{base32(running)}"), *size) + chunk
-            else:
-                total = len(payload) if last else None
-                yield header(("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{number}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total), ("X-Running-Digest", f"sha1:{base32(running)}"), *size) + chunk
+def chunks(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A row for each chunk of each record, in order; the payload is cut row by row as the rows are made."""
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("payload"), F.lit(0)) / chunk_bytes)).cast("int")
+    rows = records.withColumn("n_chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(1), F.col("n_chunks"))))
+    piece = F.substr(F.col("payload"), (F.col("chunk_no") - 1) * chunk_bytes + 1, F.lit(chunk_bytes))
+    return rows.select("page_id", "url", "payload_bytes", "key", "record_type", "refers_to", "n_chunks", "chunk_no", piece.alias("piece"))
+
+
+def _record(fields: tuple[tuple[str, object], ...], block: bytes) -> bytes:
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + f"Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + BREAK.encode()
+
+
+def _member(page_id, url, size: int, key: str, kind: str, refers_to, n: int, number: int, piece: bytes, running: str) -> bytes:
+    """One row's WARC record; url has no line breaks."""
+    name = f"<urn:page:{page_id}>"
+    common = (("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{base32(bytes.fromhex(key))}"), ("X-Payload-Length", size))
+    segment = (("WARC-Segment-Number", number), ("X-Running-Digest", running)) if n > 1 else ()
+    if kind == "revisit":
+        return _record((("WARC-Type", kind), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")), b"")
+    if number == 1:
+        return _record((("WARC-Type", kind), *common, *segment, ("Content-Type", "text/html")), piece)
+    total = (("WARC-Segment-Total-Length", size),) if number == n else ()
+    return _record((("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{number}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), *segment, *total), piece)
+
+
+def write_archives(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, level: int = 6) -> None:
+    """records as of plan_records, to an archive."""
+    names = [c.split()[0] for c in ARCHIVE.split(", ")]
+    fields = ("page_id", "url", "payload_bytes", "key", "record_type", "refers_to", "n_chunks", "chunk_no", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = "software: geoledger\r\nformat: WARC File Format 1.1\r\n".encode()
-        made, size = [header(("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))) + info], 0
+        digest, made, size, partition, records = hashlib.sha1(), [], 0, TaskContext.get().partitionId(), 0
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*made, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names)
+
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "key", "record_type", "refers_to")), strict=True):
-                for line in rows(*row):
-                    made.append(line)
-                    size += len(line)
-                    if size >= 4 * CHUNK_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
-                        made, size = [], 0
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
-
-    lines = records.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", BREAK).option("compression", "gzip").text(path)
-
-
-class Parser:
-    """A file's bytes in, records out: the state between two calls is a header, counters and a digest."""
-
-    def __init__(self):
-        self.kept = b""  # of a header that isn't complete, or the blank line after a block
-        self.left = -1  # bytes of the block still to come; -1: in a header
-        self.skip = 0  # of the blank line after a block
-        self.open: dict | None = None  # the record that gathers segments
-
-    def feed(self, data: bytes) -> Iterator[dict]:
-        data = self.kept + data if self.kept else data
-        self.kept, at = b"", 0
-        while at < len(data):
-            if self.skip:
-                step = min(self.skip, len(data) - at)
-                self.skip, at = self.skip - step, at + step
-            elif self.left < 0:
-                end = data.find(b"\r\n\r\n", at)
-                if end < 0:
-                    self.kept = data[at:]
-                    return
-                yield from self._header(data[at:end].decode())
-                at = end + 4
-                if self.left == 0:
-                    yield from self._end()
-            else:
-                step = min(self.left, len(data) - at)
-                if self.open is not None:
-                    self.open["digest"].update(memoryview(data)[at : at + step])
-                    self.open["bytes"] += step
-                self.left, at = self.left - step, at + step
-                if self.left == 0:
-                    yield from self._end()
-
-    def _header(self, text: str) -> Iterator[dict]:
-        first, *lines = text.split("\r\n")
-        if first != "WARC/1.1":
-            raise ValueError(f"no WARC header: {first[:80]!r}")
-        self.fields = dict(x.split(": ", 1) for x in lines)
-        self.left = int(self.fields["Content-Length"])
-        if (kind := self.fields["WARC-Type"]) in ("response", "revisit"):
-            self.open = {"fields": self.fields, "digest": hashlib.sha1(), "bytes": 0, "chunks": 0}
-        elif kind == "continuation":
-            if self.open is None or self.open["fields"]["WARC-Record-ID"] != self.fields["WARC-Segment-Origin-ID"]:
-                raise ValueError("a segment without its record")
-        else:
-            self.open = None
-        return iter(())
-
-    def _end(self) -> Iterator[dict]:
-        """After a block: the record, if this was its last segment."""
-        self.left, self.skip, f, r = -1, 4, self.fields, self.open
-        if r is None:
-            return
-        r["chunks"] += 1
-        running = base32(r["digest"].digest())
-        if (said := f.get("X-Running-Digest")) and said != f"sha1:{running}":
-            raise ValueError(f"{f['WARC-Record-ID']}: the digest so far doesn't match")
-        if "WARC-Segment-Number" in f and "WARC-Segment-Total-Length" not in f:
-            return
-        head, self.open = r["fields"], None
-        revisit = head["WARC-Type"] == "revisit"
-        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        if not revisit and digest != running:
-            raise ValueError(f"{head['WARC-Record-ID']}: the payload digest doesn't match")
-        yield {"page_id": _page(head["WARC-Record-ID"]), "payload_bytes": None if revisit else r["bytes"], "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": _page(head["WARC-Refers-To"]) if revisit else None, "url": head.get("WARC-Target-URI"), "n_chunks": r["chunks"]}
+            for page_id, url, total, key, kind, refers_to, n, number, piece in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
+                if number == 1:  # a record's chunks come one after the other
+                    digest, records = hashlib.sha1(), records + 1
+                digest.update(piece := piece or b"")
+                running = f"sha1:{base32(digest.digest())}"
+                raw = _member(page_id, url and re.sub(r"[\r\n]+", " ", url), total, key, kind, refers_to, n, number, piece, running)
+                made.append((page_id, f"{partition}-{records}", number, n, running, gzip.compress(raw, level, mtime=0)))
+                size += len(made[-1][-1])
+                if size >= HELD_BYTES:
+                    yield out()
+                    made, size = [], 0
+        yield out()
+
+    # members are squeezed already; row groups stay small, as a row may be a megabyte
+    chunks(records, chunk_bytes).mapInArrow(run, ARCHIVE).write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(path)
+
+
+def _parsed(member: bytes) -> tuple[dict[str, str], bytes]:
+    """A member's header fields and block."""
+    head, found, rest = gzip.decompress(member).partition(BREAK.encode())
+    first, *lines = head.decode().split("\r\n")
+    fields = dict(x.split(": ", 1) for x in lines)
+    size = int(fields.get("Content-Length", -1))
+    if first != "WARC/1.1" or not found or size < 0 or rest[size:] != BREAK.encode():
+        raise ValueError(f"no WARC record: {first[:80]!r}")
+    return fields, rest[:size]
 
 
 def _page(name: str) -> int | None:
@@ -172,21 +136,42 @@ def _page(name: str) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record (RECORD). A revisit's payload_bytes come from the record that it refers to."""
+    """A row for each record (RECORD), its digest checked over the whole payload."""
+    kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("n_chunks", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("n_chunks", pa.int64())])
-        parser, file = Parser(), None
+        digest, size, last, head = hashlib.sha1(), 0, 0, {}
         for batch in batches:
             found = []
-            for name, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                if name != file:
-                    parser, file = Parser(), name
-                found += parser.feed(line + b"\r\n\r\n")
+            for record, number, n, member in zip(*(batch.column(c).to_pylist() for c in ("record_id", "chunk_no", "n_chunks", "member")), strict=True):
+                fields, block = _parsed(member)
+                if number == 1:
+                    digest, size, last, head = hashlib.sha1(), 0, 0, fields
+                elif number != last + 1 or fields["WARC-Segment-Origin-ID"] != head.get("WARC-Record-ID"):
+                    raise ValueError(f"{record}: chunk {number} without the one before")
+                digest.update(block)
+                size, last, running = size + len(block), number, base32(digest.digest())
+                if fields.get("X-Running-Digest", f"sha1:{running}") != f"sha1:{running}":
+                    raise ValueError(f"{record}: the digest up to chunk {number} doesn't match")
+                if number == n:
+                    said, revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
+                    if not revisit and (said != running or size != int(head["X-Payload-Length"])):
+                        raise ValueError(f"{record}: the payload doesn't match its digest")
+                    found.append({"page_id": _page(head["WARC-Record-ID"]), "payload_bytes": int(head["X-Payload-Length"]), "payload_digest": said, "record_type": head["WARC-Type"], "refers_to": _page(head["WARC-Refers-To"]) if revisit else None, "url": head.get("WARC-Target-URI"), "n_chunks": n})
             yield pa.RecordBatch.from_pylist(found, kinds)
 
-    lines = spark.read.option("lineSep", BREAK).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
-    records = lines.mapInArrow(run, RECORD)
-    responses = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("referred_bytes"))
-    columns = [c.split()[0] for c in RECORD.split(", ")]
-    return records.join(responses, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "referred_bytes")).select(columns)
+    rows = spark.read.schema(ARCHIVE).parquet(path).select("record_id", "chunk_no", "n_chunks", "member")
+    long = rows.filter("n_chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return rows.filter("n_chunks = 1").mapInArrow(run, RECORD).unionByName(long.mapInArrow(run, RECORD))
+
+
+def write_files(spark: SparkSession, archive: str, path: str) -> None:
+    """The archive as WARC files, gzip as a whole: a row is a record without its last blank line, which is the line separator.
+    Chunks of a record stand in one file, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.decompress(m)[: -len(BREAK)] for m in batch.column("member").to_pylist()], pa.binary())], ["value"])
+
+    rows = spark.read.schema(ARCHIVE).parquet(archive).select("record_id", "chunk_no", "member").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    rows.select("member").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", BREAK).option("compression", "gzip").text(path)

@@ -81,12 +81,17 @@ def test_search_small_tables(spark, search):
 PAGES = "page_id long, url string, html string, key string, payload string, first_id long"
 
 
+def warc_rows(spark, rows, partitions=3, chunk_bytes=1000):
+    path = scratch(spark, "warc")
+    df = spark.createDataFrame(rows, PAGES)
+    warc.write_archives(warc.plan_records(df.repartition(partitions) if partitions else df), path, chunk_bytes=chunk_bytes)
+    return path, warc.read_archives(spark, path).collect()
+
+
 def test_warc_round_trip(spark):
     htmls = ["<p>a</p>", None, "", "<p>a</p>", "é" * 3000, "x\r\n\r\nWARC/1.1\r\n\r\ny\r\n", "é" * 3000, "\r\n\r\n", "z" * 1000, "<p>a</p>"]
     rows = [(i, None if i == 3 else f"http://x/{i}\r\nX: 1", h, "k", "p", 1) for i, h in enumerate(htmls)] + [(None, "u", "<p>a</p>", "k", "p", 1)]
-    path = scratch(spark, "warc")
-    warc.write_archives(warc.plan_records(spark.createDataFrame(rows, PAGES).repartition(3)), path, chunk_bytes=1000)
-    found = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    found = {r.page_id: r for r in warc_rows(spark, rows)[1]}
     assert len(found) == len(rows)
     for i, h in enumerate(htmls):
         body = (h or "").encode()
@@ -97,6 +102,59 @@ def test_warc_round_trip(spark):
     assert found[4].n_chunks == 6 and found[None].refers_to == 0
 
 
+ENDS = ["", "\r", "\n", "\r\n", "\n\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\r\r\n\r\n\n"]
+
+
+@pytest.mark.parametrize("partitions", [0, 40])
+def test_warc_payloads_ending_in_line_breaks(spark, partitions):
+    """Also alone in their archive, with partitions that hold nothing."""
+    htmls = [a + "hello" * n + b for a in ENDS for b in ENDS for n in (0, 1, 300)]
+    _, found = warc_rows(spark, [(i, "u", h, "k", "p", 1) for i, h in enumerate(htmls)], partitions, 100)
+    assert {r.page_id: r.payload_digest for r in found} == {i: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for i, h in enumerate(htmls)}
+    assert [r.payload_bytes for r in warc_rows(spark, [(1, None, "hello\r\n", "k", "p", 1)])[1]] == [7]
+
+
+def test_warc_empty_table_and_repeated_rows(spark):
+    assert warc_rows(spark, [])[1] == []
+    found = warc_rows(spark, [(1, "u", "é" * 3000, "k", "p", 1)] * 3 + [(2, "u", "é" * 3000, "k", "p", 1)])[1]
+    assert sorted((r.page_id, r.record_type, r.n_chunks) for r in found) == [(1, "response", 6)] * 3 + [(2, "revisit", 1)]
+
+
+def test_warc_chunk_table_and_files(spark):
+    """One row is fetched by record and chunk number; files hold each payload between header and blank line."""
+    import gzip
+    from pathlib import Path
+
+    body = "".join(chr(97 + i % 26) for i in range(2500)) + "\r\n"
+    path, _ = warc_rows(spark, [(7, "u", body, "k", "p", 1), (8, "v", "b\r\n\r\n", "k", "p", 1)])
+    r = spark.read.parquet(path).filter("page_id = 7 AND chunk_no = 2").first()
+    fields, block = warc._parsed(bytes(r.member))
+    assert block == body[1000:2000].encode() and r.running_digest == "sha1:" + base64.b32encode(hashlib.sha1(body[:2000].encode()).digest()).decode() and fields["WARC-Segment-Number"] == "2"
+    out = scratch(spark, "files")
+    warc.write_files(spark, path, out)
+    payloads = {}
+    for file in Path(out.removeprefix("file://")).glob("*.gz"):
+        data, at = gzip.decompress(file.read_bytes()), 0
+        while at < len(data):
+            end = data.index(b"\r\n\r\n", at) + 4
+            fields = dict(x.split(": ", 1) for x in data[at : end - 4].decode().split("\r\n")[1:])
+            size = int(fields["Content-Length"])
+            name = fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"])
+            payloads[name] = payloads.get(name, b"") + data[end : end + size]
+            at = end + size + 4
+            assert data[at - 4 : at] == b"\r\n\r\n"
+    assert payloads == {"<urn:page:7>": body.encode(), "<urn:page:8>": b"b\r\n\r\n"}
+
+
+def test_warc_tells_a_changed_chunk(spark):
+    path, _ = warc_rows(spark, [(7, "u", "a" * 2500, "k", "p", 1)])
+    rows = spark.read.parquet(path).filter("chunk_no <> 2")
+    other = scratch(spark, "broken")
+    rows.write.parquet(other)
+    with pytest.raises(Exception, match="without the one before"):
+        warc.read_archives(spark, other).collect()
+
+
 def test_warc_least_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = {r.page_id: r.record_type for r in warc.plan_records(df, least_bytes=3).collect()}
