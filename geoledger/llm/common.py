@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from ..storage import scratch, written  # noqa: F401
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows that a Parquet reader holds decoded at once.
+READ_ROWS = 512
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches, so that long texts don't fill a Python worker."""
+    """Bounds the batches of rows that tasks hold, so that long texts fill neither a Python worker nor an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     return spark
 
 

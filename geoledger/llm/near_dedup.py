@@ -7,8 +7,8 @@
 3. Signatures of candidates are compared batch by batch; a pair is dropped once the posterior probability (uniform prior)
    that its similarity reaches the threshold is below MISS. Survivors are confirmed on their full sets.
 4. Connected components of the confirmed links. Buckets that still hold several components are taken again, whole: nodes outside
-   the hub's component meet all others in blocks, inside tasks, by the same test and confirmation, each pair in the first
-   bucket that it shares; only links that join components leave a task. So every pair that shares a bucket has been
+   the hub's component meet all others in blocks, inside tasks, by the same test on signatures, each pair in the first
+   bucket that it shares. The nodes of surviving pairs meet again with their full sets, and only links that join components leave a task. So every pair that shares a bucket has been
    tested or is connected already, and a group of near copies gives about as many rows as it has nodes.
 
 The chance that a pair at the threshold shares no band is (1 - 0.75^4)^32 = 5e-6, and falls steeply above it.
@@ -42,7 +42,7 @@ HUBS, BLOCK = 2, 256
 _LOWER = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b for b in range(256))
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 class _Words(dict):
@@ -227,12 +227,12 @@ def shared_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray,
     return total.astype(np.int64)
 
 
-def tile_links(node, part, side, sig, sets, band: int) -> list[tuple[int, int]]:
-    """Links that join components of a tile: nodes of side 0 meet side 1, or one another where there is none. Pairs whose first
-    shared bucket is another band's are left to it. The most similar pairs, by their signatures, are confirmed first."""
+def open_pairs(part: np.ndarray, side: np.ndarray, sig: np.ndarray, band: int) -> list[tuple[int, int, int]]:
+    """(equal minhashes, i, j) of a tile's pairs that aren't connected yet and survive the sequential test: nodes of side 0 meet side 1,
+    or one another where there is none. Pairs whose first shared bucket is another band's are left to it."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = not len(right)
-    open_: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int, int]] = []
     for n, i in enumerate(left):
         other = left[n + 1 :] if alone else right
         other = other[part[other] != part[i]]
@@ -240,10 +240,15 @@ def tile_links(node, part, side, sig, sets, band: int) -> list[tuple[int, int]]:
         mine = same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band
         other, same = other[mine], same[mine]
         ok = likely(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other]) if len(other) else mine[:0]
-        open_ += zip(same[ok].sum(1).tolist(), [int(i)] * int(ok.sum()), other[ok].tolist(), strict=True)
+        found += zip(same[ok].sum(1).tolist(), [int(i)] * int(ok.sum()), other[ok].tolist(), strict=True)
+    return found
+
+
+def tile_links(node, part, side, sig, sets, band: int) -> list[tuple[int, int]]:
+    """Links that join components of a tile. The most similar pairs, by their signatures, are confirmed first."""
+    open_ = sorted(open_pairs(part, side, sig, band), reverse=True)
     if not open_:
         return []
-    open_.sort(reverse=True)
     rows, columns = (np.unique([x[k] for x in open_]) for k in (1, 2))
     both = shared_counts(sets, rows, columns)[np.searchsorted(rows, [x[1] for x in open_]), np.searchsorted(columns, [x[2] for x in open_])].tolist()
     root: dict[int, int] = {}
@@ -261,8 +266,41 @@ def tile_links(node, part, side, sig, sets, band: int) -> list[tuple[int, int]]:
     return found
 
 
+TILE = ["key", "tile_a", "tile_b"]
+PLACED = "key long, tile_a int, tile_b int, band int, node long, component long, side int"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], with_sets: bool) -> Iterator[tuple[tuple, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(key and tile, band, nodes, components, sides, signatures, sets) of tiles that lie one after the other; the one that a batch ends in is held."""
+    held: list[tuple] = []
+    current = None
+
+    def whole() -> tuple:
+        return (current, held[0][5], *(np.concatenate([h[k] for h in held]) for k in range(4)), [g for h in held for g in h[4]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy() for c in TILE], 1)
+        node, part, side, bands = (batch.column(c).to_numpy() for c in ("node", "component", "side", "band"))
+        sig = _as_rows(batch.column("signature").to_pylist(), batch.num_rows)
+        grams = batch.column("grams") if with_sets else None
+        offsets, values = (grams.offsets.to_numpy(), grams.values.to_numpy()) if with_sets else (None, None)
+        edges = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(marks)], strict=True):
+            mark = tuple(marks[a].tolist())
+            if mark != current and held:
+                yield whole()
+                held = []
+            current = mark
+            held.append((node[a:b], part[a:b], side[a:b], sig[a:b], [values[offsets[i] : offsets[i + 1]] for i in range(a, b)] if with_sets else [], int(bands[a])))
+    if held:
+        yield whole()
+
+
 def remaining_links(keys: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) in buckets that hold several components. keys: node, band, key, meets."""
+    """Links (a, b) in buckets that hold several components. keys: node, band, key, meets. Tiles first carry signatures alone; full
+    sets are fetched only for nodes of pairs that survive the sequential test."""
     member = keys.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = member.groupBy("key").agg(F.max_by("component", F.struct("meets", -F.col("node"))).alias("main"), F.max("component").alias("hi"), F.min("component").alias("lo"))
     member = member.join(sizes.filter("lo <> hi").select("key", "main"), "key").withColumn("outside", F.col("component") != F.col("main"))
@@ -270,47 +308,32 @@ def remaining_links(keys: DataFrame, parts: DataFrame, nodes: DataFrame, sets: D
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     member = written(member.join(counts.select("key", blocks("n_out").alias("b_out"), blocks("n_main").alias("b_main")), "key"), "near-open")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    struct = lambda a, b, side: F.struct(a.alias("tile_a"), b.alias("tile_b"), side.cast("int").alias("side"))
+    struct = lambda a, b, side: F.struct(a.cast("int").alias("tile_a"), b.cast("int").alias("tile_b"), side.cast("int").alias("side"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     outside, main = member.filter("outside").withColumn("own", own("b_out")), member.filter("NOT outside").withColumn("own", own("b_main"))
     # nodes outside meet each other in tiles of two of their blocks, and each block of the main component
     among = F.transform(upto("b_out"), lambda j: struct(F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.col("own") > j))
     against = F.transform(upto("b_main"), lambda j: struct(F.col("own"), -1 - j, F.lit(0)))
     placed = outside.withColumn("t", F.explode(F.concat(among, against))).unionByName(main.withColumn("t", F.explode(F.transform(upto("b_out"), lambda j: struct(j, -1 - F.col("own"), F.lit(1))))))
-    tile = ["key", "tile_a", "tile_b"]
-    rows = placed.select("key", "band", "node", "component", "t.*")
-    rows = rows.join(nodes.select("node", "signature"), "node").join(sets, "node").repartition(*tile).sortWithinPartitions(*tile, "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tiles lie one after the other; the one that a batch ends in is held."""
-        held: list[tuple] = []
-
-        def links() -> list[tuple[int, int]]:
-            node, part, side, sig = (np.concatenate([h[k] for h in held]) for k in range(4))
-            return tile_links(node, part, side, sig, [g for h in held for g in h[4]], held[0][5])
-
-        current = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = []
-            marks = np.stack([batch.column(c).to_numpy() for c in tile], 1)
-            node, part, side, bands = (batch.column(c).to_numpy() for c in ("node", "component", "side", "band"))
-            sig, grams = _as_rows(batch.column("signature").to_pylist(), batch.num_rows), batch.column("grams")
-            offsets, values = grams.offsets.to_numpy(), grams.values.to_numpy()
-            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(marks)], strict=True):
-                mark = tuple(marks[a].tolist())
-                if mark != current and held:
-                    found += links()
-                    held = []
-                current = mark
-                held.append((node[a:b], part[a:b], side[a:b], sig[a:b], [values[offsets[i] : offsets[i + 1]] for i in range(a, b)], int(bands[a])))
-            yield _pairs(found)
-        if held:
-            yield _pairs(links())
-
-    return rows.select(*tile, "band", "node", "component", "side", "signature", "grams").mapInArrow(run, "a long, b long").distinct()
+    rows = placed.select("key", "t.tile_a", "t.tile_b", "band", "node", "component", "t.side")
+    signed_nodes = nodes.select("node", "signature")
+    by_tile = lambda df: df.repartition(*TILE).sortWithinPartitions(*TILE, "node")
+    names = [c.split()[0] for c in PLACED.split(", ")]
+
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mark, band, node, part, side, sig, _ in _tiles(batches, False):
+            at = np.unique([x[k] for x in open_pairs(part, side, sig, band) for k in (1, 2)]).astype(int)
+            if len(at):
+                same = [np.full(len(at), v) for v in (*mark, band)]
+                columns = zip([*same, node[at], part[at], side[at]], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, band, node, part, side, sig, grams in _tiles(batches, True):
+            yield _pairs(tile_links(node, part, side, sig, grams, band))
+
+    kept = written(by_tile(rows.join(signed_nodes, "node")).select(*names, "signature").mapInArrow(survivors, PLACED), "near-survivors")
+    return by_tile(kept.join(signed_nodes, "node").join(sets, "node")).select(*names, "signature", "grams").mapInArrow(links, "a long, b long").distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
