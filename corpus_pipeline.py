@@ -20,10 +20,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; rows repeated in full stay once."""
+    """Of each group of near duplicates the document with the smallest doc_id stays; of rows repeated in full, with an id, one stays."""
     tune(spark)
-    dropped = near_dedup.link(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns).distinct()
+    ids = near_dedup.link(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    ids = written(ids.filter("NOT kept OR n > 1"), "pipeline-ids")
+    # texts of ids that stand once aren't compared: they pass the one join
+    once = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(docs.join(ids.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns).distinct())
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
