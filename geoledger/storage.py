@@ -6,11 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a task's writer holds of a table before it goes to the file.
+ROW_GROUP_BYTES = 32 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests). Clear the application's folder after the job."""
+    """spark.checkpoint.dir, or where that is unset and the master is local, as in tests, a folder of our own: executors on other
+    machines don't see it. Clear the application's folder after the job."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not (spark.sparkContext.master or "").partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         given = f"/tmp/geoledger-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(given)
     return f"{given.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -24,5 +30,5 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
