@@ -10,6 +10,11 @@ from . import ann_search, exact_search, licenses, mixing, near_dedup, packing, p
 from .common import scratch, table
 
 
+#: Domains of the sources, and the weights that domains and languages are to have; sources weigh a power of their tokens.
+DOMAINS = {f"src{i}": name for name, numbers in {"web": range(0, 10), "reference": range(10, 15), "books": range(15, 20)}.items() for i in numbers}
+WEIGHTS = {"domain": {"web": 0.5, "reference": 0.3, "books": 0.2}, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
+
+
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -29,7 +34,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mix_domain", "lang", "source", "mix_tokens", "mix_epoch")
+    found = mixing.mix_ids(table(spark, sf_dir, "documents"), domain=mixing.domain_by(DOMAINS), weights=WEIGHTS)
+    return found.select("doc_id", "mix_domain", "lang", "source", "mix_tokens", "mix_epoch")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,20 +86,4 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(least, w.doc_id)) AS component_id, w.doc_id <= coalesce(least, w.doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
-    "op5_mixing": """
-WITH d AS (SELECT doc_id, lang, source, text, CASE WHEN length(source) <= 4 THEN 'web' ELSE 'curated' END AS dom, CAST(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), ' +')) END AS BIGINT) AS t FROM documents WHERE trim(coalesce(text, '')) <> ''),
-leaf AS (SELECT dom, lang, source, sum(t)::DOUBLE AS t FROM d GROUP BY ALL),
-n1 AS (SELECT dom, sum(t) * 2 AS cap, pow(sum(t), 0.7::DOUBLE) AS w, (SELECT floor(sum(t) * 0.9::DOUBLE) FROM leaf) AS given FROM leaf GROUP BY 1),
-u1 AS (SELECT *, (given - coalesce(sum(cap) OVER (ORDER BY cap / w, dom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, dom ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM n1),
-s1 AS (SELECT dom, coalesce(least(cap, w * max(CASE WHEN cap > unit * w THEN unit END) OVER ()), cap) AS share FROM u1),
-n2 AS (SELECT dom, lang, sum(t) * 2 AS cap, pow(sum(t), 0.7::DOUBLE) AS w, any_value(share) AS given FROM leaf JOIN s1 USING (dom) GROUP BY 1, 2),
-u2 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY dom ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY dom ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM n2),
-s2 AS (SELECT dom, lang, coalesce(least(cap, w * max(CASE WHEN cap > unit * w THEN unit END) OVER (PARTITION BY dom)), cap) AS share FROM u2),
-n3 AS (SELECT dom, lang, source, t, t * 2 AS cap, pow(t, 0.7::DOUBLE) AS w, share AS given FROM leaf JOIN s2 USING (dom, lang)),
-u3 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY dom, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY dom, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM n3),
-s3 AS (SELECT dom, lang, source, t, CAST(floor(coalesce(least(cap, w * max(CASE WHEN cap > unit * w THEN unit END) OVER (PARTITION BY dom, lang)), cap)) AS BIGINT) AS budget FROM u3),
-b AS (SELECT dom, lang, source, CAST(least(floor(budget / t), 2) AS INTEGER) AS whole, CASE WHEN floor(budget / t) < 2 THEN budget - CAST(floor(budget / t) * t AS BIGINT) ELSE 0 END AS rest FROM s3),
-o AS (SELECT doc_id, dom, lang, source, d.t, whole, rest, coalesce(sum(d.t) OVER (PARTITION BY dom, lang, source ORDER BY md5('mix-1:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM d JOIN b USING (dom, lang, source))
-SELECT doc_id, dom AS mix_domain, lang, source, t AS mix_tokens, CAST(unnest(range(whole)) AS INTEGER) AS mix_epoch FROM o WHERE whole > 0
-UNION ALL SELECT doc_id, dom, lang, source, t, whole FROM o WHERE earlier < rest""",
 }

@@ -172,18 +172,82 @@ def test_budgets_go_to_siblings_first(spark):
     assert got == {"x": 10, "z": 790}
 
 
-def test_mix_takes_prefixes(spark):
-    rows = [(i, "w " * (1 + i % 7), lang, source) for i, (lang, source) in enumerate([("en", "src1")] * 60 + [("de", "src12")] * 20 + [(None, None)] * 5)] + [(900, None, "en", "src1"), (901, "", "en", "src1")]
-    rows = [(*r, 1, 2, "x", "y", 3) for r in rows]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int, rest int, budget string, leaf_lang string, mix_tokens int")
-    out = mixing.mix(docs, share=0.5).collect()
-    again = mixing.mix(docs.repartition(7), share=0.5).collect()
-    key = lambda r: (r.doc_id, r.mix_epoch)
-    assert sorted(map(key, out)) == sorted(map(key, again)) and len(set(map(key, out))) == len(out)
-    assert not {900, 901} & {r.doc_id for r in out}
-    total = sum(1 + i % 7 for i in range(85))
-    assert abs(sum(r.mix_tokens for r in out) - total / 2) <= 3 * 7
-    assert mixing.mix(docs.limit(0)).count() == 0
+def plain_mix(rows, tokens, domain_of, share, epochs, seed, power, weights):
+    """(doc_id, epoch) by the rule itself: shares level by level in a loop, prefixes by a sort of each leaf."""
+    import math
+    from collections import defaultdict
+
+    leaves = defaultdict(int)
+    for r in rows:
+        if tokens[r["text"] or ""]:
+            leaves[domain_of(r["source"]), r["lang"], r["source"]] += tokens[r["text"]]
+
+    def share_out(nodes, depth, budget, out):
+        children = defaultdict(dict)
+        for leaf, n in nodes.items():
+            children[leaf[depth]][leaf] = n
+        size = {c: sum(x.values()) for c, x in children.items()}
+        listed = weights.get(mixing.LEVELS[depth])
+        weight = {c: (listed.get(c, min(listed.values())) if listed else size[c] ** power) for c in children}
+        got, open_, left = {}, set(children), budget
+        while open_:
+            unit = left / sum(weight[c] for c in open_)
+            full = {c for c in open_ if size[c] * epochs <= unit * weight[c]}
+            if not full:
+                got |= {c: unit * weight[c] for c in open_}
+                break
+            got |= {c: float(size[c] * epochs) for c in full}
+            left -= sum(size[c] * epochs for c in full)
+            open_ -= full
+        for c, x in children.items():
+            if depth + 1 < len(mixing.LEVELS):
+                share_out(x, depth + 1, got[c], out)
+            else:
+                out[next(iter(x))] = math.floor(got[c] + 1e-9)
+
+    budget = {}
+    share_out(leaves, 0, math.floor(sum(leaves.values()) * share), budget)
+    taken = []
+    for leaf, n in leaves.items():
+        mine = [r for r in rows if (domain_of(r["source"]), r["lang"], r["source"]) == leaf and tokens[r["text"] or ""]]
+        whole = min(budget[leaf] // n, epochs)
+        taken += [(r["doc_id"], e) for e in range(whole) for r in mine]
+        rest, before = budget[leaf] - whole * n if whole < epochs else 0, 0
+        for r in sorted(mine, key=lambda r: hashlib.md5(f"{seed}:{whole}:{r['doc_id']}".encode()).hexdigest()):
+            if before < rest:
+                taken.append((r["doc_id"], whole))
+            before += tokens[r["text"]]
+    return sorted(taken)
+
+
+@pytest.mark.parametrize(("share", "epochs", "weights"), [(0.5, 2, {"domain": {"a": 0.7, "b": 0.2, "c": 0.1}, "lang": {"en": 3.0, "de": 1.0}}), (1.4, 2, {"domain": {"a": 0.1, "b": 0.9}}), (0.9, 1, {}), (2.5, 2, {})])
+def test_mix_against_the_plain_rule(spark, share, epochs, weights):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from geoledger.llm import tokens as shared
+
+    rng, library = random.Random(8), Tokenizer.from_file(shared.vocabulary_path())
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    source = lambda: f"s{min(rng.randint(0, 5), rng.randint(0, 5))}"
+    rows = [{"doc_id": i, "text": "\n".join(word() for _ in range(rng.randint(1, 40))), "lang": rng.choice(["en", "en", "en", "de"]), "source": source()} for i in range(400)]
+    rows += [{"doc_id": 900, "text": None, "lang": "en", "source": "s1"}, {"doc_id": 901, "text": "", "lang": "en", "source": "s1"}]
+    domains = {"s0": "a", "s1": "a", "s2": "b", "s3": "b", "s4": "c"}
+    docs = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"], 1, "x") for r in rows], "doc_id long, text string, lang string, source string, mix_tokens int, place string")
+    count = {r["text"] or "": len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows}
+    want = plain_mix(rows, count, lambda s: domains.get(s, "other"), share, epochs, "seed", 0.7, weights)
+    got = mixing.mix_ids(docs, mixing.domain_by(domains), share, epochs, "seed", 0.7, weights).collect()
+    assert sorted((r.doc_id, r.mix_epoch) for r in got) == want and all(r.mix_tokens == count[rows[r.doc_id]["text"]] for r in got)
+    mixed = mixing.mix(docs.repartition(5), mixing.domain_by(domains), share, epochs, "seed", 0.7, weights)
+    assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, _ in want)
+
+
+def test_mix_nulls_and_repeats(spark):
+    rows = [(1, "a b", None, None), (1, "a b", None, None), (None, "c d", "en", None), (None, "e f", "en", None), (3, None, "en", "s"), (4, "", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted((r.doc_id or 0, r.text) for r in mixing.mix(docs, share=1.0).collect()) == [(0, "c d"), (0, "e f"), (1, "a b"), (1, "a b")]
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix_ids(docs.limit(0)).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
