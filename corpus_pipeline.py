@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geoledger.llm import mixing, near_dedup, packing, pii, quality
 from geoledger.llm.common import table, tune, written
+from geoledger.llm.queries import DOMAINS, WEIGHTS
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +37,9 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights; a document of several epochs is several rows."""
+    """Domains, languages and sources are brought to their target weights; a document of several epochs is several rows."""
     tune(spark)
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, domain=mixing.domain_by(DOMAINS), weights=WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
