@@ -1,15 +1,19 @@
 """Personal data: patterns for what has a fixed form, a skip-chain conditional random field for the rest.
 
-Tokens with a digit or an @ are nodes. A node has a unary potential from its shape and neighbours, a chain potential with the
-node beside it, and skip potentials with distant tokens of the same digits or the same text; loopy message passing over
-each document then makes repeats agree. Nodes that a base pattern covers are fixed at its label, so that what the patterns
+Tokens with a digit or an @ (or an [at] in brackets) are nodes. A node has a unary potential from its shape and neighbours, a chain
+potential with the node beside it, and skip potentials with distant tokens of the same digits or the same text; loopy message passing
+over each document then makes repeats agree. Nodes that a base pattern covers are fixed at its label, so that what the patterns
 find once is found again where it is written in another form. A repeated token is tied to its previous and to its first
 place only, so that a document's graph grows with its length. Similar is: the same last seven digits, or the same mailbox.
 A number may be written in groups: a run of nodes side by side (or in one base span) ends in a number of up to RUN_DIGITS digits,
 and the nodes of two runs are tied as far as their digits agree from the end on; a run is also tied to the last one in a base span.
 
-The potentials are learned by pseudo-likelihood from what the patterns label in a bounded sample of documents (SAMPLE_DOCS
-by a hash of the text, whole, as long as they hold SAMPLE_NODES nodes together). Base spans are always kept; the field adds spans that touch none of them.
+The field is taught in lessons from a bounded sample of documents (SAMPLE_DOCS by a hash of the text, whole, as long as they hold
+SAMPLE_NODES nodes together): each document as it is, and once more with its base spans hidden, that is rewritten so that no pattern matches
+(phones without their plus, addresses with [at] and [dot]) but with their labels, and with mentions repeated further on. Keys given to a name
+(token = "...") teach a fifth kind, secret. Plain numbers that aren't personal (years, dates, amounts, versions) are taught as such.
+So unary, chain and skip potentials for what patterns miss are learned by pseudo-likelihood, not set.
+Base spans are always kept; the field adds spans that touch none of them.
 
 Defined results: null text is an empty text (no spans); repeated rows and null ids stay; an empty table gives no rows.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,21 +35,31 @@ from pyspark.sql import functions as F
 from .common import empty_text, texts
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the field labels: the base kinds, and keys given to a name.
+LABELS = (*KINDS, "secret")
 #: Documents and nodes of all of them that the field is fitted on, at most; hashed features; probability from which a node is labelled.
-SAMPLE_DOCS, SAMPLE_NODES, HASHED, SURE = 4000, 800_000, 1 << 13, 0.8
+SAMPLE_DOCS, SAMPLE_NODES, HASHED, SURE = 4000, 200_000, 1 << 13, 0.7
 #: Digits of the longest number that is looked for in groups (a card's), and those that two runs must share at their ends.
 RUN_DIGITS, SHARED_DIGITS = 19, 7
 #: Log-odds that tied nodes share a kind, before any are seen in the sample.
-AGREE = 5.0
+AGREE = 2.0
+#: Edges that pass their messages at once.
+EDGES = 1 << 16
+#: Documents of plain numbers among the lessons.
+PLAIN = 300
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The base patterns; the local part of an email is found by walking back from its @.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # the pattern's matches begin where a run of digits does, so runs are read once
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GROUP = re.compile(r"[^\w@]*[0-9]+([().,/-]+[0-9]+)*[^\w@]*")
-_DIGIT, _NODE, _NOT_DIGIT, _SPACE = re.compile(r"[0-9]"), re.compile(r"[0-9@]"), re.compile(r"[^0-9]+"), re.compile(r"\s")
+_AT = r"[\[({](?:at|AT)[\])}]"
+_DIGIT, _NODE, _NOT_DIGIT, _SPACE = re.compile(r"[0-9]"), re.compile(rf"[0-9@]|{_AT}"), re.compile(r"[^0-9]+"), re.compile(r"\s")
+_HIDDEN = re.compile(rf"[\w.%+-]+{_AT}[\w-]+(?:(?:\.|[\[({{](?:dot|DOT)[\])}}])[\w-]+)+")
+_GIVEN = re.compile(r"(?i)\b(?:token|secret|key|password|passwd|pwd|apikey|api_key)[\"']?\s?[=:]\s?[\"']?([A-Za-z0-9+/_=-]{16,})")
+_SECRET = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 Span = tuple[int, int, str]
 
@@ -70,9 +85,8 @@ def _emails(text: str) -> Iterator[Span]:
 
 
 def _ips(text: str) -> Iterator[Span]:
-    """Linear: a run of digits and dots is read once."""
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
             yield m.start(), m.end(), "ip"
 
 
@@ -90,7 +104,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def ordered(spans: list[Span]) -> list[Span]:
-    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted(spans, key=lambda s: (s[0], LABELS.index(s[2]), s[1]))
 
 
 def said(spans: list[Span]) -> str:
@@ -108,7 +122,8 @@ class Graph:
     skip: list[tuple[int, int]]
 
 
-def graph(text: str, base: list[Span]) -> Graph:
+def graph(text: str, base: list[Span], taught: list[Span] = ()) -> Graph:
+    """taught: spans whose labels are known though no base pattern tells them (in lessons)."""
     places, at = [], 0
     while m := _NODE.search(text, at):
         start = m.start()
@@ -124,14 +139,16 @@ def graph(text: str, base: list[Span]) -> Graph:
         while k < len(base) and base[k][1] <= a:
             k += 1
         cover = next((s for s in base[k : k + 4] if s[0] < b and a < s[1]), None)
-        fixed.append(KINDS.index(cover[2]) + 1 if cover else -1)
+        known = cover or next((s for s in taught if s[0] < b and a < s[1]), None)
+        fixed.append(LABELS.index(known[2]) + 1 if known else -1)
         if i and a - places[i - 1][1] <= 1:
             chain.append((i - 1, i))
         token = text[a:b]
-        hashed.append(_hashed(token, text[max(0, a - 24) : a].split()[-1:], text[b : b + 24].split()[:1]))
+        hashed.append(_hashed(token, text[max(0, a - 32) : a].split()[-2:], text[b : b + 24].split()[:1]))
         digits = _NOT_DIGIT.sub("", token)
         core = token.strip(".,;:!?()[]<>\"'").lower()
-        mailbox = core.partition("@")[0] if "@" in core else ""
+        mailbox = core.replace("[at]", "@").replace("(at)", "@").replace("{at}", "@").partition("@")
+        mailbox = mailbox[0] if mailbox[1] else ""
         said.append(digits)
         beside = i > 0 and (bool(chain and chain[-1] == (i - 1, i)) or (cover is not None and cover[0] < places[i - 1][1]))
         joined.append(beside and _GROUP.fullmatch(token) is not None and _GROUP.fullmatch(text[slice(*places[i - 1])]) is not None and "+" not in token)
@@ -171,14 +188,83 @@ def _ties(a: Run, b: Run, all_of_them: bool) -> list[tuple[int, int]]:
 
 
 def _hashed(token: str, before: list[str], after: list[str]) -> list[int]:
-    """Ten features as numbers below HASHED."""
-    core = token.strip(".,;:!?[]<>\"'")
+    """Twelve features as numbers below HASHED."""
+    core = token.strip(".,;:!?[]<>\"'*#%&$|")
     digits = sum(c.isdigit() for c in core)
-    shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in core[:40]))[:16]
-    said = ("bias", f"d{min(digits, 20)}", f"l{min(len(core), 24)}", f"s{shape}", f"@{'@' in core}", f".{min(core.count('.'), 6)}", f"-{min(core.count('-'), 4)}", f"c{12 <= digits <= 19 and luhn(_NOT_DIGIT.sub('', core))}", f"p{before[0].lower()[:12] if before else ''}", f"n{after[0].lower()[:12] if after else ''}")
+    shape = re.sub(r"a+", "a", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in core[:40]))[:20]
+    mixed = sum(x.isdigit() != y.isdigit() for x, y in zip(core[:64], core[1:64], strict=False))  # keys go to and fro between letters and digits
+    last, previous = (before[-1].lower()[-12:] if before else ""), (before[-2].lower()[-12:] if len(before) > 1 else "")
+    given = last.strip("\"'")[-1:] in ("=", ":")
+    at = "@" in core or _HIDDEN.fullmatch(core) is not None
+    said = ("bias", f"d{min(digits, 20)}", f"l{min(len(core), 24)}", f"s{shape}", f"@{at}", f".{min(core.count('.'), 6)}", f"-{min(core.count('-'), 4)}", f"c{12 <= digits <= 19 and luhn(_NOT_DIGIT.sub('', core))}", f"p{last}", f"n{after[0].lower()[:12] if after else ''}", f"m{min(mixed, 8)}{_SECRET.fullmatch(core) is not None}{at}", f"g{previous if given else ''}")
     return [zlib.crc32(x.encode()) % HASHED for x in said]
 
 
+def _rewritten(said: str, kind: str, rng: random.Random, again: bool = False) -> str:
+    """A mention in a form that no base pattern matches; again: in one that only its first mention explains."""
+    digits = _NOT_DIGIT.sub("", said)
+    if kind == "email":
+        name, _, host = said.partition("@")
+        return f"{name}{rng.choice(['[at]', '(at)'])}{host if rng.random() < 0.5 else host.replace('.', '[dot]')}"
+    if kind == "phone":
+        own = digits[max(0, len(digits) - 10) :]
+        if again and rng.random() < 0.6:
+            cuts = rng.choice([[], [2, 4, 6, 8], [3, 6], [3], [6]])
+            return " ".join(own[a:b] for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True))
+        return rng.choice([f"({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}-{own[3:6]}-{own[6:]}", f"{own[:3]} {own[3:6]} {own[6:]}", f"{own[:3]}.{own[3:6]}.{own[6:]}"])
+    return said  # cards are found however they are grouped; addresses have one form
+
+
+def given_secrets(text: str) -> list[Span]:
+    """Keys given to a name; they need both letters and digits."""
+    return [(*m.span(1), "secret") for m in _GIVEN.finditer(text) if _DIGIT.search(m[1]) and not m[1].isdigit()]
+
+
+def lessons(text: str) -> list[Graph]:
+    """The document as it is, and with its spans hidden and mentioned again."""
+    rng, base = random.Random(zlib.crc32(text.encode())), base_spans(text)
+    known = ordered(base + [s for s in given_secrets(text) if not any(s[0] < x[1] and x[0] < s[1] for x in base)])
+    graphs = [graph(text, base, [s for s in known if s[2] == "secret"])]
+    if not known:
+        return graphs
+    parts, taught, at, done = [], [], 0, 0
+
+    def put(piece: str, kind: str | None = None) -> None:
+        nonlocal at
+        if kind:
+            taught.append((at, at + len(piece), kind))
+        parts.append(piece)
+        at += len(piece)
+
+    for a, b, kind in known:
+        if a < done:
+            continue
+        put(text[done:a])
+        put(_rewritten(text[a:b], kind, rng) if rng.random() < 0.5 else text[a:b], kind)
+        done = b
+    put(text[done:])
+    for a, b, kind in known[:50]:
+        if rng.random() < 0.5:
+            put(f" {rng.choice(['and', 'later', 'see', 'the', '|', ''])} ")
+            put(_rewritten(text[a:b], kind, rng, True), kind)
+            put(rng.choice([" ", ", then ", ". ", "; "]) + "again")
+    new = "".join(parts)
+    found = base_spans(new)
+    return [*graphs, graph(new, found, taught)]
+
+
+def plain_numbers(n: int = PLAIN) -> list[Graph]:
+    """Lessons of numbers that are nobody's: years, dates, times, amounts, versions, counts, checksums."""
+    rng, graphs = random.Random(17), []
+    words = ["the", "of", "in", "and", "from", "about", "with", "see", "page", "section", "number", "order", "code"]
+    for _ in range(n):
+        r = rng.randint
+        kinds = [f"{r(1800, 2100)}", f"{r(1900, 2100)}-{r(1, 12):02}-{r(1, 28):02}", f"{r(1900, 2000)}-{r(2001, 2050)}", f"{r(0, 23)}:{r(0, 59):02}", f"{r(1, 999)},{r(0, 999):03}", f"{r(1, 99)}.{r(0, 99)}", f"v{r(0, 9)}.{r(0, 20)}.{r(0, 9)}", f"({r(1800, 2100)})", f"({r(1, 99)})", f"{r(1, 99)}%", f"{r(1, 10**r(1, 12))}", f"{r(1, 28)}.{r(1, 12)}.{r(1900, 2100)}", f"{r(100, 999)} {r(100, 999)}", f"{r(1, 99)}-{r(1, 99)}", f"978-{r(0, 9)}-{r(100, 999)}-{r(10000, 99999)}-{r(0, 9)}", f"{r(1, 9)}e{r(1, 9)}", f"x{r(1, 99)}", f"#{r(1, 9999)}", f"{rng.getrandbits(160):040x}", f"{rng.getrandbits(28):07x}"]
+        text = " ".join(x for k in rng.sample(kinds, 8) for x in (rng.choice(words), k))
+        graphs.append(graph(text, []))
+    return graphs
+
+
 @dataclasses.dataclass
 class Field:
     """unary[feature, label]; chain[left, right]; skip[label, label]. Label 0 is nothing."""
@@ -188,10 +274,10 @@ class Field:
     skip: np.ndarray
 
 
-N = len(KINDS) + 1
+N = len(LABELS) + 1
 
 
-def fit(graphs: list[Graph], rounds: int = 120, rate: float = 0.3, l2: float = 1e-4) -> Field:
+def fit(graphs: list[Graph], rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> Field:
     """Pseudo-likelihood: each node's label given its features and its neighbours' labels, by gradient steps (Adagrad)."""
     hashed, labels, pairs, offset = [], [], {"chain": [], "skip": []}, 0
     for g in graphs:
@@ -200,7 +286,7 @@ def fit(graphs: list[Graph], rounds: int = 120, rate: float = 0.3, l2: float = 1
         for name in pairs:
             pairs[name] += [(a + offset, b + offset) for a, b in getattr(g, name)]
         offset += len(g.places)
-    unary, chain, prior = np.zeros((HASHED, N)), np.zeros((N, N)), np.diag([0.0] + [AGREE] * len(KINDS))
+    unary, chain, prior = np.zeros((HASHED, N)), np.zeros((N, N)), np.diag([0.0] + [AGREE] * len(LABELS))
     skip = prior.copy()
     if not labels:
         return Field(unary, chain, skip)
@@ -248,21 +334,22 @@ def marginals(graphs: list[Graph], field: Field, rounds: int = 12, damping: floa
     norm = lambda v: v - log_sum(v, 1)[:, None]
     if not ends:
         return np.exp(norm(unary))
-    e, t = np.array(ends), np.array(tables)
+    e, t = np.array(ends), np.array([k is field.skip for k in tables]).astype(int)
+    both = np.stack([field.chain, field.skip])
     forth, back = np.zeros((len(e), N)), np.zeros((len(e), N))  # to the right end, to the left end
 
     def beliefs() -> np.ndarray:
-        b = unary.copy()
-        np.add.at(b, e[:, 1], forth)
-        np.add.at(b, e[:, 0], back)
-        return b
+        return unary + np.stack([np.bincount(e[:, 1], forth[:, k], len(unary)) + np.bincount(e[:, 0], back[:, k], len(unary)) for k in range(N)], 1)
 
     for _ in range(rounds):
-        b = beliefs()
-        new_forth = norm(log_sum((b[e[:, 0]] - back)[:, :, None] + t, 1))
-        new_back = norm(log_sum((b[e[:, 1]] - forth)[:, None, :] + t, 2))
-        change = max(np.abs(new_forth - forth).max(), np.abs(new_back - back).max())
-        forth, back = damping * forth + (1 - damping) * new_forth, damping * back + (1 - damping) * new_back
+        b, change = beliefs(), 0.0
+        for i in range(0, len(e), EDGES):  # some edges at a time: a table for each is much more than its messages
+            part = slice(i, i + EDGES)
+            left, right, table = e[part, 0], e[part, 1], both[t[part]]
+            new_forth = norm(log_sum((b[left] - back[part])[:, :, None] + table, 1))
+            new_back = norm(log_sum((b[right] - forth[part])[:, None, :] + table, 2))
+            change = max(change, np.abs(new_forth - forth[part]).max(), np.abs(new_back - back[part]).max())
+            forth[part], back[part] = damping * forth[part] + (1 - damping) * new_forth, damping * back[part] + (1 - damping) * new_back
         if change < 1e-4:
             break
     return np.exp(norm(beliefs()))
@@ -275,11 +362,14 @@ def added_spans(text: str, g: Graph, p: np.ndarray) -> list[Span]:
         label = int(p[i].argmax()) if g.fixed[i] < 0 else 0
         if not label or p[i, label] < SURE:
             continue
+        kind = LABELS[label - 1]
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
-        while a < b and not text[b - 1].isalnum():
+        while a < b and not (text[b - 1].isalnum() or (kind == "secret" and text[b - 1] in "=/+_-")):
             b -= 1
-        kind = KINDS[label - 1]
+        if kind == "secret":  # the key itself, without the name that it is given to
+            m = max(_SECRET.finditer(text, a, b), key=lambda m: len(m[0]), default=None)
+            a, b = m.span() if m else (b, b)
         if found and kind in ("phone", "card") and found[-1][2] == kind and a - found[-1][1] <= 2 and (i - 1, i) in g.chain:
             found[-1] = (found[-1][0], b, kind)
         elif a < b:
@@ -290,7 +380,7 @@ def added_spans(text: str, g: Graph, p: np.ndarray) -> list[Span]:
 def _possible(said: str, kind: str) -> bool:
     """Whether a span can be of its kind at all, however it is written."""
     digits = _NOT_DIGIT.sub("", said)
-    return {"email": "@" in said, "ip": 4 <= len(digits) <= 12, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 7 <= len(digits) <= 15}[kind]
+    return {"email": "@" in said or _HIDDEN.fullmatch(said) is not None, "secret": _SECRET.fullmatch(said) is not None and bool(digits) and len(digits) < len(said), "ip": 4 <= len(digits) <= 12, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 7 <= len(digits) <= 15}[kind]
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
@@ -303,17 +393,17 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
         for batch in batches:
             rows = []
             for text in texts(batch):
-                g = graph(text, base_spans(text))
-                if len(g.places) <= left:
-                    left -= len(g.places)
-                    rows.append({"hashed": g.hashed, "fixed": g.fixed, "chain": [list(e) for e in g.chain], "skip": [list(e) for e in g.skip]})
+                for g in lessons(text):
+                    if len(g.places) <= left:
+                        left -= len(g.places)
+                        rows.append({"hashed": g.hashed, "fixed": g.fixed, "chain": [list(e) for e in g.chain], "skip": [list(e) for e in g.skip]})
             nested = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("hashed", nested), ("fixed", pa.list_(pa.int64())), ("chain", nested), ("skip", nested)]))
 
     nested = "array<array<long>>"
     rows = sample.coalesce(1).mapInArrow(run, f"hashed {nested}, fixed array<long>, chain {nested}, skip {nested}").collect()
     graphs = [Graph([(0, 0)] * len(r.fixed), r.hashed, r.fixed, [tuple(e) for e in r.chain], [tuple(e) for e in r.skip]) for r in rows if r.fixed]
-    return fit(sorted(graphs, key=lambda g: (g.fixed, g.hashed)))
+    return fit(sorted(graphs, key=lambda g: (g.fixed, g.hashed)) + (plain_numbers() if graphs else []))
 
 
 def _spans(batch_texts: list[str], field: Field) -> Iterator[tuple[list[Span], list[Span]]]:
@@ -328,16 +418,16 @@ def _spans(batch_texts: list[str], field: Field) -> Iterator[tuple[list[Span], l
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and spans for each document."""
+    """doc_id, counts of base spans by kind, base_sha256, spans and n_spans (of all kinds, added ones too) for each document."""
     field = field or learn(docs)
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_spans(texts(batch), field))
             columns = [pa.array([sum(s[2] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
             sums = pa.array([hashlib.sha256(said(b).encode()).hexdigest() for b, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, sums, pa.array([said(s) for _, s in found], pa.string())], [c.split()[0] for c in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, sums, pa.array([said(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], [c.split()[0] for c in schema.split(", ")])
 
     return docs.select("doc_id", empty_text()).mapInArrow(run, schema)
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from geoledger.llm import licenses, pii
 
@@ -53,7 +57,7 @@ def spans(text, field):
 def field():
     rng = random.Random(0)
     train = [f"the quick +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} thing and ab{rng.randint(1, 99)}@mail.example.com or {rng.randint(0, 99)} items, {rng.randint(100, 999)} boxes in {rng.randint(1900, 2030)}." for _ in range(300)]
-    return pii.fit([pii.graph(t, pii.base_spans(t)) for t in train])
+    return pii.fit([g for t in train for g in pii.lessons(t)] + pii.plain_numbers())
 
 
 @pytest.mark.parametrize("base", ["+1 988 555 2485", "+19885552485", "+1 (988) 555-2485", "+1 988  555  2485"])
@@ -78,5 +82,52 @@ def test_field_is_fitted_on_whole_documents(spark, monkeypatch):
     monkeypatch.setattr(pii, "fit", seen.extend)
     text = "+1 (988) 555-2485 " + " ".join(f"w {i} x" for i in range(400)) + " dial 988-555-2485"
     pii.learn(documents(spark, [text, "see 12 items"]))
-    want = {tuple(g.fixed): g for g in (pii.graph(t, pii.base_spans(t)) for t in (text, "see 12 items"))}
-    assert len(seen) == 2 and all((g.hashed, g.chain, g.skip) == (want[tuple(g.fixed)].hashed, want[tuple(g.fixed)].chain, want[tuple(g.fixed)].skip) for g in seen)
+    key = lambda g: (g.fixed, g.hashed, g.chain, g.skip)
+    want = sorted(key(g) for t in (text, "see 12 items") for g in pii.lessons(t))
+    assert len(want) == 3 and sorted(key(g) for g in seen[:3]) == want and len(seen) == 3 + pii.PLAIN
+
+
+def test_field_finds_what_no_pattern_matches(field):
+    assert spans("dial 988-555-2485 or (988) 555-2485 today", field) == [("phone", "988-555-2485"), ("phone", "(988) 555-2485")]
+    assert spans("write to ab17[at]mail.example.com now", field) == [("email", "ab17[at]mail.example.com")]
+    assert spans("from 2004-12-15 on there were 10,000 of (2004) 12-15 items, 1999-2004", field) == []
+
+
+def test_field_learns_keys_given_to_a_name():
+    rng = random.Random(4)
+    key = lambda: f"{rng.getrandbits(160):040x}"
+    learned = pii.fit([g for _ in range(100) for g in pii.lessons(f'some words token = "{key()}" and {rng.randint(1, 99)} more')] + pii.plain_numbers())
+    one, other = key(), key()
+    assert spans(f'now token = "{one}" stands here, and later {one} again', learned) == [("secret", one)] * 2
+    assert spans(f"commit {other} fixed it", learned) == []
+
+
+# The patterns of the contract.
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits_of(said):
+    return [int(c) for c in said if c in "0123456789"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.sampled_from(list("0124569.- +()x")), max_size=60))
+def test_numbers_are_the_patterns_matches(text):
+    def plain_luhn(d):
+        return sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    want = [(*m.span(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    want += [(*m.span(), "card") for m in CARD.finditer(text) if 12 <= len(digits_of(m[0])) <= 19 and plain_luhn(digits_of(m[0]))]
+    want += [(*m.span(), "phone") for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
+    assert pii.base_spans(text) == pii.ordered(want)
+
+
+def test_long_runs_of_digits_are_read_in_linear_time(field):
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 5006, "ip")]
+    began = time.perf_counter()
+    for text in ("1" * 1_000_000, "1." * 500_000, "1 " * 100_000 + "+1" * 100_000, "+1((((" * 100_000, "a@" * 500_000):
+        pii.base_spans(text)
+    assert spans("7" * 1_000_000 + " x", field) == []
+    assert time.perf_counter() - began < 20
