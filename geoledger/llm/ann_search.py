@@ -1,16 +1,21 @@
 """Approximate nearest neighbours by learned partitions.
 
-The neighbour graph of a bounded sample (SAMPLE vectors) is cut into balanced parts: seeds far apart grow over the graph under a
-size limit, then nodes move to the part of most of their neighbours while sizes allow it. A small softmax classifier learns to tell
-the part from the vector. Every row is indexed under its most probable part; a query goes to its most probable parts, as many as
-hold PROBED of the probability but at least LEAST_PARTS, and the rows there are reranked by the exact inner product. The first
-LEAST_PARTS parts give a query its k-th score so far; from the others only rows that reach it leave their task.
-
-A part's rows lie in blocks of at most about BLOCK rows, so that a part with a third of all rows is many rows of the join. The
-parts grow in number with the table. Defined results: vectors that are null, zero or hold null or non-finite components take no
-part, nor do vectors of another length than most; ties go to the smaller vec_id; a repeated vec_id is a candidate for each of
-its rows and a query once for each distinct vector; an empty table gives no rows; a query that finds fewer than k rows in
-its parts is searched against all parts, so that it returns k, or all candidates.
+The neighbour graph of a bounded sample (SAMPLE vectors) is cut into balanced parts: vectors first go to the nearest of centres, in
+rounds and under a size limit, then each moves to the part of most of its neighbours in the graph while sizes allow it, which cuts fewer
+edges. A small softmax classifier learns to tell the parts of a vector's neighbours from the vector. Every row is indexed under its most
+probable part; a query goes to its most probable parts, as many as hold PROBED of the probability but at least LEAST_PARTS, and the
+rows there are reranked by the exact inner product. The first LEAST_PARTS parts give a query its k-th score so far; from the
+others only rows that reach it leave their task.
+
+Parts grow in number with the table, about PART_ROWS rows each: up to MOST_PARTS by one classifier; beyond that each part is cut
+again by a classifier of its own, learned in a task from a bounded sample of the part, and probabilities multiply (MOST_PARTS squared parts
+at most; then parts grow). A part's rows lie in blocks of at most about BLOCK rows, so that a part with a third of all rows is many
+rows of the join.
+
+Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another length
+than most; ties go to the smaller vec_id; a repeated vec_id is a candidate for each of its rows and a query once for each
+distinct vector; an empty table gives no rows; a query that finds fewer than k rows in its parts is searched against all
+parts, so that it returns k, or all candidates.
 """
 
 from __future__ import annotations
@@ -91,31 +96,91 @@ def probabilities(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-class Router:
-    """Learned partitions of a bounded sample."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    scale = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(scale > 0, scale, 1)
 
-    def __init__(self, sample: np.ndarray, parts: int):
-        scale = np.linalg.norm(sample, axis=1, keepdims=True)
-        x = sample / np.where(scale > 0, scale, 1)
-        self.parts = max(1, min(parts, len(x) // 8))
-        if self.parts > 1:
-            near = neighbour_graph(x, GRAPH_DEGREE)
-            self.w, self.b = fit_router(x, balanced_parts(near, x, self.parts), near, self.parts)
 
-    def _probabilities(self, x: np.ndarray) -> np.ndarray:
-        return probabilities(x / np.linalg.norm(x, axis=1, keepdims=True), self.w, self.b) if self.parts > 1 else np.ones((len(x), 1))
+def learned_parts(sample: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and offsets of a classifier over at most `parts` parts of a bounded sample."""
+    x = _scaled(sample) if len(sample) else sample
+    parts = max(1, min(parts, len(x) // 8))
+    if parts == 1:
+        return np.zeros((x.shape[1], 1)), np.zeros(1)
+    near = neighbour_graph(x, GRAPH_DEGREE)
+    return fit_router(x, balanced_parts(near, x, parts), near, parts)
 
-    def home(self, x: np.ndarray) -> np.ndarray:
-        return self._probabilities(x).argmax(1)
 
-    def probes(self, x: np.ndarray) -> list[list[int]]:
-        p = self._probabilities(x)
+class Router:
+    """A classifier over parts and, where given, one over the parts of each of them: `below`."""
+
+    def __init__(self, top: tuple[np.ndarray, np.ndarray], below: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.top, self.below = top, below or {}
+        self.starts = np.cumsum([0, *(len(self.below[i][1]) if i in self.below else 1 for i in range(len(top[1])))])
+        self.parts = int(self.starts[-1])
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of each part, for each row."""
+        x = _scaled(x)
+        p = probabilities(x, *self.top)
+        out = np.empty((len(x), self.parts))
+        for i in range(p.shape[1]):
+            inner = probabilities(x, *self.below[i]) if i in self.below else 1.0
+            out[:, self.starts[i] : self.starts[i + 1]] = p[:, i : i + 1] * inner
+        return out
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of the most probable part above."""
+        x = _scaled(x)
+        top = probabilities(x, *self.top).argmax(1)
+        out = self.starts[top]
+        for i in set(top.tolist()) & set(self.below):
+            rows = top == i
+            out[rows] += probabilities(x[rows], *self.below[i]).argmax(1)
+        return out
+
+    def probes(self, x: np.ndarray, probed: float = PROBED) -> list[list[int]]:
+        p = self.probabilities(x)
         order = np.argsort(-p, 1, kind="stable")
         mass = np.cumsum(np.take_along_axis(p, order, 1), 1)
-        n = np.maximum((mass < PROBED).sum(1) + 1, min(LEAST_PARTS, self.parts))
+        n = np.minimum(np.maximum((mass < probed).sum(1) + 1, LEAST_PARTS), self.parts)
         return [o[:m].tolist() for o, m in zip(order, n, strict=True)]
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def learn(vectors: DataFrame, n: int, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> Router:
+    """The router of a table of n vectors. On the driver: a sample of SAMPLE vectors, and at most most_parts classifiers of a part's parts."""
+    sample = vectors.select("vector", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).collect()
+    wanted = max(1, n // part_rows)
+    top = Router(learned_parts(np.array([r.vector for r in sample]).reshape(len(sample), -1 if sample else 0), min(most_parts, wanted)))
+    if wanted <= most_parts or top.parts == 1:
+        return top
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(top.home(_matrix(batch)), pa.int32()), batch.column("vec_id"), batch.column("vector")], ["part", "vec_id", "vector"])
+
+    at = written(vectors.mapInArrow(placed, "part int, vec_id long, vector array<double>"), "ann-placed")
+    sizes = at.groupBy("part").agg(F.count("*").alias("n"))  # a row for each part: most_parts at most
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
+    drawn = at.join(sizes, "part").filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
+
+    def below(key: tuple, rows: pa.Table) -> pa.Table:
+        """A part's sample is about SAMPLE rows, by its hash."""
+        rows = rows.sort_by([("vec_id", "ascending")]).slice(0, 2 * SAMPLE).combine_chunks()
+        x = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        w, b = learned_parts(x, min(most_parts, max(1, rows.column("n")[0].as_py() // part_rows)))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "b": pa.array([b.astype(np.float32).tobytes()], pa.binary())})
+
+    found = drawn.groupBy("part").applyInArrow(below, "part int, w binary, b binary").collect()
+    tables = {r.part: (np.frombuffer(r.w, np.float32), np.frombuffer(r.b, np.float32)) for r in found}
+    return Router(top.top, {i: (w.reshape(-1, len(b)), b) for i, (w, b) in tables.items()})
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in order, so that equal vectors have equal scores wherever they lie."""
     total = np.zeros(len(x))
@@ -138,40 +203,37 @@ def rerank(qi, q, floor, ci, c, k: int) -> Iterator[tuple[int, int, float]]:
                 yield int(qi[a]), int(ci[near[i]]), float(score[i])
 
 
-def search(embeddings: DataFrame, every: int, k: int) -> DataFrame:
+def search(embeddings: DataFrame, every: int, k: int, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS, probed: float = PROBED) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, whose vec_id is divisible by `every`, against all other rows."""
     vectors = finite_vectors(embeddings).filter(F.exists("vector", lambda x: x != 0))
     vectors = written(vectors, "ann-vectors")
     n = vectors.count()
-    sample = vectors.select("vector", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).collect()
-    router = Router(np.array([r.vector for r in sample]).reshape(len(sample), -1 if sample else 0), min(MOST_PARTS, max(1, n // PART_ROWS)))
+    router = learn(vectors, n, part_rows, most_parts)
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(router.home(x), pa.int32()), batch.column("vec_id"), batch.column("vector")], ["part", "vec_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(router.home(_matrix(batch)), pa.int32()), batch.column("vec_id"), batch.column("vector")], ["part", "vec_id", "vector"])
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(router.probes(x), pa.list_(pa.int32())), batch.column("vec_id"), batch.column("vector")], ["parts", "vec_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(router.probes(_matrix(batch), probed), pa.list_(pa.int32())), batch.column("vec_id"), batch.column("vector")], ["parts", "vec_id", "vector"])
 
     indexed = written(vectors.mapInArrow(at_home, "part int, vec_id long, vector array<double>"), "ann-index")
-    sizes = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}  # a row for each part, of which there are MOST_PARTS at most
-    block_count = F.create_map(*(F.lit(v) for p, m in sizes.items() for v in (p, max(1, math.ceil(m / BLOCK))))) if sizes else F.create_map(F.lit(0), F.lit(1))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), block_count[F.col("part")]).cast("int")
-    blocks = indexed.groupBy("part", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("r")).select("part", "block", "r")
+    # a row for each part that holds rows: parts are 4096 at most
+    counts = written(indexed.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("n_blocks")), "ann-counts")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("n_blocks")).cast("int")
+    blocks = indexed.join(counts, "part").groupBy("part", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("r")).select("part", "block", "r")
 
     queries = vectors.filter(F.col("vec_id") % every == 0).distinct().mapInArrow(probing, "parts array<int>, vec_id long, vector array<double>")
     queries = written(queries, "ann-queries")
     n_blocks = max(1, math.ceil(n / every / QUERY_BLOCK))
 
-    def found(probed: DataFrame) -> DataFrame:
-        """probed: part, vec_id, vector, floor. Query blocks of each part, with each block of it."""
-        mine = probed.groupBy("part", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(n_blocks)).alias("q_block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", "floor"))).alias("q"))
-        mine = mine.withColumn("block", F.explode(F.sequence(F.lit(0), block_count[F.col("part")] - 1)))
+    def found(probing_rows: DataFrame) -> DataFrame:
+        """probing_rows: part, vec_id, vector, floor. Query blocks of each part, with each block of it."""
+        mine = probing_rows.groupBy("part", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(n_blocks)).alias("q_block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", "floor"))).alias("q"))
+        mine = mine.join(counts, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         return mine.join(blocks, ["part", "block"]).select("q", "r").mapInArrow(tile, "query_id long, vec_id long, score double")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +250,9 @@ def search(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     first = written(best_rows(found(probe(queries.withColumn("floor", none), F.slice("parts", 1, LEAST_PARTS))), k), "ann-first")
     floors = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
     others = queries.filter(F.size("parts") > LEAST_PARTS).join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reached", none))
-    more = found(probe(others, F.slice("parts", LEAST_PARTS + 1, MOST_PARTS)))
+    more = found(probe(others, F.slice("parts", LEAST_PARTS + 1, router.parts)))
     both = written(best_rows(first.drop("rank").unionByName(more), k), "ann-found")
     # queries whose parts hold fewer than k rows are searched everywhere
     short = queries.join(both.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= min(k, n - 1)), "vec_id", "left_anti")
-    everywhere = probe(short.withColumn("floor", none), F.array(*(F.lit(p) for p in sorted(sizes))) if sizes else F.col("parts"))
+    everywhere = probe(short.withColumn("floor", none), F.sequence(F.lit(0), F.lit(router.parts - 1)))
     return both.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(best_rows(found(everywhere), k))
