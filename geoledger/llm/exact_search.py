@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import best_rows, finite_vectors
 
-PIVOTS, PIVOT_SAMPLE, QUERY_BLOCK, BLOCK, STEP = 24, 512, 1024, 8192, 256
+PIVOTS, PIVOT_SAMPLE, QUERY_BLOCK, BLOCK, LEAST_BLOCK, STEP = 24, 512, 1024, 8192, 1024, 256
 #: The score that a query begins with.
 LOWEST = -(1 << 62)
 
@@ -99,7 +99,9 @@ def search(embeddings: DataFrame, every: int, k: int, scale: int = 256) -> DataF
     is_query = F.col("vec_id") % every == 0
     n, n_query = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     pivots = choose_pivots(vectors)
-    blocks, query_blocks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(n_query / QUERY_BLOCK))
+    # small tables are cut finer, so that all task slots have tiles
+    blocks = max(1, math.ceil(n / BLOCK), min(embeddings.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK))
+    query_blocks = max(1, math.ceil(n_query / QUERY_BLOCK))
     rows = written(pivot_blocks(vectors, pivots, blocks), "exact-blocks")
     width = pivots.shape[1]
 

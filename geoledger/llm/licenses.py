@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index.
 
-The index holds, for the word of each template's mandatory key phrases with the highest IDF, its posting (template, phrase,
-position). A template stands at no place without that word, so each of its occurrences in a file is looked up, however many
-notices the file holds, and gives the template's places, up to SLACK words off. There all its key phrases are verified,
-and the share of its words that stand in their places is its score. Base phrases are templates that must match whole and
+The index holds, for the two highest-IDF words of each template's mandatory key phrases, their postings (template, phrase, position). A
+template stands at no place without both, so a file's own licence words are looked up, and each occurrence with its phrase around it
+tells places where the template may begin, up to SLACK words off; the places that both words tell (the postings met by relative
+position) are left. There all key phrases are verified, and the share of the template's words that stand in their places is its score.
+Base phrases are templates that must match whole and
 everywhere: their rarest word is looked up alike, so no place is missed. The IDF of a licence word is taken over all documents.
 
 Defined results: null text is an empty text (no words, score 0); other columns play no part; repeated rows and null ids
@@ -40,9 +41,20 @@ TEMPLATES = {
     "cc-by-nc-4.0": [("licensed under cc by nc 4 0", ["cc by nc 4 0"]), ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"])],
     "cc-by-sa-4.0": [("licensed under cc by sa 4 0", ["cc by sa 4 0"]), ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"])],
     "cc0": [("this work is dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"])],
+    "cc-by-nd-4.0": [("licensed under cc by nd 4 0", ["cc by nd 4 0"]), ("this work is licensed under a creative commons attribution noderivatives 4 0 international license", ["creative commons attribution noderivatives"])],
+    "bsd-3-clause": [("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["nor the names of its contributors", "specific prior written permission"])],
+    "mit-notice": [("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission notice shall be included", "substantial portions"])],
+    "zlib": [("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty", "authors be held liable"])],
+    "bsl-1.0": [("distributed under the boost software license version 1 0", ["boost software license"])],
+    "epl-2.0": [("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"])],
+    "ofl-1.1": [("this font software is licensed under the sil open font license version 1 1", ["open font license"])],
+    "artistic-2.0": [("licensed under the artistic license 2 0", ["artistic license 2 0"])],
+    "postgresql": [("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ["without a written agreement is hereby granted"])],
     "unlicense": [("this is free and unencumbered software released into the public domain", ["unencumbered software"])],
 }
 
+#: Words of each template whose postings must meet.
+RARE_WORDS = 2
 #: Words that a key phrase may be off, and share of a template's words that must be in place.
 SLACK, SHARE = 2, 0.6
 
@@ -70,10 +82,17 @@ class Index:
         for b, (_, phrase) in enumerate(self.base):
             q = max(range(len(phrase)), key=lambda i: (idf[phrase[i]], -i))
             self.anchors.setdefault(phrase[q], []).append((b, q))
-        self.postings: dict[bytes, list[tuple[int, int, int]]] = {}  # rarest word of a template's key phrases: (template, phrase, its place in that)
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = {}  # rarest words of a template's key phrases: (template, phrase, place in it)
+        self.needed: list[tuple[bytes, ...]] = []  # by template: those words
         for t, (_, _, keys) in enumerate(self.templates):
-            k, q = max(((k, q) for k, (_, key) in enumerate(keys) for q in range(len(key))), key=lambda x: (idf[keys[x[0]][1][x[1]]], -x[0], -x[1]))
-            self.postings.setdefault(keys[k][1][q], []).append((t, k, q))
+            ranked = sorted(((k, q) for k, (_, key) in enumerate(keys) for q in range(len(key))), key=lambda x: (-idf[keys[x[0]][1][x[1]]], x[0], x[1]))
+            chosen: dict[bytes, tuple[int, int]] = {}
+            for k, q in ranked:
+                if len(chosen) < RARE_WORDS:
+                    chosen.setdefault(keys[k][1][q], (k, q))
+            self.needed.append(tuple(chosen))
+            for w, (k, q) in chosen.items():
+                self.postings.setdefault(w, []).append((t, k, q))
         self.rare = frozenset(self.anchors) | frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> tuple[list[int], list[str], list[tuple[str, int, float]]]:
@@ -81,7 +100,8 @@ class Index:
         look = self.rare.intersection(words)
         if not look:
             return [], [], []
-        places, labels, candidates = [], set(), set()
+        places, labels = [], set()
+        starts: dict[tuple[int, bytes], set[int]] = {}
         for p, w in enumerate(words):
             if w in look:
                 for b, q in self.anchors.get(w, ()):
@@ -92,7 +112,9 @@ class Index:
                 for t, k, q in self.postings.get(w, ()):
                     offset, key = self.templates[t][2][k]
                     if p >= q and tuple(words[p - q : p - q + len(key)]) == key:
-                        candidates.update((t, p - q - offset - d) for d in range(-SLACK, SLACK + 1) if p - q - offset >= d)
+                        starts.setdefault((t, w), set()).update(p - q - offset - d for d in range(-SLACK, SLACK + 1) if p - q - offset >= d)
+        met = {t: set.intersection(*(starts.get((t, w), set()) for w in self.needed[t])) for t, _ in starts}
+        candidates = [(t, at) for t, found in met.items() for at in found]
         best: dict[str, tuple[float, int]] = {}
         for t, at in candidates:
             label, template, keys = self.templates[t]
