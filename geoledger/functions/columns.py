@@ -70,6 +70,24 @@ def safe_number(c: Column) -> Column:
     return F.when((cleaned != "") & ~F.lower(cleaned).isin(*MISSING) & (found != ""), found.try_cast("double"))
 
 
+def number_or_text(c: Column) -> tuple[Column, Column]:
+    """(number, text): a field as safe_number has it, and the trimmed text where it holds no number and isn't a missing mark."""
+    n, text = safe_number(c), F.trim(c)
+    return n, F.when(n.isNull() & (text != "") & ~F.lower(F.regexp_replace(text, ",", "")).isin(*MISSING), text)
+
+
+def coordinate_from_parts(fields: Column, base: str) -> Column:
+    """Degrees from three fields of a map, base with 度, 分 and 秒; null unless all three are there."""
+    parts = [fields[f"{base}{part}"] for part in ("度", "分", "秒")]
+    return F.when(parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull(), decimal_degrees(F.concat_ws(" ", *parts)))
+
+
+def file_name(c: Column, longest: int = 120) -> Column:
+    """A safe file name: marks that systems refuse become _, runs of them one; unnamed where nothing is left."""
+    cleaned = F.regexp_replace(F.regexp_replace(F.trim(c), r'[\\/:*?"<>|\x00-\x1f]+', "_"), r"^[. ]+|[. ]+$", "")
+    return F.when(F.coalesce(cleaned, F.lit("")) == "", "unnamed").otherwise(F.substring(cleaned, 1, longest))
+
+
 def normalized(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, NAME_MARKS, ""))
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .joins import near_pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,8 +30,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def location_groups(points: DataFrame, tolerance: float, key: str = "boring_id") -> DataFrame:
-    """key, location (the smallest key of its component): keys whose median places are linked by steps within the tolerance."""
+    """key, location (the smallest key of its component): keys whose median places are linked by steps within the tolerance.
+
+    In a cell of tolerance / sqrt(2) all places are within the tolerance of each other, so they are one node, the cell, however many they
+    are; neighbouring cells need one link, found among their distinct places."""
     sites = points.groupBy(key).agg(F.median("x").alias("x"), F.median("y").alias("y"))
-    pairs = near_pairs(sites, sites.withColumnRenamed(key, "_other"), tolerance, key, "_other").filter(F.col(key) < F.col("_other"))
-    found = components(pairs.select(F.col(key).alias("a"), F.col("_other").alias("b")))
-    return sites.select(key).join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", key).alias("location"))
+    side = tolerance / 2**0.5
+    cell = lambda c: F.floor(F.col(c) / side)
+    placed = written(sites.withColumns({"cx": cell("x"), "cy": cell("y")}), "places")
+    cells = placed.groupBy("cx", "cy").agg(F.min(key).alias("least"))
+    places = placed.join(cells, ["cx", "cy"]).select("cx", "cy", "least", "x", "y").distinct()
+    # half of the cells around, so that each two cells meet once
+    steps = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)))
+    other = places.select("cx", "cy", F.col("least").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(steps).alias("s")).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "a", "ax", "ay")
+    near = F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2) <= tolerance
+    links = other.join(places, ["cx", "cy"]).filter(near).select("a", F.col("least").alias("b")).distinct()
+    found = components(links).select(F.col("node").alias("least"), "component")
+    return placed.join(cells, ["cx", "cy"]).join(found, "least", "left").select(key, F.coalesce("component", "least").alias("location"))

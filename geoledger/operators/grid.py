@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import grid_index, is_finite, on_grid
@@ -84,6 +84,18 @@ def text_matrix(mask: DataFrame, predictions: DataFrame, shape: tuple[int, int])
 
 
 def shallowest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The measurement of least depth, then largest value, of each key."""
-    order = Window.partitionBy(*keys).orderBy("depth", F.desc("n_value"))
-    return df.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """The measurement of least depth, then largest value, of each key: one aggregation, combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("depth", F.col("n_value").isNull().alias("_u"), (-F.col("n_value")).alias("_n"), *(c for c in rest if c not in ("depth", "n_value")))).alias("_row"))
+    return best.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest)).select(df.columns)
+
+
+def grid_shape(xmin: float, xmax: float, ymin: float, ymax: float, step: float) -> tuple[int, int]:
+    """Rows and columns of a grid whose bounds are both on grid lines; raises otherwise."""
+    shape = []
+    for low, high in ((ymin, ymax), (xmin, xmax)):
+        n = round((high - low) / step)
+        if n < 1 or step <= 0 or abs(low + n * step - high) > 1e-6 * step:
+            raise ValueError("bounds and spacing don't make whole cells")
+        shape.append(n + 1)
+    return shape[0], shape[1]

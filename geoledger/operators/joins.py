@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .ledger import assert_unique
 
 
@@ -73,3 +75,38 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     o, n = old.alias("o"), new.alias("n")
     side = lambda c: F.coalesce(*(F.col(f"{s}.{c}") for s, df in (("n", new), ("o", old)) if c in df.columns)).alias(c)
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(F.coalesce(f"n.{key}", f"o.{key}").alias(key), *(side(c) for c in columns))
+
+
+def require_all_matched(left: DataFrame, right: DataFrame, on: Sequence[str], what: str = "rows") -> DataFrame:
+    """left joined one to one with right; raises if a row of left has no match or a key repeats."""
+    assert_unique(left, on, "left side")
+    assert_unique(right, on, "right side")
+    if left.join(right, list(on), "left_anti").limit(1).count():
+        raise ValueError(f"{what} without a match")
+    return left.join(right, list(on))
+
+
+def nearest_at_all(points: DataFrame, references: DataFrame, radius: float, key: str, reference_key: str) -> DataFrame:
+    """key, nearest_<reference_key>, nearest_distance of the nearest reference however far it is: rings of cells of the radius, then of twice
+    it and so on, until no point is left; each round joins by equal cells, and takes only points that have none within its radius yet."""
+    left, parts, r = points.select(key, "x", "y").distinct(), [], radius
+    ends = references.select("x", "y").unionByName(left.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    span = None if ends is None or ends[0] is None else (ends[0] ** 2 + ends[1] ** 2) ** 0.5
+    if span is None or not references.limit(1).count():
+        return left.select(key, F.lit(None).cast(references.schema[reference_key].dataType).alias(f"nearest_{reference_key}"), F.lit(None).cast("double").alias("nearest_distance"))
+    while True:
+        found = near_pairs(left, references, r, key, reference_key).groupBy(key).agg(F.min(F.struct("distance", reference_key)).alias("best"))
+        found = written(found.select(key, F.col(f"best.{reference_key}").alias(f"nearest_{reference_key}"), F.col("best.distance").alias("nearest_distance")), "nearest")
+        parts.append(found)
+        if r > span:
+            return reduce(DataFrame.unionByName, parts)
+        left = written(left.join(found, key, "left_anti"), "far")
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, parts)
+        r *= 4
+
+
+def depth_gap(queries: DataFrame, nearest: DataFrame, measurements: DataFrame, key: str, hole: str) -> DataFrame:
+    """key and n_nearest_hole_depth_gap: from the query's depth to the closest measured depth of its nearest hole."""
+    both = queries.select(key, "depth").join(nearest.select(key, F.col(f"nearest_{hole}").alias(hole)), key).join(measurements.select(hole, F.col("depth").alias("_d")), hole)
+    return both.groupBy(key).agg(F.min(F.abs(F.col("_d") - F.col("depth"))).alias("n_nearest_hole_depth_gap"))

@@ -60,10 +60,19 @@ def baseline_deltas(df: DataFrame, keys: Sequence[str], condition: str, baseline
     return df.join(base, list(keys)).select(*keys, condition, (F.col(metric) - F.col("_base")).alias("delta"), (F.col(metric) > F.col("_base")).alias("improved"))
 
 
-def quantile_higher(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
-    """The value at position ceil((n-1)q) of the sorted values: by rank, so that no group is gathered in an array."""
-    ranked = df.filter(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(Window.partitionBy(*keys).orderBy(value)), "_n": F.count("*").over(Window.partitionBy(*keys))})
-    return ranked.filter(F.col("_r") == F.ceil((F.col("_n") - 1) * q) + 1).select(*keys, F.col(value).alias("quantile"), F.col("_n").alias("n"))
+def quantile_higher(df: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = 10_000) -> DataFrame:
+    """quantile, n: the value at position ceil((n-1)q) of the sorted values. A sketch, whose rank is off by n / accuracy at most, brackets it; only
+    distinct values inside the bracket are put in order, after counting those below, so no task sorts a whole group."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    at = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    span = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", at, accuracy).alias("_span"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    low = F.when(F.lit(at[0] <= 0), F.col("_lo")).otherwise(F.get("_span", F.lit(0)))
+    high = F.when(F.lit(at[1] >= 1), F.col("_hi")).otherwise(F.get("_span", F.lit(1)))
+    span = span.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keys)), low.alias("_low"), high.alias("_high"), "_n", (F.ceil((F.col("_n") - 1) * q) + 1).alias("_rank"))
+    both = rows.join(span, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)]) if keys else rows.join(F.broadcast(span))  # one row
+    counted = both.filter("_v <= _high").groupBy(*keys, "_n", "_rank", F.greatest("_v", "_low").alias("_v")).agg(F.count("*").alias("_c"))  # all below count at the bracket's low end
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+    return counted.withColumn("_upto", upto).filter("_upto >= _rank").groupBy(*keys, F.col("_n").alias("n")).agg(F.min("_v").alias("quantile")).select(*keys, "quantile", "n")
 
 
 def ensemble(df: DataFrame, members: Sequence[str], radius: Column, least: float, most: float) -> DataFrame:
@@ -91,3 +100,94 @@ def unseen_categories(df: DataFrame, fold: str, category: str) -> DataFrame:
 
 def availability(df: DataFrame, by: str, present: Column) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(present).alias("available"), F.avg(present.cast("double")).alias("fraction"))
+
+
+def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    """value, n, fraction of each value, null too; top: only the most frequent, ties by value."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    out = counts.join(F.broadcast(df.agg(F.count("*").alias("_all")))).select("value", "n", (F.col("n") / F.col("_all")).alias("fraction"))  # one row
+    return out.orderBy(F.desc("n"), F.col("value").asc_nulls_last()).limit(top) if top else out
+
+
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for each column: count of finite values, missing, mean, std, min, quartiles (exact), max."""
+    rows = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))))
+    v = F.when(is_finite(F.col("v")), F.col("v"))
+    quarter = lambda q: F.percentile(v, q)
+    return rows.groupBy("name").agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), quarter(0.25).alias("q25"), quarter(0.5).alias("median"), quarter(0.75).alias("q75"), F.max(v).alias("most"))
+
+
+def distribution(df: DataFrame, keys: Sequence[str], value: str, enough: int = 5) -> DataFrame:
+    """count, least, most, mean, median (exact) of a value by keys, and status: insufficient below `enough` values, no_data without any."""
+    v = F.when(is_finite(F.col(value)), F.col(value))
+    out = df.groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.median(v).alias("median"))
+    return out.withColumn("status", F.when(F.col("count") == 0, "no_data").when(F.col("count") < enough, "insufficient").otherwise("ok"))
+
+
+def composition(df: DataFrame, parts: Sequence[str], total: float = 100.0, tolerance: float = 1.0) -> DataFrame:
+    """One row: rows that hold all parts, least, mean and most of their sums, and how many are off the total by more than the tolerance."""
+    whole = F.lit(True)
+    for p in parts:
+        whole = whole & is_finite(F.col(p))
+    s = F.when(whole, sum((F.col(p) for p in parts), F.lit(0.0)))
+    return df.agg(F.count("*").alias("rows"), F.count(s).alias("complete"), F.min(s).alias("sum_least"), F.avg(s).alias("sum_mean"), F.max(s).alias("sum_most"), F.count_if(F.abs(s - total) > tolerance).alias("off_total"))
+
+
+def metric_report(df: DataFrame, actual: str, predicted: str, fold: str, observed: DataFrame | None = None) -> DataFrame:
+    """population, and the metrics: a row for each fold, mean and sample deviation over folds, the pooled out-of-fold row, and (observed: final
+    fits on all rows) the all_observed row, which tells the fit and not the skill. The populations are labelled aggregates of the same kind."""
+    names = ["n", "mae", "rmse", "bias", "r2"]
+    folds = regression_metrics(df, actual, predicted, [fold])
+    rows = folds.select(F.concat(F.lit("fold_"), F.col(fold).cast("string")).alias("population"), *(F.col(c).cast("double").alias(c) for c in names))
+    for label, f in (("fold_mean", F.avg), ("fold_std", F.stddev_samp)):
+        rows = rows.unionByName(folds.agg(*(f(F.col(c).cast("double")).alias(c) for c in names)).withColumn("population", F.lit(label)))
+    for label, frame in (("pooled", df), ("all_observed", observed)):
+        if frame is not None:
+            rows = rows.unionByName(regression_metrics(frame, actual, predicted).select(F.lit(label).alias("population"), *(F.col(c).cast("double").alias(c) for c in names)))
+    return rows
+
+
+def median_count(df: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """The median of counts, cut to a whole number: the tree count that a final fit uses."""
+    return df.groupBy(*keys).agg(F.floor(F.median(count)).cast("int").alias(f"median_{count}"), F.count("*").alias("runs"))
+
+
+def code_fractions(coded: DataFrame, code: str, area: Column | None = None) -> DataFrame:
+    """code, cells and fraction of the points of a grid (and of an area, where one is given) by code; each point counts once, so overlapping
+    polygons don't count twice. Null codes are UNKNOWN."""
+    by = coded.groupBy(F.coalesce(F.col(code), F.lit("UNKNOWN")).alias("code")).agg(F.count("*").alias("cells"), *([F.sum(area).alias("area")] if area is not None else []))
+    whole = by.agg(F.sum("cells").alias("_cells"), *([F.sum("area").alias("_area")] if area is not None else []))
+    out = by.join(F.broadcast(whole))  # one row
+    return out.select("code", "cells", (F.col("cells") / F.col("_cells")).alias("fraction"), *([F.col("area"), (F.col("area") / F.col("_area")).alias("area_fraction")] if area is not None else []))
+
+
+def common_codes(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The codes that both tables hold."""
+    return a.select(column).filter(F.col(column).isNotNull()).intersect(b.select(column))
+
+
+def colour_limits(df: DataFrame, value: str, padding: float = 0.5) -> DataFrame:
+    """One row: limits of a value's colours; a constant range is widened on both sides."""
+    v = F.when(is_finite(F.col(value)), F.col(value))
+    span = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    flat = F.col("lo") == F.col("hi")
+    return span.select(F.when(flat, F.col("lo") - padding).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + padding).otherwise(F.col("hi")).alias("hi"))
+
+
+def plausible(df: DataFrame, longitude: str, latitude: str, west: float = 122.0, east: float = 154.0, south: float = 20.0, north: float = 46.0) -> DataFrame:
+    """df with plausible: whether both coordinates lie in the box; the others are kept for the audit."""
+    inside = F.col(longitude).between(west, east) & F.col(latitude).between(south, north)
+    return df.withColumn("plausible", F.coalesce(inside, F.lit(False)))
+
+
+def regular_subsample(df: DataFrame, spacing: float, tolerance: float = 1e-6) -> DataFrame:
+    """The rows of which x and y are both multiples of the spacing."""
+    off = lambda c: F.abs(F.col(c) - spacing * F.rint(F.col(c) / spacing)) <= tolerance
+    return df.filter(off("x") & off("y"))
+
+
+def mesh_prefixes(df: DataFrame, longitude: str, latitude: str) -> DataFrame:
+    """The four-digit mesh prefixes that cover the box around all points: one aggregate, then a range."""
+    box = df.agg(*(F.floor(f(c)).cast("int").alias(n) for n, f, c in (("a0", F.min, F.col(latitude) * 1.5), ("a1", F.max, F.col(latitude) * 1.5), ("o0", F.min, F.col(longitude) - 100), ("o1", F.max, F.col(longitude) - 100))))
+    cells = box.filter("a0 IS NOT NULL AND o0 IS NOT NULL").withColumn("a", F.explode(F.sequence("a0", "a1"))).withColumn("o", F.explode(F.sequence("o0", "o1")))
+    return cells.select(F.concat(F.lpad(F.col("a").cast("string"), 2, "0"), F.lpad(F.col("o").cast("string"), 2, "0")).alias("prefix"))

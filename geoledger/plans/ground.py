@@ -54,7 +54,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(F.col("hole_id").alias("sample_id"), (F.col("x") + off).alias("x"), "y", (top + 2).alias("depth"), F.when(given, top).alias("depth_top"), F.when(given, bottom).alias("depth_bottom"))
 
 
-SAMPLE = "sample AS (SELECT hole_id AS sample_id, x + CASE WHEN hole_id % 7 = 0 THEN 5.0 ELSE 0.0 END AS x, y, CAST(hole_id % 30 AS DOUBLE) + 2 AS depth, CASE WHEN hole_id % 5 <> 0 THEN CAST(hole_id % 30 AS DOUBLE) END AS depth_top, CASE WHEN hole_id % 5 <> 0 THEN CAST(hole_id % 30 AS DOUBLE) + CASE WHEN hole_id % 11 = 0 THEN -1 ELSE 4 END END AS depth_bottom FROM hole WHERE hole_id % 3 = 0)"
+SAMPLE = "sample AS (SELECT hole_id AS sample_id, x + CASE WHEN hole_id % 7 = 0 THEN 5.0 ELSE 0.0 END AS x, y, CAST(hole_id % 30 AS DOUBLE) + 2 AS depth, CASE WHEN hole_id % 5 <> 0 THEN CAST(hole_id % 30 AS DOUBLE) END AS depth_top, CASE WHEN hole_id % 5 <> 0 THEN CAST(hole_id % 30 AS DOUBLE) + CASE WHEN hole_id % 11 = 0 THEN -1 ELSE 4 END END AS depth_bottom FROM hole)"
 
 
 def terrain(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import graph, grid, joins, ledger, matching, ml, reshape, spatial, splits, summaries
+from ..operators import graph, grid, joins, ledger, matching, ml, reshape, scoring, spatial, splits, summaries
 from . import ground
 from .ground import DEM_SQL, HOLE, SAMPLE, SPT, ZONE, table
 
@@ -58,10 +58,7 @@ def spt_reason_counts(spark, d):
     return ledger.reason_counts(rows, reshape.measurement_rules())
 
 
-WIDE = "wide AS (SELECT hole_id, max(CASE WHEN measurement_no = 1 THEN depth END) AS d1, max(CASE WHEN measurement_no = 2 THEN depth END) AS d2, max(CASE WHEN measurement_no = 3 THEN depth END) AS d3, max(CASE WHEN measurement_no = 1 THEN n_value END) AS n1, max(CASE WHEN measurement_no = 2 THEN n_value END) AS n2, max(CASE WHEN measurement_no = 3 THEN n_value END) AS n3 FROM spt GROUP BY hole_id)"
-
-
-@query(f"WITH {SPT}, {WIDE} SELECT hole_id, CAST(1 AS SMALLINT) AS measurement_no, d1 AS depth, round(n1, 6) AS n_value FROM wide UNION ALL SELECT hole_id, 2, d2, round(n2, 6) FROM wide UNION ALL SELECT hole_id, 3, d3, round(n3, 6) FROM wide")
+@query(f"WITH {SPT}, m AS (SELECT max(measurement_no) AS most FROM spt), s AS (SELECT DISTINCT hole_id FROM spt) SELECT s.hole_id, CAST(i AS SMALLINT) AS measurement_no, depth, round(n_value, 6) AS n_value FROM s CROSS JOIN m CROSS JOIN range(1, 200) t(i) LEFT JOIN spt ON spt.hole_id = s.hole_id AND spt.measurement_no = i WHERE i <= most")
 def wide_to_long(spark, d):
     m = ground.measurements(spark, d)
     numbers = range(1, (m.agg(F.max("measurement_no")).first()[0] or 1) + 1)  # one number
@@ -121,7 +118,7 @@ def zone_conflict_null(spark, d):
 
 
 @query(f"""WITH {HOLE}, {SPT}, {SAMPLE}, m AS (SELECT s.hole_id, x, y, depth, n_value, measurement_no FROM spt s JOIN hole h ON s.hole_id = h.hole_id),
-near AS (SELECT sample_id, count(*) AS n, min(hole_id) AS hole_id FROM sample a JOIN (SELECT DISTINCT hole_id, x, y FROM m) h ON sqrt((a.x - h.x) ** 2 + (a.y - h.y) ** 2) <= 0.01 GROUP BY 1),
+near AS (SELECT sample_id, count(*) AS n, min(hole_id) AS hole_id FROM sample a JOIN (SELECT DISTINCT hole_id, x, y FROM m) h ON h.x BETWEEN a.x - 0.01 AND a.x + 0.01 AND abs(a.y - h.y) <= 0.01 AND sqrt((a.x - h.x) ** 2 + (a.y - h.y) ** 2) <= 0.01 GROUP BY 1),
 g AS (SELECT a.*, coalesce(n, 0) AS candidate_holes, CASE WHEN n = 1 THEN hole_id END AS hole_id, depth_top IS NOT NULL AND depth_bottom IS NOT NULL AS hi, coalesce(depth_bottom < depth_top, false) AS bad FROM sample a LEFT JOIN near USING (sample_id)),
 p AS (SELECT sample_id, avg(n_value) FILTER (ok) AS n_measured, count(*) FILTER (ok) AS spt_count, max(abs(md - depth)) FILTER (ok) AS spt_max_depth_difference, arg_min(md, (abs(md - depth), measurement_no)) AS nearest_depth FROM (SELECT g.sample_id, g.depth, m.depth AS md, m.n_value, m.measurement_no, NOT bad AND CASE WHEN hi THEN m.depth BETWEEN depth_top - 1e-6 AND depth_bottom + 1e-6 ELSE abs(m.depth - g.depth) <= 1e-6 END AS ok FROM g JOIN m ON g.hole_id = m.hole_id) GROUP BY 1)
 SELECT sample_id, hole_id, candidate_holes, CASE WHEN candidate_holes = 0 THEN 'no_matching_hole' WHEN candidate_holes > 1 THEN 'ambiguous_hole' WHEN bad THEN 'invalid_sample_interval' WHEN coalesce(spt_count, 0) = 0 THEN 'no_spt_in_interval' WHEN hi THEN 'interval_mean' ELSE 'exact_depth_mean' END AS n_match_method, round(n_measured, 6) AS n_measured, coalesce(spt_count, 0) AS spt_count, spt_max_depth_difference, nearest_depth FROM g LEFT JOIN p USING (sample_id)""")
@@ -138,7 +135,7 @@ def nearest_event(spark, d):
     return found.select("user_id", r6("value").alias("value"), F.round("position", 3).alias("position"), "samples")
 
 
-@query(f"WITH {HOLE}, p AS (SELECT * FROM hole WHERE hole_id % 7 = 1), t AS (SELECT hole_id AS ref_id, x, y FROM hole WHERE hole_id % 9 = 2), j AS (SELECT p.hole_id, ref_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS dist FROM p JOIN t ON abs(p.x - t.x) <= 1500 AND abs(p.y - t.y) <= 1500), b AS (SELECT hole_id, count(*) AS n, min(dist) AS d, arg_min(ref_id, (dist, ref_id)) AS ref_id FROM j WHERE dist <= 1500 GROUP BY 1) SELECT p.hole_id, ref_id AS nearest_ref_id, round(d, 6) AS nearest_distance, coalesce(n, 0) AS n_within FROM p LEFT JOIN b USING (hole_id)")
+@query(f"WITH {HOLE}, j AS (SELECT p.hole_id, t.hole_id AS ref_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS dist FROM hole p JOIN hole t ON t.x BETWEEN p.x - 1500 AND p.x + 1500 AND abs(p.y - t.y) <= 1500 AND p.hole_id <> t.hole_id), b AS (SELECT hole_id, count(*) AS n, min(dist) AS d, arg_min(ref_id, (dist, ref_id)) AS ref_id FROM j WHERE dist <= 1500 GROUP BY 1) SELECT p.hole_id, ref_id AS nearest_ref_id, round(d, 6) AS nearest_distance, coalesce(n, 0) AS n_within FROM hole p LEFT JOIN b USING (hole_id)")
 def knn_hole(spark, d):
     h = ground.holes(spark, d)
     refs = h.select(F.col("hole_id").alias("ref_id"), "x", "y")
@@ -165,7 +162,7 @@ def cumulative_thickness(spark, d):
     return summaries.cumulative(_thickness(spark, d), ["p_type"], ["horizon"], "thickness")
 
 
-@query(f"WITH {THICK} SELECT p_type, " + ", ".join(f"coalesce(sum(CASE WHEN horizon = {i} THEN thickness END), 0) AS h{i}" for i in (1, 2, 3, 4)) + " FROM t GROUP BY p_type")
+@query(f"WITH {THICK} SELECT p_type, " + ", ".join(f"coalesce(sum(CASE WHEN horizon = {i} THEN thickness END), 0) AS h{i}" for i in range(1, 8)) + " FROM t GROUP BY p_type")
 def thickness_pivot(spark, d):
     horizons = [r.l_linenumber for r in table(spark, d, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]  # a row for each column of the result
     return _thickness(spark, d).groupBy("p_type").pivot("horizon", horizons).agg(F.sum("thickness")).select("p_type", *(F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"h{i}") for i in horizons))
@@ -286,7 +283,7 @@ def kfold_groups(spark, d):
     return splits.group_folds(ground.measurements(spark, d).select("hole_id", "measurement_no"), "hole_id", 5, "s2")
 
 
-SITES = "site AS (SELECT o_custkey AS owner, hole_id, x, y, CAST(floor(x / 10000) AS BIGINT) || ':' || CAST(floor(y / 10000) AS BIGINT) AS block FROM hole JOIN orders ON hole_id = o_orderkey WHERE o_custkey % 40 = 0)"
+SITES = "site AS (SELECT o_custkey AS owner, hole_id, x, y, CAST(floor(x / 10000) AS BIGINT) || ':' || CAST(floor(y / 10000) AS BIGINT) AS block FROM hole JOIN orders ON hole_id = o_orderkey)"
 
 
 @query(f"WITH RECURSIVE {HOLE}, {SITES}, e AS (SELECT DISTINCT a.block AS a, b.block AS b FROM site a JOIN site b USING (owner)), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), g AS (SELECT a AS block, min(b) AS spatial_group FROM reach GROUP BY 1), t AS (SELECT hole_id, owner, block, spatial_group FROM site JOIN g USING (block)), {_ranked('s3', 'spatial_group', 't')} SELECT hole_id, owner, block, spatial_group, CAST(rank % 3 AS INTEGER) AS fold FROM t JOIN k USING (spatial_group)")
@@ -295,7 +292,7 @@ def spatial_block_folds(spark, d):
     return splits.spatial_block_folds(ground.holes(spark, d).join(owners, "hole_id"), "owner", 10000.0, 3, "s3").select("hole_id", "owner", "block", "spatial_group", "fold")
 
 
-@query(f"WITH RECURSIVE {HOLE}, s AS (SELECT hole_id, x, y FROM hole WHERE hole_id % 4 = 1), e AS (SELECT a.hole_id AS a, b.hole_id AS b FROM s a JOIN s b ON abs(a.x - b.x) <= 600 AND abs(a.y - b.y) <= 600 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 600), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS hole_id, min(b) AS location FROM reach GROUP BY 1")
+@query(f"WITH RECURSIVE {HOLE}, e AS MATERIALIZED (SELECT a.hole_id AS a, b.hole_id AS b FROM hole a JOIN hole b ON b.x BETWEEN a.x - 600 AND a.x + 600 AND abs(a.y - b.y) <= 600 AND a.hole_id <> b.hole_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 600), c(node, part) USING KEY (node) AS (SELECT hole_id, hole_id FROM hole UNION SELECT e.b, min(c.part) FROM c JOIN e ON e.a = c.node JOIN recurring.c AS old ON old.node = e.b WHERE c.part < old.part GROUP BY e.b) SELECT node AS hole_id, part AS location FROM c")
 def connected_components(spark, d):
     return graph.location_groups(ground.holes(spark, d), 600.0, "hole_id")
 
@@ -388,12 +385,12 @@ def safe_number(spark, d):
     return table(spark, d, "events").select("event_id", C.safe_number(s).alias("number"))
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE 1 END * (c_custkey % 180 + (c_custkey % 60) / 60.0::DOUBLE + 30.25::DOUBLE / 3600) ELSE (c_custkey % 180) + 0.125::DOUBLE END, 9) AS degrees FROM customer WHERE c_custkey % 180 > 0")
+@query("SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 AND c_custkey % 180 > 0 THEN -1 ELSE 1 END * (c_custkey % 180 + (c_custkey % 60) / 60.0::DOUBLE + 30.25::DOUBLE / 3600) ELSE (c_custkey % 180) + 0.125::DOUBLE END, 9) AS degrees FROM customer")
 def dms_degrees(spark, d):
     k = F.col("c_custkey")
     dms = F.concat(F.when(k % 4 == 0, "-").otherwise(""), (k % 180).cast("string"), F.lit("度"), (k % 60).cast("string"), F.lit("分30.25秒"))
     text = F.when(k % 2 == 0, dms).otherwise(F.concat((k % 180).cast("string"), F.lit(".125")))
-    return table(spark, d, "customer").filter("c_custkey % 180 > 0").select("c_custkey", F.round(C.decimal_degrees(text), 9).alias("degrees"))
+    return table(spark, d, "customer").select("c_custkey", F.round(C.decimal_degrees(text), 9).alias("degrees"))
 
 
 KINDS = ("B0522", "三軸 (UU) 試験", "CU-b 三軸", "圧密 非排水", "圧密排水試験", "Unconfined test", "direct shear", "")
@@ -430,3 +427,188 @@ def boosted_out_of_fold(spark, d):
     rows = clean(spark, d).select("hole_id", "measurement_no", "x", "y", "depth", "n_value", "surface_z")
     found = ml.out_of_fold(rows, "n_value", ["x", "y", "depth", "surface_z"], [], "hole_id", 3, "cv", ml.boosted("n_value", trees=5, depth=3))
     return _rounded(summaries.regression_metrics(found, "n_value", "prediction", ["fold"]))
+
+
+@query("SELECT p_brand AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM part)::DOUBLE, 9) AS fraction FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+def value_counts(spark, d):
+    return summaries.value_counts(table(spark, d, "part"), "p_brand", top=20).withColumn("fraction", F.round("fraction", 9))
+
+
+@query("WITH v AS (SELECT 'l_quantity' AS name, l_quantity::DOUBLE AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) SELECT name, count(v) AS n, count(*) FILTER (v IS NULL) AS missing, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS least, round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q75, max(v) AS most FROM v GROUP BY 1")
+def describe(spark, d):
+    out = summaries.describe(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "median", "q75")})
+
+
+@query("SELECT source, count(n_chars) AS count, CAST(min(n_chars) AS BIGINT) AS least, CAST(max(n_chars) AS BIGINT) AS most, round(avg(n_chars), 4) AS mean, median(n_chars)::DOUBLE AS median, CASE WHEN count(n_chars) = 0 THEN 'no_data' WHEN count(n_chars) < 50 THEN 'insufficient' ELSE 'ok' END AS status FROM documents GROUP BY 1")
+def distribution_summary(spark, d):
+    return summaries.distribution(table(spark, d, "documents"), ["source"], "n_chars", enough=50).withColumn("mean", F.round("mean", 4))
+
+
+@query(f"WITH {PRED}, f AS (SELECT fold, count(*)::DOUBLE AS n, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) ** 2)) AS rmse, avg(predicted - actual) AS bias, 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS r2 FROM p GROUP BY fold), u AS (SELECT 'fold_' || fold AS population, n, mae, rmse, bias, r2 FROM f UNION ALL SELECT 'fold_mean', avg(n), avg(mae), avg(rmse), avg(bias), avg(r2) FROM f UNION ALL SELECT 'fold_std', stddev_samp(n), stddev_samp(mae), stddev_samp(rmse), stddev_samp(bias), stddev_samp(r2) FROM f UNION ALL SELECT s.l, count(*), avg(abs(actual - predicted)), sqrt(avg((actual - predicted) ** 2)), avg(predicted - actual), 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) FROM p, (VALUES ('pooled', 0.0), ('all_observed', 0.0)) s(l, z) GROUP BY 1) SELECT population, round(n, 3) AS n, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(bias, 3) AS bias, round(r2, 6) AS r2 FROM u")
+def metric_report(spark, d):
+    p = _predicted(spark, d)
+    out = summaries.metric_report(p, "actual", "predicted", "fold", observed=p)
+    return out.select("population", *(F.round(c, 3).alias(c) for c in ("n", "mae", "rmse", "bias")), F.round("r2", 6).alias("r2"))
+
+
+@query("SELECT o_orderpriority AS variant, CAST(floor(median(n)) AS INTEGER) AS median_trees, count(*) AS runs FROM (SELECT o_orderpriority, o_custkey % 7 AS seed, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def median_tree_count(spark, d):
+    runs = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("variant"), F.col("o_custkey") % 7).agg(F.count("*").alias("trees"))
+    return summaries.median_count(runs, ["variant"], "trees")
+
+
+@query("WITH c AS (SELECT l_quantity AS sand, l_linenumber * 7.0 AS silt, CASE WHEN l_discount > 0.02 THEN 100 - l_quantity - l_linenumber * 7.0 + l_tax * 20 END AS clay FROM lineitem), s AS (SELECT sand + silt + clay AS s FROM c) SELECT count(*) AS rows, count(s) AS complete, round(min(s), 6) AS sum_least, round(avg(s), 6) AS sum_mean, round(max(s), 6) AS sum_most, count(*) FILTER (abs(s - 100) > 1.0000001) AS off_total FROM s")
+def composition_sums(spark, d):
+    q, n = F.col("l_quantity"), F.col("l_linenumber") * 7.0
+    grains = table(spark, d, "lineitem").select(q.alias("sand"), n.alias("silt"), F.when(F.col("l_discount") > 0.02, 100 - q - n + F.col("l_tax") * 20).alias("clay"))
+    out = summaries.composition(grains, ["sand", "silt", "clay"], tolerance=1.0000001)
+    return out.withColumns({c: r6(c) for c in ("sum_least", "sum_mean", "sum_most")})
+
+
+@query(f"WITH {HOLE}, {ZONE}, {INSIDE}, f AS (SELECT point_id, arg_min(code, poly_id) AS code FROM inside GROUP BY 1), c AS (SELECT coalesce(code, 'UNKNOWN') AS code, count(*) AS cells, sum(surface_z) AS area FROM hole LEFT JOIN f ON hole_id = point_id GROUP BY 1) SELECT code, cells, round(cells / sum(cells) OVER ()::DOUBLE, 9) AS fraction, area, round(area / sum(area) OVER (), 9) AS area_fraction FROM c")
+def code_fractions(spark, d):
+    coded = spatial.first_match(_points(spark, d), ground.zones(spark, d), 7000.0).join(ground.holes(spark, d).select(F.col("hole_id").alias("point_id"), "surface_z"), "point_id")
+    return summaries.code_fractions(coded, "code", F.col("surface_z")).withColumns({"fraction": F.round("fraction", 9), "area_fraction": F.round("area_fraction", 9)})
+
+
+@query("SELECT DISTINCT c_nationkey AS code FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def common_codes(spark, d):
+    return summaries.common_codes(table(spark, d, "customer").select(F.col("c_nationkey").alias("code")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("code")), "code")
+
+
+@query("SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem")
+def colour_limits(spark, d):
+    return summaries.colour_limits(table(spark, d, "lineitem"), "l_extendedprice")
+
+
+LONLAT = "ll AS (SELECT hole_id, 118 + (hole_id * 7919 % 40000) / 1024.0::DOUBLE AS lon, 18 + (hole_id * 6131 % 30000) / 1024.0::DOUBLE AS lat FROM hole)"
+
+
+def _lonlat(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("hole_id")
+    return ground.holes(spark, d).select("hole_id", (118 + (k * 7919 % 40000) / 1024.0).alias("lon"), (18 + (k * 6131 % 30000) / 1024.0).alias("lat"))
+
+
+@query(f"WITH {HOLE}, {LONLAT} SELECT hole_id, lon BETWEEN 122 AND 154 AND lat BETWEEN 20 AND 46 AS plausible FROM ll")
+def plausible_coordinates(spark, d):
+    return summaries.plausible(_lonlat(spark, d), "lon", "lat").select("hole_id", "plausible")
+
+
+@query(f"WITH {HOLE}, {LONLAT}, b AS (SELECT CAST(floor(min(lat * 1.5)) AS INT) AS a0, CAST(floor(max(lat * 1.5)) AS INT) AS a1, CAST(floor(min(lon - 100)) AS INT) AS o0, CAST(floor(max(lon - 100)) AS INT) AS o1 FROM ll) SELECT lpad(a::VARCHAR, 2, '0') || lpad(o::VARCHAR, 2, '0') AS prefix FROM b, range(0, 100) x(a), range(0, 100) y(o) WHERE a BETWEEN a0 AND a1 AND o BETWEEN o0 AND o1")
+def mesh_prefixes(spark, d):
+    return summaries.mesh_prefixes(_lonlat(spark, d), "lon", "lat")
+
+
+@query(f"WITH {HOLE} SELECT hole_id, x, y FROM hole WHERE CAST(x AS BIGINT) % 50 = 0 AND CAST(y AS BIGINT) % 50 = 0")
+def regular_subsample(spark, d):
+    return summaries.regular_subsample(ground.holes(spark, d), 50.0).select("hole_id", "x", "y")
+
+
+@query("WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, (row_number() OVER (ORDER BY n DESC, md5(l_orderkey::VARCHAR), l_orderkey) - 1) % 10 AS t FROM g) SELECT l.l_orderkey, l_linenumber, CAST(CASE WHEN t < 5 THEN t ELSE 9 - t END AS INTEGER) AS fold FROM lineitem l JOIN r USING (l_orderkey)")
+def balanced_folds(spark, d):
+    return splits.balanced_folds(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", 5)
+
+
+TOPS = "tops AS (SELECT hole_id AS record_id, x + 37 AS x, y - 11 AS y, CAST(hole_id % 60 AS DOUBLE) AS depth FROM hole)"
+
+
+@query(f"WITH {HOLE}, {SPT}, {TOPS}, j AS (SELECT record_id, t.depth, h.hole_id, sqrt((t.x - h.x) ** 2 + (t.y - h.y) ** 2) AS dist FROM tops t JOIN hole h ON h.x BETWEEN t.x - 400 AND t.x + 400 AND abs(t.y - h.y) <= 400), n AS (SELECT record_id, any_value(depth) AS depth, min(dist) AS dist, arg_min(hole_id, (dist, hole_id)) AS hole_id FROM j WHERE dist <= 400 GROUP BY 1) SELECT record_id, min(abs(spt.depth - n.depth)) AS n_nearest_hole_depth_gap FROM n JOIN spt USING (hole_id) GROUP BY 1")
+def nearest_depth_gap(spark, d):
+    h = ground.holes(spark, d)
+    tops = h.select(F.col("hole_id").alias("record_id"), (F.col("x") + 37).alias("x"), (F.col("y") - 11).alias("y"), (F.col("hole_id") % 60).cast("double").alias("depth"))
+    near = joins.nearest_at_all(tops, h, 400.0, "record_id", "hole_id")
+    return joins.depth_gap(tops, near, ground.measurements(spark, d), "record_id", "hole_id")
+
+
+GRID = "cell AS (SELECT row, col, min(hole_id) AS hole_id FROM (SELECT hole_id, CAST((x + 45800) / 10 AS BIGINT) AS col, CAST((y - 105400) / 10 AS BIGINT) AS row FROM hole) GROUP BY 1, 2), msk AS (SELECT row, col, CASE WHEN hole_id % 6 = 0 THEN 0 ELSE 1 END AS value FROM cell), pts AS (SELECT hole_id, x, y, surface_z FROM hole JOIN cell USING (hole_id) WHERE hole_id % 11 <> 4), sc AS (SELECT row, col, p.x, p.y, surface_z / 20 - 3 AS raw, surface_z / 25 AS dry FROM pts p JOIN cell USING (hole_id) JOIN msk USING (row, col) WHERE value <> 0), done AS (SELECT row, col, x, y, raw, greatest(0, least(15, raw)) AS wet, raw < 0 OR raw > 15 AS clipped_wet, greatest(0, least(15, dry)) AS dry, dry < 0 OR dry > 15 AS clipped_dry FROM sc)"
+
+
+def _grid_job(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple]:
+    """Points of a grid, its mask, the scored cells, and the grid's place."""
+    at = ((ground.ROWS, ground.COLS), ground.XMIN, ground.YMIN, ground.STEP)
+    cells = grid.grid_cells(ground.holes(spark, d), *at)
+    first = cells.groupBy("row", "col").agg(F.min_by(F.struct("hole_id", "x", "y", "surface_z"), "hole_id").alias("h")).select("row", "col", "h.*")
+    mask = first.select("row", "col", F.when(F.col("hole_id") % 6 == 0, 0).otherwise(1).alias("value"))
+    points = first.filter("hole_id % 11 <> 4").select("hole_id", "x", "y", "surface_z")  # a grid that misses some active cells
+    predict = lambda p: p.withColumns({"wet": F.col("surface_z") / 20 - 3, "dry": F.col("surface_z") / 25})
+    return points, mask, scoring.score(points, mask, *at, predict, ["wet", "dry"], 0.0, 15.0), at
+
+
+@query(f"WITH {HOLE}, {GRID} SELECT row, col, x, y, round(wet, 6) AS wet, clipped_wet, round(dry, 6) AS dry, clipped_dry FROM done")
+def grid_scores(spark, d):
+    return _grid_job(spark, d)[2].withColumns({"wet": r6("wet"), "dry": r6("dry")})
+
+
+@query(f"WITH {HOLE}, {GRID} SELECT (SELECT count(*) FROM msk WHERE value <> 0) AS active_cells, count(*) AS predicted_cells, (SELECT count(*) FROM msk WHERE value <> 0) - count(*) AS missing_cells, CAST(0 AS BIGINT) AS outside_rows, (SELECT count(*) FROM pts JOIN cell USING (hole_id) JOIN msk USING (row, col) WHERE value = 0) AS masked_rows, round(min(wet), 6) AS wet_least, round(max(wet), 6) AS wet_most, count(*) FILTER (clipped_wet) AS wet_clipped, round(min(dry), 6) AS dry_least, round(max(dry), 6) AS dry_most, count(*) FILTER (clipped_dry) AS dry_clipped, count(*) FILTER (dry > wet) AS dry_above_wet, 'incomplete' AS status FROM done")
+def grid_report(spark, d):
+    points, mask, scored, at = _grid_job(spark, d)
+    return scoring.report(points, mask, scored, *at, ["wet", "dry"]).withColumns({f"{k}_{x}": r6(f"{k}_{x}") for k in ("wet", "dry") for x in ("least", "most")})
+
+
+@query(f"WITH {HOLE}, {GRID} SELECT row % 10 AS band, count(*) AS n, round(avg(wet), 6) AS wet_mean, round(avg(dry), 6) AS dry_mean, round(avg(dry - wet), 6) AS difference_mean, round(avg(abs(dry - wet)), 6) AS difference_abs_mean, round(max(abs(dry - wet)), 6) AS difference_most FROM done GROUP BY 1")
+def grid_difference(spark, d):
+    out = scoring.difference(_grid_job(spark, d)[2].withColumn("band", F.col("row") % 10), "wet", "dry", ["band"])
+    return out.select("band", "n", *(r6(c).alias(c) for c in out.columns[2:]))
+
+
+@query(f"WITH {HOLE}, {GRID} SELECT row, col, round(wet, 6) AS wet FROM done WHERE row % 2 = 0 AND col % 2 = 0 AND (row, col) IN (SELECT (row, col) FROM cell WHERE hole_id % 3 <> 1)")
+def display_cells(spark, d):
+    shown = grid.grid_cells(ground.holes(spark, d), (ground.ROWS, ground.COLS), ground.XMIN, ground.YMIN, ground.STEP)
+    shown = shown.groupBy("row", "col").agg(F.min("hole_id").alias("h")).select("row", "col", (F.col("h") % 3 != 1).cast("int").alias("value"))
+    return scoring.display_cells(_grid_job(spark, d)[2], shown, 2).select("row", "col", r6("wet").alias("wet"))
+
+
+@query(f"WITH {HOLE}, {SPT}, w AS (SELECT x, y, depth, n_value, abs(depth - 20) AS gap FROM spt JOIN hole USING (hole_id) WHERE abs(depth - 20) <= 5), b AS (SELECT *, min(gap) OVER (PARTITION BY x, y) AS least FROM w) SELECT x, y, round(avg(n_value), 6) AS value, count(*) AS samples, round(avg(depth), 6) AS observed_depth FROM b WHERE gap - least <= 1e-9 GROUP BY x, y")
+def observed_overlay(spark, d):
+    rows = ground.measurements(spark, d).join(ground.holes(spark, d), "hole_id").select("x", "y", "depth", F.col("n_value").alias("value"))
+    return scoring.overlay(rows, 20.0, 5.0).withColumns({"value": r6("value"), "observed_depth": r6("observed_depth")})
+
+
+@query(f"WITH {HOLE}, {DEM_SQL}, {CORNER}, {ZONE}, {INSIDE}, f AS (SELECT point_id, arg_min(code, poly_id) AS code FROM inside GROUP BY 1) SELECT h.hole_id AS point_id, CAST(h.hole_id % 30 AS DOUBLE) AS depth, CASE WHEN inside THEN round(c, 6) END AS surface_z, CASE WHEN inside THEN round(c - h.hole_id % 30, 6) END AS elevation, coalesce(f.code, 'UNKNOWN') AS zone FROM hole h JOIN t ON t.hole_id = h.hole_id LEFT JOIN f ON f.point_id = h.hole_id")
+def enriched_points(spark, d):
+    points = _points(spark, d).withColumn("depth", (F.col("point_id") % 30).cast("double"))
+    out = scoring.enrich(points, ground.terrain(spark), ground.DEM, (ground.XMIN, ground.YMIN), ground.DEM_STEP, ground.zones(spark, d))
+    return out.select("point_id", "depth", r6("surface_z").alias("surface_z"), r6("elevation").alias("elevation"), "zone")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey * 1.5::DOUBLE END AS number, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'soft clay' END AS text FROM customer")
+def number_or_text(spark, d):
+    k = F.col("c_custkey")
+    said = F.when((k % 3 == 0) & (k % 2 == 0), "  soft clay ").when(k % 3 == 0, "未測定").otherwise(F.concat(F.lit("約 "), (k * 1.5).cast("string"), F.lit(" kPa")))
+    n, text = C.number_or_text(said)
+    return table(spark, d, "customer").select("c_custkey", n.alias("number"), text.alias("text"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[\\\\/:*?\"<>|]+', '_', 'g')[1:120] AS name FROM pages")
+def safe_file_names(spark, d):
+    return table(spark, d, "pages").select("page_id", C.file_name(F.col("url")).alias("name"))
+
+
+def _training(spark: SparkSession, d: str) -> DataFrame:
+    return clean(spark, d).select(F.concat_ws("-", "hole_id", "measurement_no").alias("record_id"), F.col("hole_id").alias("boring_id"), "x", "y", "depth", "n_value", (F.col("surface_z") - F.col("depth")).alias("elevation"))
+
+
+@query(None)
+def n_estimate(spark, d):
+    """Blow counts with reliability columns, for a place beside every hole. Trees aren't SQL."""
+    rows = _training(spark, d)
+    query_points = ground.holes(spark, d).select(F.col("hole_id").alias("record_id"), (F.col("x") + 35).alias("x"), F.col("y"), F.lit(12.0).alias("depth"), (F.col("surface_z") - 12).alias("elevation"))
+    return ml.estimate_n(rows, query_points, ml.Estimator(("x", "y", "depth", "elevation"), seeds=(1, 2), trees=8))
+
+
+@query(None)
+def model_comparison(spark, d):
+    """Metrics of models on shared folds, where one that fails is left out."""
+    dealt = splits.group_folds(_training(spark, d), "boring_id", 2, "m16")
+    models = {"linear": ml.fitted_with(ml.linear("n_value")), "trees": ml.fitted_with(ml.boosted("n_value", trees=5, depth=3)), "broken": lambda *_: 1 / 0}
+    return ml.compare_models(dealt, "n_value", ["depth", "elevation"], [], models, "record_id", 2)[1]
+
+
+@query(None)
+def grouped_importance(spark, d):
+    """Contribution of each configured feature in percent."""
+    rows = _training(spark, d).withColumn("zone", F.floor((F.col("x") - ground.XMIN) / 13000).cast("string"))
+    numeric, categorical = ["depth", "elevation", "x"], ["zone"]
+    fitted = ml.fit(rows, numeric, categorical, ml.boosted("n_value", trees=5, depth=3))
+    return ml.importance(fitted, fitted.transform(ml.feature_frame(rows, numeric, categorical)), numeric, categorical, top=30)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,12 +43,15 @@ def grid_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_text(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> DataFrame:
-    """row, col, value of one text matrix. A line's row is the lines of the blocks before its own, and its place in its block;
-    there is one count for each block that a task reads."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line"))
-    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    blocks = blocks.withColumn("before", F.sum("n").over(Window.orderBy("block")) - F.col("n"))
-    placed = lines.join(F.broadcast(blocks), "block").filter("line <> ''").select((F.col("before") + F.col("id") - F.col("first")).alias("row"), "line")
+    """row, col, value of a text matrix: a file, or a folder of part files in the order of their names, as `sinks.matrix` writes it. A line's row is
+    the lines of the files and blocks before its own, and its place in its block; there is one count for each block that a task reads."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line"))
+    blocks = lines.groupBy("file", "block").agg(F.count_if(F.col("line") != "").alias("n"), F.min("id").alias("first"))
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.orderBy("file", "block")) - F.col("n"))
+    placed = lines.filter("line <> ''").join(blocks.select("file", "block", "before"), ["file", "block"])
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
+    placed = placed.select((F.col("before") + inside - 1).alias("row"), "line")
     cells = placed.select("row", F.posexplode(F.split("line", r"\s+")).alias("col", "text"))
     out = cells.select("row", F.col("col").cast("long").alias("col"), number(F.col("text")).alias("value"))
     if shape:
@@ -76,3 +80,34 @@ def content_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, size, sha256 of files: what an import compares before it adds or refuses a file."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def exactly_one(spark: SparkSession, path: str, pattern: str) -> str:
+    """The one file below a folder that fits a pattern; raises for none and for several."""
+    found = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path").limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{'no file' if not found else 'several files'} fit {pattern}")
+    return found[0]
+
+
+def polygon_tiles(tiles: Sequence[DataFrame], reserved: Sequence[str] = ("x", "y", "depth"), prefix: str = "attribute_") -> DataFrame:
+    """The rows of all tiles (rings, crs, attributes) as one layer: the reference systems must be one, empty shapes are dropped, a ring of fewer
+    than three corners is refused, and attributes with reserved names are renamed."""
+    ledger.assert_none(reduce(DataFrame.unionByName, [t.select(F.col("crs").cast("string")) for t in tiles]).distinct().agg(F.count("*").alias("n")), F.col("n") > 1, "tiles have several reference systems")
+    named = [t.select(*(F.col(c).alias(f"{prefix}{c}" if c in reserved else c) for c in t.columns)) for t in tiles]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named).filter(F.size("rings") > 0)
+    return ledger.assert_none(whole, F.exists("rings", lambda r: F.size(r) < 3), "a shape isn't a polygon")
+
+
+def prepared_layer(spark: SparkSession, path: str, key: str, required: Sequence[str]) -> DataFrame:
+    """A prepared Parquet layer: required columns must be there and the key unique and present."""
+    df = ledger.require_columns(spark.read.parquet(path), [key, *required])
+    ledger.assert_none(df, F.col(key).isNull(), f"{key} is missing")
+    return ledger.assert_unique(df, [key], "layer")
+
+
+def import_changes(known: DataFrame, found: DataFrame) -> DataFrame:
+    """name, status of files against a manifest (name, sha256): new, unchanged, or conflict where a known name has other contents; missing ones too."""
+    k, f = known.select("name", F.col("sha256").alias("_known")), found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("sha256").alias("_found"))
+    status = F.when(F.col("_known").isNull(), "new").when(F.col("_found").isNull(), "missing").when(F.col("_known") == F.col("_found"), "unchanged").otherwise("conflict")
+    return k.join(f, "name", "full").select("name", status.alias("status"))

@@ -25,6 +25,18 @@ ALIASES = {
     "depth_bottom": ("depthbottom", "試料採取終了深度", "終了深度", "下端深度"),
     "depth_mid": ("depthmid", "試料代表深度", "代表深度", "試料深度"),
     "soil_name": ("soilname", "土質名", "土質分類名", "地盤材料の分類名", "分類", "土質"),
+    "elevation": ("samplez", "試料採取標高", "試料標高"),
+    "soil_code": ("soilcode", "地盤材料の分類記号", "分類記号", "土質コード"),
+    "particle_density": ("土粒子密度",),
+    "void_ratio": ("間隙比",),
+    "degree_of_saturation": ("飽和度",),
+    "maximum_particle_size": ("最大粒径",),
+    "d10": ("D10",),
+    "d50": ("D50",),
+    "uniformity_coefficient": ("均等係数",),
+    "liquid_limit": ("液性限界",),
+    "plastic_limit": ("塑性限界",),
+    "plasticity_index": ("塑性指数",),
     "test_condition_code": ("せん断試験条件コード", "試験条件コード"),
     "wet_density": ("湿潤密度",),
     "dry_density": ("乾燥密度",),
@@ -34,13 +46,14 @@ ALIASES = {
     "silt_fraction": ("シルト分",),
     "clay_fraction": ("粘土分",),
     "c_total": ("ctotal", "全応力粘着力", "粘着力全応力", "c全応力", "c"),
-    "phi_total": ("phitotal", "全応力内部摩擦角", "内部摩擦角全応力", "φ全応力", "phi全応力"),
+    "shear_strength_total": ("せん断強さ_全応力", "全応力せん断強さ"),
+    "phi_total": ("phitotal", "全応力内部摩擦角", "内部摩擦角全応力", "φ全応力", "phi全応力", "せん断抵抗角_全応力"),
     "c_effective": ("ceffective", "有効応力粘着力", "粘着力有効応力", "c有効応力"),
-    "shear_strength_effective": ("せん断強さ有効応力", "有効応力せん断強さ"),
-    "phi_effective": ("phieffective", "有効応力内部摩擦角", "内部摩擦角有効応力", "φ有効応力", "phi有効応力"),
+    "shear_strength_effective": ("せん断強さ_有効応力", "有効応力せん断強さ"),
+    "phi_effective": ("phieffective", "有効応力内部摩擦角", "内部摩擦角有効応力", "φ有効応力", "phi有効応力", "せん断抵抗角_有効応力"),
     "qu": ("qu", "一軸圧縮強さ", "一軸圧縮強度", "圧縮強さ"),
 }
-TEXTS = ("boring_id", "sample_id", "soil_name", "test_condition_code")
+TEXTS = ("boring_id", "sample_id", "soil_name", "soil_code", "test_condition_code")
 RECORD, CONDITION = "試験情報", "せん断試験条件"
 HINTS = ("sample", "試料", "strength", "強度", "triaxial", "三軸", "shear", "せん断")
 _MARKS = re.compile(C.NAME_MARKS)
@@ -72,17 +85,39 @@ def _decoded(content: bytes) -> str:
         return content.decode("utf-8-sig")
 
 
-def parse(content: bytes) -> list[tuple[dict[str, str], str]]:
-    """(fields, text) of each record: every RECORD element, else the innermost elements whose names hint at a test, else the root."""
+#: Fields of which one makes a test a record of strength, and those that make any element one.
+STRENGTH = ("c_total", "shear_strength_total", "phi_total", "c_effective", "shear_strength_effective", "phi_effective", "qu")
+NAMED = ("c_total", "phi_total", "c_effective", "phi_effective", "qu")
+# Other names under which a test's kind stands.
+TEST_KIND = ("testtype", "試験名", "試験種別", "強度試験", "試験条件", "せん断試験条件", "せん断試験条件コード")
+DENSITY = ("wet_density", "dry_density")
+
+
+def _holds(fields: dict[str, str], names: tuple[str, ...]) -> bool:
+    return any(_key(alias) in fields for name in names for alias in ALIASES[name])
+
+
+def parse(content: bytes, strength: bool = False) -> list[tuple[dict[str, str], str]]:
+    """(fields, text) of each record: every RECORD element (strength: those with a strength field or a test's kind); where there are none, the
+    innermost elements whose names hint at a test and that hold strength content; else the root (strength: if it holds any)."""
     root = ET.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", _decoded(content)))
-    records = [e for e in root.iter() if _key(e.tag) == _key(RECORD)]
+    tests = [e for e in root.iter() if _key(e.tag) == _key(RECORD)]
+    kinds = {_key(k) for k in TEST_KIND}
+    records = tests if not strength else [e for e in tests if _holds(f := _fields(e), STRENGTH) or kinds & f.keys()]
+
+    def content_of(e: ET.Element) -> bool:
+        said = _MARKS.sub("", "".join(e.itertext())).casefold()
+        return any(h in said for h in HINTS) or _holds(_fields(e), NAMED)
+
+    if not records:
+        hinted = [e for e in root.iter() if e is not root and any(h in _key(e.tag) for h in HINTS) and (len(e) or e.attrib) and content_of(e)]
+        records = [e for e in hinted if not any(d is not e and d in hinted for d in e.iter())]
     if not records:
-        hinted = [e for e in root.iter() if e is not root and any(h in _key(e.tag) for h in HINTS)]
-        inner = [e for e in hinted if not any(d is not e and any(h in _key(d.tag) for h in HINTS) for d in e.iter())]
         parents = {child: parent for parent in root.iter() for child in parent}
         # a single value that hints at a test belongs to the element around it
-        records = list(dict.fromkeys(parents.get(e, e) if not len(e) else e for e in inner)) or [root]
-        records = [e for e in records if not any(d is not e and d in records for d in e.iter())]
+        leaves = [e for e in root.iter() if e is not root and not len(e) and any(h in _key(e.tag) for h in HINTS)]
+        records = list(dict.fromkeys(p for e in leaves if content_of(p := parents[e])))
+        records = [e for e in records if not any(d is not e and d in records for d in e.iter())] or ([root] if content_of(root) or not strength else [])
     context: dict[str, str] = {}
     for child in root:
         if child not in records:
@@ -91,7 +126,7 @@ def parse(content: bytes) -> list[tuple[dict[str, str], str]]:
     return [(context | _fields(e), " ".join(t.strip() for t in e.itertext() if t.strip())) for e in records]
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, strength: bool = False) -> DataFrame:
     """file, error, and the fields of each record; a file that can't be parsed is one row with its error."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][mM][lL]").load(path)
 
@@ -101,7 +136,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 file = name.rpartition("/")[2]
                 try:
-                    rows += [(file, None, fields, text) for fields, text in parse(content)]
+                    rows += [(file, None, fields, text) for fields, text in parse(content, strength)]
                 except (ET.ParseError, ValueError) as e:
                     rows.append((file, f"{type(e).__name__}: {e}", {}, ""))
             yield pd.DataFrame(rows, columns=["file", "error", "fields", "text"])
@@ -113,10 +148,11 @@ def typed(records: DataFrame) -> DataFrame:
     """The columns of ALIASES from the field maps, by built-in functions; depth_mid, test_type and elevation are derived."""
     fields = F.col("fields")
     out = records.withColumns({c: (lambda v, c=c: v if c in TEXTS else C.decimal_degrees(v) if c in ("latitude", "longitude") else C.safe_number(v))(C.first_of(fields, [_key(a) for a in aliases])) for c, aliases in ALIASES.items()})
+    out = out.withColumns({c: F.coalesce(c, C.coordinate_from_parts(fields, base)) for c, base in (("latitude", "緯度"), ("longitude", "経度"))})
     condition = F.coalesce(fields[_key(CONDITION)], fields[_key(CONDITION + "コード")])
     kind = F.when(condition.isNotNull(), C.test_type(condition)).when(F.col("qu").isNotNull(), "一軸圧縮試験").otherwise(C.test_type(F.col("text")))
     out = out.withColumns({"depth_mid": F.coalesce("depth_mid", (F.col("depth_top") + F.col("depth_bottom")) / 2), "test_type": kind, "boring_id": F.coalesce("boring_id", F.regexp_replace("file", r"\.[^.]*$", ""))})
-    return out.withColumn("elevation", F.col("surface_z") - F.col("depth_mid")).drop("fields", "text")
+    return out.withColumn("elevation", F.coalesce("elevation", F.col("surface_z") - F.col("depth_mid"))).drop("fields", "text")
 
 
 def presence_summary(records: DataFrame) -> DataFrame:

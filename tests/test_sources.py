@@ -29,6 +29,44 @@ def test_xml_records(spark, tmp_path):
     assert summary["strength_records"] == 2 and summary["present_c_total"] == 1
 
 
+def test_strength_records_only(spark, tmp_path):
+    """With `strength`, density tests are no records; fields under their other names are found."""
+    (tmp_path / "d.xml").write_text(DENSITY, "utf-8")
+    (tmp_path / "s.xml").write_text("<root><緯度_度>35</緯度_度><緯度_分>30</緯度_分><緯度_秒>36</緯度_秒><試験情報><湿潤密度>1.8</湿潤密度></試験情報><試験情報><せん断抵抗角_全応力>31</せん断抵抗角_全応力><D50>0.2</D50><液性限界>40</液性限界><試料標高>7.5</試料標高></試験情報><試験情報><試験名>CD</試験名></試験情報></root>", "utf-8")
+    rows = xml_records.read_records(spark, str(tmp_path), strength=True).collect()
+    assert {r.file for r in rows} == {"s.xml"} and len(rows) == 2
+    found = next(r for r in rows if r.phi_total)
+    assert (found.phi_total, found.d50, found.liquid_limit, found.elevation, found.latitude) == (31.0, 0.2, 40.0, 7.5, pytest.approx(35.51))
+    assert len(xml_records.read_records(spark, str(tmp_path)).collect()) == 4
+
+
+def test_matrix_of_several_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "part-0.txt").write_text("1 2\n3 4\n")
+    (tmp_path / "m" / "part-1.txt").write_text("\n5 6\n7 8\n")
+    cells = {(r.row, r.col): r.value for r in tables.matrix_text(spark, str(tmp_path / "m"), (4, 2)).collect()}
+    assert cells == {(i, j): 2.0 * i + j + 1 for i in range(4) for j in range(2)}
+
+
+def test_files_tiles_and_imports(spark, tmp_path):
+    (tmp_path / "a1.csv").write_text("x")
+    assert tables.exactly_one(spark, str(tmp_path), "a*.csv").endswith("a1.csv")
+    with pytest.raises(ValueError, match="no file"):
+        tables.exactly_one(spark, str(tmp_path), "b*.csv")
+    (tmp_path / "a2.csv").write_text("y")
+    with pytest.raises(ValueError, match="several"):
+        tables.exactly_one(spark, str(tmp_path), "a*.csv")
+    tile = lambda crs, n, extra="x": spark.createDataFrame([(crs, [[(0.0, 0.0)] * n], 1)], f"crs string, rings array<array<struct<x:double,y:double>>>, {extra} int")
+    layer = tables.polygon_tiles([tile("6675", 3), tile("6675", 4, "code")])
+    assert layer.count() == 2 and "attribute_x" in layer.columns
+    for bad in ([tile("6675", 3), tile("4326", 3)], [tile("6675", 2)]):
+        with pytest.raises(ValueError):
+            tables.polygon_tiles(bad)
+    known = spark.createDataFrame([("a1.csv", "0"), ("gone.csv", "1")], "name string, sha256 string")
+    status = {r.name: r.status for r in tables.import_changes(known, tables.content_digests(spark, str(tmp_path))).collect()}
+    assert status == {"a1.csv": "conflict", "a2.csv": "new", "gone.csv": "missing"}
+
+
 def test_wide_csv(spark, tmp_path):
     pairs = [n for p in reshape.pair_names(2) for n in p]
     (tmp_path / "w.csv").write_text("ファイル名," + ",".join(pairs) + ",他\nh1,1,10,2,,z\nh2,1,x,2,5,z\n", "utf-8-sig")
