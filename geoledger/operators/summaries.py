@@ -64,10 +64,11 @@ def quantile_higher(df: DataFrame, keys: Sequence[str], value: str, q: float, ac
     """quantile, n: the value at position ceil((n-1)q) of the sorted values. A sketch, whose rank is off by n / accuracy at most, brackets it; only
     distinct values inside the bracket are put in order, after counting those below, so no task sorts a whole group."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    at = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    at = [max(0.0, q - 4 / accuracy), min(1.0, q + 4 / accuracy)]
     span = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", at, accuracy).alias("_span"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    low = F.when(F.lit(at[0] <= 0), F.col("_lo")).otherwise(F.get("_span", F.lit(0)))
-    high = F.when(F.lit(at[1] >= 1), F.col("_hi")).otherwise(F.get("_span", F.lit(1)))
+    few = F.col("_n") <= accuracy  # all of them are the bracket
+    low = F.when(few | F.lit(at[0] <= 0), F.col("_lo")).otherwise(F.get("_span", F.lit(0)))
+    high = F.when(few | F.lit(at[1] >= 1), F.col("_hi")).otherwise(F.get("_span", F.lit(1)))
     span = span.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keys)), low.alias("_low"), high.alias("_high"), "_n", (F.ceil((F.col("_n") - 1) * q) + 1).alias("_rank"))
     both = rows.join(span, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)]) if keys else rows.join(F.broadcast(span))  # one row
     counted = both.filter("_v <= _high").groupBy(*keys, "_n", "_rank", F.greatest("_v", "_low").alias("_v")).agg(F.count("*").alias("_c"))  # all below count at the bracket's low end
