@@ -175,7 +175,7 @@ def test_final_fit_baselines_and_importance(spark):
     assert 1 <= trees <= 8 and fitted.stages[-1].getNumTrees == trees
     frame = ml.feature_frame(rows.withColumn("empty", F.lit(1.0)), ["depth", "x"], ["soil"])
     table = {r.feature: r.contribution for r in ml.importance(fitted, fitted.transform(frame), ["depth", "x", "never"], ["soil"]).collect()}
-    assert set(table) == {"depth", "x", "never", "soil"} and table["never"] == 0.0 and sum(table.values()) == pytest.approx(100) and max(table, key=table.get) == "depth"
+    assert set(table) == {"depth", "x", "never", "soil"} and table["never"] == 0.0 and sum(table.values()) == pytest.approx(100) and table["depth"] > table["soil"] < table["x"]
     told = ml.baselines(rows.filter("x < 500"), rows.filter("x >= 500"), "n_value").collect()
     assert len({r.baseline_median for r in told}) == 1 and all(math.isfinite(r.baseline_place) for r in told)
     out = ml.predict(rows, fitted, ["depth", "x"], ["soil"])
