@@ -50,9 +50,14 @@ def exclude_near(rows: DataFrame, heldout: DataFrame, tolerance: float, key: str
 def nearest_reference(points: DataFrame, references: DataFrame, radius: float, key: str, reference_key: str, itself: bool = True) -> DataFrame:
     """For each point: the nearest reference within the radius, its distance, and how many are within it. Unless `itself`, a
     reference with the point's own key doesn't count."""
-    pairs = near_pairs(points, references, radius, key, reference_key)
-    found = (pairs if itself else pairs.filter(F.col(key) != F.col(reference_key))).groupBy(key).agg(F.min(F.struct("distance", reference_key)).alias("best"), F.count("*").alias("n_within"))
-    return points.select(key).join(found, key, "left").select(key, F.col(f"best.{reference_key}").alias(f"nearest_{reference_key}"), F.col("best.distance").alias("nearest_distance"), F.coalesce("n_within", F.lit(0)).alias("n_within"))
+    other = lambda pairs: pairs if itself else pairs.filter(F.col(key) != F.col(reference_key))
+    best = lambda rows, r: other(near_pairs(rows, references, r, key, reference_key)).groupBy(key).agg(F.min(F.struct("distance", reference_key)).alias("best"))
+    # most points have a reference close by, which few pairs tell; only the others meet all within the radius. Counts are sums of pairs, never sorted
+    close = written(best(points, radius / 8), "nearest-close")
+    far = best(points.join(close, key, "left_anti"), radius)
+    counts = other(near_pairs(points, references, radius, key, reference_key)).groupBy(key).agg(F.count("*").alias("n_within"))
+    found = points.select(key).join(close.unionByName(far), key, "left").join(counts, key, "left")
+    return found.select(key, F.col(f"best.{reference_key}").alias(f"nearest_{reference_key}"), F.col("best.distance").alias("nearest_distance"), F.coalesce("n_within", F.lit(0)).alias("n_within"))
 
 
 def select_nearest(rows: DataFrame, keys: Sequence[str], position: Column, target: float, tolerance: float, value: str, tie: float = 1e-9) -> DataFrame:
