@@ -17,7 +17,7 @@ import public_tokenizers
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a worker keeps, and the longest of them.
-KEPT_PIECES, KEPT_LENGTH = 500_000, 48
+KEPT_PIECES, KEPT_LENGTH = 700_000, 48
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
