@@ -99,3 +99,15 @@ def grid_shape(xmin: float, xmax: float, ymin: float, ymax: float, step: float)
             raise ValueError("bounds and spacing don't make whole cells")
         shape.append(n + 1)
     return shape[0], shape[1]
+
+
+def display_raster(points: DataFrame, spacing: float, value: str = "prediction") -> tuple[DataFrame, DataFrame]:
+    """(row, col, value of regularly spaced points; one row with rows, cols and the picture's edges, half a cell outside the outer points). Cells without
+    a point have no row. Of points in one cell the one farthest right, then highest, then of largest value counts. No points: nulls."""
+    edge = points.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))  # one row
+    at = lambda v, low: F.rint((F.col(v) - F.col(low)) / spacing).cast("long")
+    placed = points.join(F.broadcast(edge)).select(at("y", "_y0").alias("row"), at("x", "_x0").alias("col"), "x", "y", F.col(value).alias("value"))
+    cells = placed.groupBy("row", "col").agg(F.max_by("value", F.struct("x", "y", "value")).alias("value"))
+    count = lambda low, high: (F.rint((F.col(high) - F.col(low)) / spacing) + 1).cast("long")
+    half = spacing / 2
+    return cells, edge.select(count("_y0", "_y1").alias("rows"), count("_x0", "_x1").alias("cols"), (F.col("_x0") - half).alias("left"), (F.col("_x1") + half).alias("right"), (F.col("_y0") - half).alias("bottom"), (F.col("_y1") + half).alias("top"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import projection as P
 from ..operators import graph, grid, joins, ledger, matching, ml, reshape, scoring, spatial, splits, summaries
 from . import ground
 from .ground import DEM_SQL, HOLE, SAMPLE, SPT, ZONE, table
@@ -612,3 +613,32 @@ def grouped_importance(spark, d):
     numeric, categorical = ["depth", "elevation", "x"], ["zone"]
     fitted = ml.fit(rows, numeric, categorical, ml.boosted("n_value", trees=5, depth=3))
     return ml.importance(fitted, fitted.transform(ml.feature_frame(rows, numeric, categorical)), numeric, categorical, top=30)
+
+
+def _series(terms: list[float], even: str, odd: str) -> tuple[str, str]:
+    """(north, east) sums of the projection's series in SQL."""
+    north = " + ".join(f"({a!r}) * sin({2 * j} * {even}) * cosh({2 * j} * {odd})" for j, a in enumerate(terms, 1))
+    east = " + ".join(f"({a!r}) * cos({2 * j} * {even}) * sinh({2 * j} * {odd})" for j, a in enumerate(terms, 1))
+    return north, east
+
+
+_E = 2 * P._n() ** 0.5 / (1 + P._n())
+_NORTH, _EAST = _series(P.forward_terms(), "xi", "eta")
+PLANE = f"""ll AS (SELECT hole_id, 136 + (hole_id * 7919 % 20000) / 8192.0::DOUBLE AS lon, 35 + (hole_id * 6131 % 20000) / 8192.0::DOUBLE AS lat FROM hole),
+s AS (SELECT *, sin(radians(lat)) AS s, radians(lon - {P.ZONE_7.lon!r}) AS d FROM ll), t AS (SELECT *, sinh(atanh(s) - {_E!r} * atanh({_E!r} * s)) AS t FROM s),
+u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t)"""
+
+
+@query(f"WITH {HOLE}, {PLANE} SELECT hole_id, round({P.radius(P.ZONE_7)!r} * (eta + {_EAST}), 3) AS x, round({P.radius(P.ZONE_7)!r} * (xi + {_NORTH}) - {P.arc(P.ZONE_7)!r}, 3) AS y, lon AS lon_back, lat AS lat_back FROM u")
+def plane_coordinates(spark, d):
+    """Degrees to metres, and back: the way back gives the degrees again."""
+    k = F.col("hole_id")
+    rows = ground.holes(spark, d).select("hole_id", (136 + (k * 7919 % 20000) / 8192.0).alias("longitude"), (35 + (k * 6131 % 20000) / 8192.0).alias("latitude"), F.lit("02").alias("datum_code"))
+    placed, _ = P.project_records(rows)
+    lon, lat = P.from_plane(F.col("x"), F.col("y"))
+    return placed.select("hole_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.when(F.abs(lon - F.col("longitude")) < 1e-9, F.col("longitude")).alias("lon_back"), F.when(F.abs(lat - F.col("latitude")) < 1e-9, F.col("latitude")).alias("lat_back"))
+
+
+@query(f"WITH {HOLE}, e AS (SELECT min(x) AS x0, min(y) AS y0 FROM hole), c AS (SELECT CAST(round((y - y0) / 10) AS BIGINT) AS row, CAST(round((x - x0) / 10) AS BIGINT) AS col, max(surface_z) AS value FROM hole, e GROUP BY ALL) SELECT row, col, value FROM c")
+def display_raster(spark, d):
+    return grid.display_raster(ground.holes(spark, d), 10.0, "surface_z")[0]

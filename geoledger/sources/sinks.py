@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import grid
 
@@ -40,3 +41,41 @@ def matrix(mask: DataFrame, predictions: DataFrame, shape: tuple[int, int], path
     """A text matrix, in row order over its part files."""
     lines = grid.text_matrix(mask, predictions, shape).repartitionByRange("row").sortWithinPartitions("row")
     lines.select("line").write.text(path)
+
+
+def bom_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV whose files each begin with a byte-order mark, as spreadsheets want it; `tables.wide_csv` takes the mark off again. Headers aren't quoted, so
+    the first column's name must need no quotes."""
+    first = df.columns[0]
+    if any(c in first for c in ',"\n\r'):
+        raise ValueError("the first column's name needs quotes")
+    marked = df.toDF("\ufeff" + first, *df.columns[1:])
+    marked.write.mode(mode).option("header", "true").option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+
+
+def dated(path: str, day: datetime.date | None = None) -> str:
+    """The folder of a day's run below path; readers of path see run_date as a column."""
+    return f"{path.rstrip('/')}/run_date={(day or datetime.datetime.now(datetime.UTC).date()).isoformat()}"
+
+
+def log(spark: SparkSession, path: str, event: str, details: dict[str, object]) -> None:
+    """Appends a line (at, event, details) to a folder of JSON lines. A line is committed whole or not at all."""
+    row = [(datetime.datetime.now(datetime.UTC).isoformat(), event, {k: str(v) for k, v in details.items()})]
+    spark.createDataFrame(row, "at string, event string, details map<string,string>").coalesce(1).write.mode("append").json(path)
+
+
+def summary(spark: SparkSession, path: str, settings: dict[str, object], results: dict[str, object]) -> None:
+    """One JSON record of a run: the settings it had and what came out; an earlier record at the path is replaced."""
+    text = lambda d: {k: str(v) for k, v in d.items()}
+    spark.createDataFrame([(text(settings), text(results))], "settings map<string,string>, results map<string,string>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def markdown(df: DataFrame, order: list[str], digits: int = 4, most: int = 1000) -> str:
+    """A summary table as Markdown. Raises for more rows than a report holds, rather than leave some out."""
+    number = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "decimal")}
+    cells = [F.coalesce((F.format_number(F.col(c).cast("double"), digits) if c in number else F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|"))), F.lit("")).alias(c) for c in df.columns]
+    rows = df.orderBy(*order).select(*cells).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: not a summary")
+    line = lambda values: "| " + " | ".join(values) + " |"
+    return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])

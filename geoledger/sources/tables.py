@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from collections.abc import Sequence
@@ -111,3 +112,35 @@ def import_changes(known: DataFrame, found: DataFrame) -> DataFrame:
     k, f = known.select("name", F.col("sha256").alias("_known")), found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("sha256").alias("_found"))
     status = F.when(F.col("_known").isNull(), "new").when(F.col("_found").isNull(), "missing").when(F.col("_known") == F.col("_found"), "unchanged").otherwise("conflict")
     return k.join(f, "name", "full").select("name", status.alias("status"))
+
+
+def lookup_csv(spark: SparkSession, path: str, key: str, encoding: str = "windows-31j") -> DataFrame:
+    """A lookup table in a national encoding, all as text without white space around it; the key must be there and unique."""
+    raw = spark.read.format("binaryFile").load(path).mapInPandas(lambda frames: _decoded(frames, encoding), "line string")
+    head = raw.first()  # the one header line
+    names = [] if head is None else next(csv.reader([head["line"]]))
+    fields = F.from_csv("line", ", ".join(f"`{c.strip()}` string" for c in names), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    df = ledger.require_columns(raw.filter(F.col("line") != head["line"]).select(fields.alias("r")).select("r.*"), [key])
+    ledger.assert_none(df, F.col(key).isNull(), f"{key} is missing")
+    return ledger.assert_unique(df, [key], "lookup table")
+
+
+def _decoded(frames, encoding):
+    import pandas as pd
+
+    for frame in frames:
+        for content in frame["content"]:
+            lines = bytes(content).decode({"windows-31j": "cp932"}.get(encoding, encoding)).lstrip("\ufeff").splitlines()
+            yield pd.DataFrame({"line": [x for x in lines if x.strip()]})
+
+
+def property_sheets(spark: SparkSession, path: str, header_line: int = 4) -> DataFrame:
+    """property, then the columns of all sheets, from a folder of CSV files (one a sheet, named after its property) whose header stands on a given line
+    and is the same in each. What stands above it isn't data."""
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"^(.*)\.csv$", 1).alias("property"), F.split("value", r"\r?\n").alias("lines"))
+    heads = lines.select(F.element_at("lines", header_line).alias("head")).distinct().limit(2).collect()
+    if len(heads) != 1 or not heads[0]["head"]:
+        raise ValueError("the sheets have no header, or several")
+    schema = ", ".join(f"`{c.strip()}` string" for c in next(csv.reader([heads[0]["head"].lstrip("\ufeff")])))
+    rows = lines.select("property", F.explode(F.slice("lines", header_line + 1, F.greatest(F.size("lines") - header_line, F.lit(0)))).alias("line")).filter(F.trim("line") != "")
+    return rows.select("property", F.from_csv("line", schema).alias("r")).select("property", "r.*")
