@@ -77,9 +77,9 @@ def quantile_higher(df: DataFrame, keys: Sequence[str], value: str, q: float, ac
 
 
 def ensemble(df: DataFrame, members: Sequence[str], radius: Column, least: float, most: float) -> DataFrame:
-    """Mean and sample deviation across members, and a symmetric interval clipped to limits."""
+    """Mean and sample deviation across members (null for one member), and a symmetric interval clipped to limits."""
     mean = sum((F.col(m) for m in members), F.lit(0.0)) / len(members)
-    var = sum(((F.col(m) - mean) ** 2 for m in members), F.lit(0.0)) / (len(members) - 1)
+    var = sum(((F.col(m) - mean) ** 2 for m in members), F.lit(0.0)) / (len(members) - 1) if len(members) > 1 else F.lit(None).cast("double")
     clip = lambda c: F.greatest(F.lit(least), F.least(F.lit(most), c))
     out = df.withColumns({"prediction": clip(mean), "deviation": F.sqrt(var), "lower": clip(mean - radius), "upper": clip(mean + radius)})
     return out.withColumn("width", F.col("upper") - F.col("lower"))
