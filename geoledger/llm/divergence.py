@@ -17,6 +17,7 @@ of an absent term for each kept one; a language of one source has no pairs; an e
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ from .common import empty_text, text_bytes, written
 
 LEAST, TOP = 30, 50
 CHUNK_BYTES, LONG_BYTES = 8 << 20, 4 << 20
-#: Sources in a block of pairs, and terms whose probabilities are held at once.
-SOURCES, TERMS = 128, 1024
+#: Sources in a block of pairs, terms whose probabilities are held at once, and rows of terms in a bucket, each of which gives a sum for each pair.
+SOURCES, TERMS, BUCKET = 128, 1024, 200_000
 
 _TERMS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 RUNS = "lang binary, term binary, source binary, document long, docs long, n long"
@@ -186,8 +187,9 @@ def merged_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
 def kept_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, term, source, n, first: the occurrences of each kept term in each source that has it."""
     order = ["lang", "term", "source", "document"]
-    runs = document_runs(docs).repartition("lang", "term").sortWithinPartitions(*order)
-    return runs.mapInArrow(lambda batches: merged_runs(batches, least), "lang binary, term binary, source binary, n long, first boolean")
+    # the hash leads only because Spark compares whole rows where the first eight bytes of an order are equal, as those of a language are
+    runs = document_runs(docs).repartition("lang", "term").withColumn("key", F.xxhash64("lang", "term")).sortWithinPartitions("key", *order)
+    return runs.select(*order, "docs", "n").mapInArrow(lambda batches: merged_runs(batches, least), "lang binary, term binary, source binary, n long, first boolean")
 
 
 def probability(n: str, total: str, terms: str) -> F.Column:
@@ -205,12 +207,12 @@ def group_totals(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return groups.select("lang", "source", "total", number).join(langs, "lang")
 
 
-PAIRS = "lang binary, block_a int, block_b int, i int, j int, value long"
+PAIRS = "lang binary, block_a int, block_b int, i int, j int, value long, seen long"
 
 
 def pair_sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Sums over terms of |p - q| for each pair of sources (i of block_a, j of block_b; numbers within their blocks) of each bucket.
-    Rows: lang, block_a, block_b, bucket, term, side, place, p in this order; rows of an empty term hold the probability of an absent one."""
+    """Sums over terms of |p - q| for each pair of sources (i of block_a, j of block_b; numbers within their blocks) of each bucket, and how many
+    terms they are: those that some source of either block has. Rows: lang, block_a, block_b, bucket, term, side, place, p in this order; rows of an empty term hold the probability of an absent one."""
     state: dict = {}
 
     def close() -> Iterator[pa.RecordBatch]:
@@ -218,7 +220,7 @@ def pair_sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             flush()
             i, j = np.nonzero(np.outer(state["zero"][0] >= 0, state["zero"][1] >= 0))
             lang, a, b = state["mark"][:3]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.binary()), *(pa.array(np.full(len(i), x), pa.int32()) for x in (a, b)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(state["sum"][i, j])], ["lang", "block_a", "block_b", "i", "j", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.binary()), *(pa.array(np.full(len(i), x), pa.int32()) for x in (a, b)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(state["sum"][i, j]), pa.array(np.full(len(i), state["seen"]))], ["lang", "block_a", "block_b", "i", "j", "value", "seen"])
 
     def flush() -> None:
         if state["terms"]:
@@ -242,7 +244,7 @@ def pair_sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if not state or state["mark"] != mark_of(lo):
                 yield from close()
-                state = {"mark": mark_of(lo), "zero": np.full((2, width), -1, np.int64), "sum": np.zeros((width, width), np.int64), "rows": [], "terms": 0, "last": b""}
+                state = {"mark": mark_of(lo), "zero": np.full((2, width), -1, np.int64), "sum": np.zeros((width, width), np.int64), "rows": [], "terms": 0, "seen": 0, "last": b""}
             starts = np.unique(np.append(lo, lo + np.flatnonzero(new_term[lo:hi]))).tolist()
             # whole terms at a time, TERMS of them
             number = np.cumsum(np.isin(np.arange(lo, hi), starts))
@@ -264,6 +266,7 @@ def pair_sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                     continue
                 base = state["terms"] - 1 if k == 0 and continues and names[0] != b"" else state["terms"]
                 state["rows"].append((here[rows] + base, side[part][rows], place[part][rows], value[part][rows]))
+                state["seen"] += base + count - state["terms"]
                 state["terms"] = base + count
                 if state["terms"] > TERMS:
                     flush_whole(state, flush)
@@ -282,8 +285,7 @@ def flush_whole(state: dict, flush) -> None:
 
 def source_pairs(terms: DataFrame, groups: DataFrame, width: int = SOURCES) -> DataFrame:
     """lang, source, item, value: the divergence of each source from each other of its language."""
-    spark = groups.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, math.ceil(terms.count() / BUCKET))
     own, place = F.floor(F.col("number") / width).cast("int"), (F.col("number") % width).cast("int")
     blocks = F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / width).cast("int"))
     # a source's rows are side 0 of its own block with each block from it on, side 1 of each block up to its own with its own
@@ -296,16 +298,20 @@ def source_pairs(terms: DataFrame, groups: DataFrame, width: int = SOURCES) -> D
     absent = absent.withColumn("t", F.explode(tiles)).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).select(columns)
     order = ["lang", "block_a", "block_b", "bucket"]
     dealt = rows.unionByName(absent).repartition(*order).sortWithinPartitions(*order, "term", "side", "place")
-    sums = dealt.mapInArrow(lambda batches: pair_sums(batches, width), PAIRS).groupBy("lang", "block_a", "block_b", "i", "j").agg(F.sum("value").alias("value"))
-    sums = sums.select("lang", (F.col("block_a") * width + F.col("i")).alias("a"), (F.col("block_b") * width + F.col("j")).alias("b"), "value").filter("a < b")
+    sums = dealt.mapInArrow(lambda batches: pair_sums(batches, width), PAIRS).groupBy("lang", "block_a", "block_b", "i", "j").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    sums = sums.select("lang", (F.col("block_a") * width + F.col("i")).alias("a"), (F.col("block_b") * width + F.col("j")).alias("b"), "value", "seen").filter("a < b")
     names = groups.select("lang", F.col("source"), F.col("number").cast("int").alias("number"), "terms")
-    both = sums.select("lang", "a", "b", "value").union(sums.select("lang", "b", "a", "value"))
+    both = sums.select("lang", "a", "b", "value", "seen").union(sums.select("lang", "b", "a", "value", "seen"))
     # without kept terms each pair's sum is 0
     none = names.filter("terms = 0").select("lang", F.col("number").alias("a"))
-    none = none.join(none.select("lang", F.col("a").alias("b")), "lang").filter("a <> b").select("lang", "a", "b", F.lit(0).cast("long").alias("value"))
+    none = none.join(none.select("lang", F.col("a").alias("b")), "lang").filter("a <> b").select("lang", "a", "b", F.lit(0).cast("long").alias("value"), F.lit(0).cast("long").alias("seen"))
     both = both.union(none)
-    left, right = names.select("lang", F.col("number").alias("a"), "source"), names.select("lang", F.col("number").alias("b"), F.col("source").alias("item"))
-    return both.join(left, ["lang", "a"]).join(right, ["lang", "b"]).select("lang", "source", "item", "value")
+    zero = F.when(F.col("terms") > 0, probability("0", "total", "terms"))
+    left = groups.select("lang", F.col("number").cast("int").alias("a"), "source", "terms", zero.alias("zero_a"))
+    right = groups.select("lang", F.col("number").cast("int").alias("b"), F.col("source").alias("item"), zero.alias("zero_b"))
+    # terms that no source of either block has
+    unseen = F.coalesce((F.col("terms") - F.col("seen")) * F.abs(F.col("zero_a") - F.col("zero_b")), F.lit(0))
+    return both.join(left, ["lang", "a"]).join(right, ["lang", "b"]).select("lang", "source", "item", (F.col("value") + unseen).alias("value"))
 
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, width: int = SOURCES) -> DataFrame:
