@@ -6,34 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import grid_index, is_finite, on_grid
+from . import raster
 from .ledger import assert_none
 
 
 def terrain_at(points: DataFrame, dem: DataFrame, shape: tuple[int, int], xmin: float, ymin: float, spacing: float) -> DataFrame:
-    """point_id with surface_z, slope (degrees), curvature, dem_missing.
+    """point_id with surface_z, slope (degrees), curvature, dem_missing, a row for each point.
 
-    points: point_id, x, y; dem: row, col, value. Five places around a point meet their four cells each by equal keys. Negative and
-    non-finite cells count as 0 and set dem_missing; a point outside has nulls; an offset outside counts as 0."""
-    rows, cols = shape
-    offsets = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in (("c", 0, 0), ("w", -1, 0), ("e", 1, 0), ("s", 0, -1), ("n", 0, 1)))))
-    at = points.select("point_id", "x", "y", offsets.alias("o")).select("point_id", F.col("o.name").alias("place"), ((F.col("x") + F.col("o.dx") * spacing - xmin) / spacing).alias("fc"), ((F.col("y") + F.col("o.dy") * spacing - ymin) / spacing).alias("fr"))
-    within = is_finite(F.col("fc")) & is_finite(F.col("fr")) & F.col("fc").between(0, cols - 1) & F.col("fr").between(0, rows - 1)
-    at = at.withColumn("within", within).withColumns({"c0": F.when(F.col("within"), F.least(F.floor("fc"), F.lit(cols - 2))), "r0": F.when(F.col("within"), F.least(F.floor("fr"), F.lit(rows - 2)))})
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (0, 1) for j in (0, 1))))
-    wanted = at.filter("within").withColumn("k", corner).withColumns({"row": F.col("r0") + F.col("k.dr"), "col": F.col("c0") + F.col("k.dc")})
-    weigh = lambda f, d: F.when(F.col(d) == 1, f).otherwise(1 - f)
-    wanted = wanted.withColumn("weight", weigh(F.col("fc") - F.col("c0"), "k.dc") * weigh(F.col("fr") - F.col("r0"), "k.dr"))
-    bad = ~is_finite(F.col("value")) | (F.col("value") < 0)
-    cell = F.when(bad, 0.0).otherwise(F.col("value").cast("double"))
-    values = wanted.join(dem.select("row", "col", "value"), ["row", "col"], "left").groupBy("point_id", "place").agg(F.sum(cell * F.col("weight")).alias("z"), F.max(bad).alias("replaced"))
-    full = at.select("point_id", "place", "within").join(values, ["point_id", "place"], "left")
-    z = lambda p: F.max(F.when(F.col("place") == p, F.coalesce("z", F.lit(0.0))))
-    wide = full.groupBy("point_id").agg(*(z(p).alias(p) for p in "cwesn"), F.max(F.when(F.col("place") == "c", F.col("within"))).alias("inside"), F.max(~F.col("within") | F.coalesce("replaced", F.lit(True))).alias("missing"))
-    e, w, n, s, c = (F.col(p) for p in "ewnsc")
-    slope = F.degrees(F.atan(F.hypot((e - w) / (2 * spacing), (n - s) / (2 * spacing))))
-    curve = (e - 2 * c + w) / spacing**2 + (n - 2 * c + s) / spacing**2
-    keep = lambda v: F.when(F.col("inside"), v)
-    return wide.select("point_id", keep(c).alias("surface_z"), keep(slope).alias("slope"), keep(curve).alias("curvature"), (F.col("missing") | ~F.col("inside")).alias("dem_missing"))
+    points: point_id, x, y; dem: cells (row, col, value) or tiles of them. See `raster.sample` for what is missing or outside."""
+    tiles = dem if "values" in dem.columns else raster.tiles_of_cells(dem, shape)
+    return raster.sample(points.select("point_id", "x", "y"), tiles, shape, xmin, ymin, spacing).drop("x", "y")
 
 
 def mask_edges(cells: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from . import pyramid
 from .ledger import assert_unique
 
 
@@ -41,23 +42,18 @@ def near_pairs(a: DataFrame, b: DataFrame, tolerance: float, a_key: str, b_key:
 
 
 def exclude_near(rows: DataFrame, heldout: DataFrame, tolerance: float, key: str = "boring_id") -> DataFrame:
-    """Drops every row of a hole within the tolerance of a held-out point; an empty held-out table drops nothing."""
-    holes = rows.select(key, "x", "y").distinct()
-    near = near_pairs(holes, heldout.select(F.monotonically_increasing_id().alias("_held"), "x", "y"), tolerance, key, "_held")
-    return rows.join(near.select(key).distinct(), key, "left_anti")
+    """Drops every row of a hole within the tolerance of a held-out point; an empty held-out table drops nothing. Whether one is there is all that's asked."""
+    near = pyramid.nearest_within(rows.select(key, "x", "y"), heldout.select(F.lit(0).alias("_held"), "x", "y"), tolerance, key, "_held")
+    return rows.join(near.select(key), key, "left_anti")
 
 
 def nearest_reference(points: DataFrame, references: DataFrame, radius: float, key: str, reference_key: str, itself: bool = True) -> DataFrame:
     """For each point: the nearest reference within the radius, its distance, and how many are within it. Unless `itself`, a
     reference with the point's own key doesn't count."""
-    other = lambda pairs: pairs if itself else pairs.filter(F.col(key) != F.col(reference_key))
-    best = lambda rows, r: other(near_pairs(rows, references, r, key, reference_key)).groupBy(key).agg(F.min(F.struct("distance", reference_key)).alias("best"))
-    # most points have a reference close by, which few pairs tell; only the others meet all within the radius. Counts are sums of pairs, never sorted
-    close = written(best(points, radius / 8), "nearest-close")
-    far = best(points.join(close, key, "left_anti"), radius)
-    counts = other(near_pairs(points, references, radius, key, reference_key)).groupBy(key).agg(F.count("*").alias("n_within"))
-    found = points.select(key).join(close.unionByName(far), key, "left").join(counts, key, "left")
-    return found.select(key, F.col(f"best.{reference_key}").alias(f"nearest_{reference_key}"), F.col("best.distance").alias("nearest_distance"), F.coalesce("n_within", F.lit(0)).alias("n_within"))
+    nearest = pyramid.nearest_within(points, references, radius, key, reference_key, itself)
+    counts = pyramid.radius_counts(points, references, radius, key, reference_key, itself).groupBy(key).agg(F.sum("n_within").alias("n_within"))
+    found = points.select(key).join(nearest, key, "left").join(counts, key, "left")
+    return found.select(key, f"nearest_{reference_key}", "nearest_distance", F.coalesce("n_within", F.lit(0)).alias("n_within"))
 
 
 def select_nearest(rows: DataFrame, keys: Sequence[str], position: Column, target: float, tolerance: float, value: str, tie: float = 1e-9) -> DataFrame:
@@ -92,16 +88,15 @@ def require_all_matched(left: DataFrame, right: DataFrame, on: Sequence[str], wh
 
 
 def nearest_at_all(points: DataFrame, references: DataFrame, radius: float, key: str, reference_key: str) -> DataFrame:
-    """key, nearest_<reference_key>, nearest_distance of the nearest reference however far it is: rings of cells of the radius, then of twice
-    it and so on, until no point is left; each round joins by equal cells, and takes only points that have none within its radius yet."""
+    """key, nearest_<reference_key>, nearest_distance of the nearest reference however far it is: within the radius, then within four times
+    it and so on, until no point is left; each round takes only points that have none within its radius yet. Runs jobs while the plan is built."""
     left, parts, r = points.select(key, "x", "y").distinct(), [], radius
     ends = references.select("x", "y").unionByName(left.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     span = None if ends is None or ends[0] is None else (ends[0] ** 2 + ends[1] ** 2) ** 0.5
     if span is None or not references.limit(1).count():
         return left.select(key, F.lit(None).cast(references.schema[reference_key].dataType).alias(f"nearest_{reference_key}"), F.lit(None).cast("double").alias("nearest_distance"))
     while True:
-        found = near_pairs(left, references, r, key, reference_key).groupBy(key).agg(F.min(F.struct("distance", reference_key)).alias("best"))
-        found = written(found.select(key, F.col(f"best.{reference_key}").alias(f"nearest_{reference_key}"), F.col("best.distance").alias("nearest_distance")), "nearest")
+        found = written(pyramid.nearest_within(left, references, r, key, reference_key), "nearest")
         parts.append(found)
         if r > span:
             return reduce(DataFrame.unionByName, parts)

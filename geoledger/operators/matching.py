@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
-from .joins import near_pairs
+from .joins import nearest_reference
 
 
 def match_intervals(samples: DataFrame, measurements: DataFrame, xy_tolerance: float, depth_tolerance: float) -> DataFrame:
@@ -16,8 +16,8 @@ def match_intervals(samples: DataFrame, measurements: DataFrame, xy_tolerance: f
     else over those at its depth, ends widened by depth_tolerance. Outcomes: no_matching_hole, ambiguous_hole,
     invalid_sample_interval, interval_mean, exact_depth_mean, no_spt_in_interval. The nearest measurement is diagnostic only."""
     holes = measurements.groupBy("hole_id").agg(F.min_by(F.struct("x", "y"), "measurement_no").alias("p")).select("hole_id", "p.*")
-    near = near_pairs(samples.select("sample_id", "x", "y"), holes, xy_tolerance, "sample_id", "hole_id")
-    near = near.groupBy("sample_id").agg(F.count("*").alias("candidate_holes"), F.min("hole_id").alias("hole_id"))
+    near = nearest_reference(samples.select("sample_id", "x", "y"), holes, xy_tolerance, "sample_id", "hole_id")
+    near = near.select("sample_id", F.col("n_within").alias("candidate_holes"), F.col("nearest_hole_id").alias("hole_id"))
     given = samples.join(near, "sample_id", "left").withColumn("candidate_holes", F.coalesce("candidate_holes", F.lit(0)))
     both = F.col("depth_top").isNotNull() & F.col("depth_bottom").isNotNull()
     bad = both & ~(is_finite(F.col("depth_top")) & is_finite(F.col("depth_bottom")) & (F.col("depth_top") >= 0) & (F.col("depth_bottom") >= F.col("depth_top")))

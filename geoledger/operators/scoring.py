@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, code_text, invalid_ground, is_finite, meshcode_250m
 from ..sources import sinks
-from . import grid, spatial
+from . import grid, raster, spatial
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -29,7 +29,8 @@ def active_points(points: DataFrame, mask: DataFrame, shape: tuple[int, int], xm
 def enrich(points: DataFrame, dem: DataFrame, dem_shape: tuple[int, int], dem_origin: tuple[float, float], dem_spacing: float, zones: DataFrame | None = None, cell: float = 7000.0, mesh: DataFrame | None = None, where: tuple[Column, Column] | None = None) -> DataFrame:
     """points (point_id, x, y, depth) with what samples and grid cells are predicted from alike: surface_z, slope, curvature, elevation, and
     where given zone (polygons) and the mesh's attributes (mesh: CODE, JCODE, AVS; where: longitude, latitude)."""
-    out = points.join(grid.terrain_at(points, dem, dem_shape, *dem_origin, dem_spacing), "point_id", "left").withColumn("elevation", F.col("surface_z") - F.col("depth"))
+    tiles = dem if "values" in dem.columns else raster.tiles_of_cells(dem, dem_shape)
+    out = raster.sample(points, tiles, dem_shape, *dem_origin, dem_spacing).withColumn("elevation", F.col("surface_z") - F.col("depth"))
     if zones is not None:
         found = spatial.first_match(points, zones, cell).select("point_id", F.coalesce("code", F.lit("UNKNOWN")).alias("zone"))
         out = out.join(found, "point_id", "left")

@@ -1,8 +1,8 @@
-"""Points in polygons, without a geometry library: cells of a grid bring points to boxes, edges decide."""
+"""Points in polygons, without a geometry library: cells of a grid hold the edges that touch them, and those decide."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,28 +11,82 @@ def _edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.struct(F.get(r, i)["x"].alias("x1"), F.get(r, i)["y"].alias("y1"), F.get(r, F.pmod(i + 1, F.size(r)))["x"].alias("x2"), F.get(r, F.pmod(i + 1, F.size(r)))["y"].alias("y2")))))
 
 
-def _inside(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray casting over holes and parts alike."""
-    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+def _turn(e: Column, x: Column, y: Column) -> Column:
+    """On which side of an edge a place lies. All tests below take their answers from this one number's sign, so they never contradict one another."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+
+
+def _right_of(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge that crosses height y does so to the right of x."""
+    return F.when(e["y2"] > e["y1"], _turn(e, x, y) > 0).otherwise(_turn(e, x, y) < 0)
+
+
+def _above(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge that crosses the upright just right of x does so above y; where it passes through the place itself, it does if it rises."""
+    t, up = _turn(e, x, y), e["y2"] - e["y1"]
+    return F.when(e["x2"] > e["x1"], (t < 0) | ((t == 0) & (up > 0))).otherwise((t > 0) | ((t == 0) & (up < 0)))
 
 
 def _on_edge(edges: Column, x: Column, y: Column) -> Column:
-    cross = lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    return F.exists(edges, lambda e: (cross(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
+    return F.exists(edges, lambda e: (_turn(e, x, y) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
+
+
+def _spans_y(e: Column, y: Column) -> Column:
+    return (e["y1"] > y) != (e["y2"] > y)
+
+
+def cell_index(polygons: DataFrame, cell: float) -> DataFrame:
+    """cx, cy, poly_id, code, edges, corner: the square cells that polygons (poly_id, code, rings) touch or cover.
+
+    A boundary cell holds only the edges that touch it, and in `corner` whether its lower right corner is inside; a cell wholly inside has no edges (null). Cells
+    outside have no row. Holes and parts count alike, by the even-odd rule; rows that share poly_id and code are one shape.
+
+    Each edge is dealt to its cells by the rows of cells it passes, so no row ever holds a whole outline. Corners follow from the edges that cross the lower
+    side of each cell to their right: one sum along each row of a polygon's cells."""
+    slack = cell * 1e-9
+    at = lambda c: F.floor(c / cell)
+    edges = polygons.select("poly_id", "code", F.explode(_edges(F.col("rings"))).alias("e"))
+    edges = edges.filter("e.x1 <> e.x2 OR e.y1 <> e.y2")
+    e = F.col("e")
+    lo, hi = (lambda a: F.least(e[f"{a}1"], e[f"{a}2"])), (lambda a: F.greatest(e[f"{a}1"], e[f"{a}2"]))
+    rows = edges.withColumn("cy", F.explode(F.sequence(at(lo("y") - slack), at(hi("y") + slack))))
+    # where the edge enters and leaves the row of cells
+    x_at = lambda y: F.greatest(lo("x"), F.least(hi("x"), e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+    bottom, top = F.greatest(lo("y"), F.col("cy") * cell - slack), F.least(hi("y"), (F.col("cy") + 1) * cell + slack)
+    level = e["y1"] == e["y2"]
+    left, right = F.when(level, lo("x")).otherwise(F.least(x_at(bottom), x_at(top))), F.when(level, hi("x")).otherwise(F.greatest(x_at(bottom), x_at(top)))
+    # a little more than the edge takes, as its places are rounded: an edge too many in a cell changes nothing
+    more = slack + (right - left) * 1e-9
+    dealt = rows.withColumn("cx", F.explode(F.sequence(at(left - more), at(right + more))))
+    x0, x1, y0 = F.col("cx") * cell, (F.col("cx") + 1) * cell, F.col("cy") * cell
+    crossing = (_spans_y(e, y0) & (_right_of(e, x0, y0) != _right_of(e, x1, y0))).cast("int")
+    cells = dealt.withColumn("crossing", crossing).groupBy("poly_id", "code", "cy", "cx").agg(F.collect_list("e").alias("edges"), F.sum("crossing").alias("crossings"))
+    row = Window.partitionBy("poly_id", "code", "cy").orderBy(F.desc("cx"))
+    cells = cells.withColumns({"_sum": F.sum("crossings").over(row.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.lag("cx").over(row)})
+    cells = cells.withColumn("corner", F.coalesce("_sum", F.lit(0)) % 2 == 1)
+    # a gap in the row has no edges: it is inside if the corner before it is
+    gap = F.filter(F.sequence(F.col("cx"), F.col("_next")), lambda c: (c > F.col("cx")) & (c < F.col("_next")))
+    covered = cells.filter("corner AND _next > cx + 1").select("poly_id", "code", "cy", F.explode(gap).alias("cx"))
+    boundary = cells.select("cx", "cy", "poly_id", "code", "edges", "corner")
+    return boundary.unionByName(covered.select("cx", "cy", "poly_id", "code", F.lit(None).cast(boundary.schema["edges"].dataType).alias("edges"), F.lit(True).alias("corner")))
+
+
+def _inside(edges: Column, corner: Column, x: Column, y: Column, x1: Column, y0: Column) -> Column:
+    """From a place right to its cell's side, then down to the lower right corner: each edge on the way changes between inside and outside."""
+    across = lambda e: _spans_y(e, y) & (_right_of(e, x, y) != _right_of(e, x1, y))
+    down = lambda e: ((e["x1"] > x1) != (e["x2"] > x1)) & (_above(e, x1, y0) != _above(e, x1, y))
+    return (F.size(F.filter(edges, across)) + F.size(F.filter(edges, down)) + corner.cast("int")) % 2 == 1
 
 
 def candidates(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Pairs of a point (point_id, x, y) and a polygon (poly_id, code, rings) that holds it: inside, on_boundary."""
-    shapes = polygons.withColumn("edges", _edges(F.col("rings")))
-    for axis in "xy":
-        ends = F.col(f"edges.{axis}1")
-        shapes = shapes.withColumns({f"{axis}_lo": F.array_min(ends), f"{axis}_hi": F.array_max(ends)})
-        shapes = shapes.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}_lo") / cell), F.floor(F.col(f"{axis}_hi") / cell))))
+    """Pairs of a point (point_id, x, y) and a polygon (poly_id, code, rings, or their `cell_index`) that holds it: inside, on_boundary."""
+    index = polygons if "corner" in polygons.columns else cell_index(polygons, cell)
     placed = points.select("point_id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    both = placed.join(shapes, ["cx", "cy"]).filter("x BETWEEN x_lo AND x_hi AND y BETWEEN y_lo AND y_hi")
-    both = both.withColumn("on_boundary", _on_edge(F.col("edges"), F.col("x"), F.col("y")))
-    both = both.withColumn("inside", ~F.col("on_boundary") & _inside(F.col("edges"), F.col("x"), F.col("y")))
+    both = placed.join(index.select("cx", "cy", "poly_id", "code", "edges", "corner"), ["cx", "cy"])
+    x, y, boundary = F.col("x"), F.col("y"), F.col("edges").isNotNull()
+    both = both.withColumn("on_boundary", boundary & _on_edge(F.col("edges"), x, y))
+    inside = _inside(F.col("edges"), F.col("corner"), x, y, (F.col("cx") + 1) * cell, F.col("cy") * cell)
+    both = both.withColumn("inside", ~F.col("on_boundary") & F.when(boundary, inside).otherwise(True))
     return both.filter("inside OR on_boundary").select("point_id", "poly_id", "code", "inside", "on_boundary")
 
 

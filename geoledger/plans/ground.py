@@ -57,11 +57,23 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE = "sample AS (SELECT hole_id AS sample_id, x + CASE WHEN hole_id % 7 = 0 THEN 5.0 ELSE 0.0 END AS x, y, CAST(hole_id % 30 AS DOUBLE) + 2 AS depth, CASE WHEN hole_id % 5 <> 0 THEN CAST(hole_id % 30 AS DOUBLE) END AS depth_top, CASE WHEN hole_id % 5 <> 0 THEN CAST(hole_id % 30 AS DOUBLE) + CASE WHEN hole_id % 11 = 0 THEN -1 ELSE 4 END END AS depth_bottom FROM hole)"
 
 
-def terrain(spark: SparkSession) -> DataFrame:
-    rows, cols = DEM
-    cells = spark.range(rows * cols)
-    r, c = F.floor(F.col("id") / cols), F.col("id") % cols
-    return cells.select(r.alias("row"), c.alias("col"), ((r * 37 + c * 11) % 200 - 20).cast("double").alias("value"))
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of a coarse grid: the highest hole of each cell, less 20; cells without a hole, and below zero, are missing."""
+    cell = lambda c, low: F.floor((F.col(c) - low) / DEM_STEP)
+    cells = holes(spark, sf_dir).groupBy(cell("y", YMIN).alias("row"), cell("x", XMIN).alias("col")).agg((F.max("surface_z") - 20).alias("value"))
+    return cells.filter(F.col("row").between(0, DEM[0] - 1) & F.col("col").between(0, DEM[1] - 1))
 
 
-DEM_SQL = "dem AS (SELECT i // 80 AS row, i % 80 AS col, CAST(((i // 80) * 37 + (i % 80) * 11) % 200 - 20 AS DOUBLE) AS value FROM range(4800) t(i))"
+DEM_SQL = "dem AS (SELECT CAST(floor((y - 105400) / 1000) AS BIGINT) AS row, CAST(floor((x + 45800) / 1000) AS BIGINT) AS col, max(surface_z) - 20 AS value FROM hole WHERE floor((y - 105400) / 1000) < 60 GROUP BY 1, 2)"
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle of each customer, coded by nation: many overlap."""
+    k = F.col("c_custkey")
+    x0, y0 = (XMIN + 10 * (k * 7919 % 6000)).cast("double"), (YMIN + 10 * (k * 6131 % 6000)).cast("double")
+    x1, y1 = x0 + 500 + 100 * (k % 17), y0 + 500 + 100 * (k % 23)
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return table(spark, sf_dir, "customer").select(k.cast("long").alias("poly_id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("code"), F.array(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))).alias("rings"))
+
+
+PARCEL = "parcel AS (SELECT CAST(c_custkey AS BIGINT) AS poly_id, 'N' || c_nationkey AS code, -45800.0::DOUBLE + 10 * (c_custkey * 7919 % 6000) AS x0, 105400.0::DOUBLE + 10 * (c_custkey * 6131 % 6000) AS y0, -45800.0::DOUBLE + 10 * (c_custkey * 7919 % 6000) + 500 + 100 * (c_custkey % 17) AS x1, 105400.0::DOUBLE + 10 * (c_custkey * 6131 % 6000) + 500 + 100 * (c_custkey % 23) AS y1 FROM customer)"

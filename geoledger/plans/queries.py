@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import projection as P
-from ..operators import graph, grid, joins, ledger, matching, ml, reshape, scoring, spatial, splits, summaries
+from ..operators import graph, grid, joins, ledger, matching, ml, overlay, raster, reshape, scoring, spatial, splits, summaries
 from . import ground
-from .ground import DEM_SQL, HOLE, SAMPLE, SPT, ZONE, table
+from .ground import DEM_SQL, HOLE, PARCEL, SAMPLE, SPT, ZONE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,18 +327,41 @@ def grid_coverage(spark, d):
     return grid.coverage(mask, h.filter("hole_id % 8 <> 3").groupBy("row", "col").agg(F.max(F.col("surface_z") - 20).alias("prediction")))
 
 
-CORNER = "q AS (SELECT hole_id, p, (x + dx * 1000 + 45800) / 1000 AS fc, (y + dy * 1000 - 105400) / 1000 AS fr FROM hole, (VALUES ('c', 0, 0), ('w', -1, 0), ('e', 1, 0), ('s', 0, -1), ('n', 0, 1)) o(p, dx, dy)), w AS (SELECT *, fc BETWEEN 0 AND 79 AND fr BETWEEN 0 AND 59 AS ok, least(CAST(floor(fc) AS BIGINT), 78) AS c0, least(CAST(floor(fr) AS BIGINT), 58) AS r0 FROM q), v AS (SELECT hole_id, p, ok, CASE WHEN ok THEN greatest(a.value, 0) * (1 - (fc - c0)) * (1 - (fr - r0)) + greatest(b.value, 0) * (fc - c0) * (1 - (fr - r0)) + greatest(c.value, 0) * (1 - (fc - c0)) * (fr - r0) + greatest(d.value, 0) * (fc - c0) * (fr - r0) ELSE 0 END AS z, CASE WHEN ok THEN least(a.value, b.value, c.value, d.value) < 0 ELSE true END AS bad FROM w LEFT JOIN dem a ON a.row = r0 AND a.col = c0 LEFT JOIN dem b ON b.row = r0 AND b.col = c0 + 1 LEFT JOIN dem c ON c.row = r0 + 1 AND c.col = c0 LEFT JOIN dem d ON d.row = r0 + 1 AND d.col = c0 + 1), t AS (SELECT hole_id, max(z) FILTER (p = 'c') AS c, max(z) FILTER (p = 'w') AS w, max(z) FILTER (p = 'e') AS e, max(z) FILTER (p = 's') AS s, max(z) FILTER (p = 'n') AS n, bool_or(p = 'c' AND ok) AS inside, bool_or(bad) AS bad FROM v GROUP BY 1)"
+CORNER = "q AS (SELECT hole_id, p, (x + dx * 1000 + 45800) / 1000 AS fc, (y + dy * 1000 - 105400) / 1000 AS fr FROM hole, (VALUES ('c', 0, 0), ('w', -1, 0), ('e', 1, 0), ('s', 0, -1), ('n', 0, 1)) o(p, dx, dy)), w AS (SELECT *, fc BETWEEN 0 AND 79 AND fr BETWEEN 0 AND 59 AS ok, least(CAST(floor(fc) AS BIGINT), 78) AS c0, least(CAST(floor(fr) AS BIGINT), 58) AS r0 FROM q), v AS (SELECT hole_id, p, ok, CASE WHEN ok THEN greatest(coalesce(a.value, 0), 0) * (1 - (fc - c0)) * (1 - (fr - r0)) + greatest(coalesce(b.value, 0), 0) * (fc - c0) * (1 - (fr - r0)) + greatest(coalesce(c.value, 0), 0) * (1 - (fc - c0)) * (fr - r0) + greatest(coalesce(d.value, 0), 0) * (fc - c0) * (fr - r0) ELSE 0 END AS z, CASE WHEN ok THEN least(coalesce(a.value, -1), coalesce(b.value, -1), coalesce(c.value, -1), coalesce(d.value, -1)) < 0 ELSE true END AS bad FROM w LEFT JOIN dem a ON a.row = r0 AND a.col = c0 LEFT JOIN dem b ON b.row = r0 AND b.col = c0 + 1 LEFT JOIN dem c ON c.row = r0 + 1 AND c.col = c0 LEFT JOIN dem d ON d.row = r0 + 1 AND d.col = c0 + 1), t AS (SELECT hole_id, max(z) FILTER (p = 'c') AS c, max(z) FILTER (p = 'w') AS w, max(z) FILTER (p = 'e') AS e, max(z) FILTER (p = 's') AS s, max(z) FILTER (p = 'n') AS n, bool_or(p = 'c' AND ok) AS inside, bool_or(bad) AS bad FROM v GROUP BY 1)"
 
 
 @query(f"WITH {HOLE}, {DEM_SQL}, {CORNER} SELECT hole_id AS point_id, CASE WHEN inside THEN round(c, 6) END AS surface_z, CASE WHEN inside THEN round(degrees(atan(sqrt(((e - w) / 2000) ** 2 + ((n - s) / 2000) ** 2))), 6) END AS slope, CASE WHEN inside THEN round((e - 2 * c + w) / 1e6 + (n - 2 * c + s) / 1e6, 12) END AS curvature, bad OR NOT inside AS dem_missing FROM t")
 def terrain_bilinear(spark, d):
-    out = grid.terrain_at(_points(spark, d), ground.terrain(spark), ground.DEM, ground.XMIN, ground.YMIN, ground.DEM_STEP)
+    out = grid.terrain_at(_points(spark, d), ground.terrain(spark, d), ground.DEM, ground.XMIN, ground.YMIN, ground.DEM_STEP)
     return out.select("point_id", r6("surface_z").alias("surface_z"), r6("slope").alias("slope"), F.round("curvature", 12).alias("curvature"), "dem_missing")
 
 
-@query(f"WITH {DEM_SQL}, a AS (SELECT row, col, value > 60 AS active FROM dem) SELECT a.row, a.col, 'right' AS side, a.active FROM a JOIN a b ON b.row = a.row AND b.col = a.col + 1 WHERE a.active <> b.active UNION ALL SELECT a.row, a.col, 'up', a.active FROM a JOIN a b ON b.row = a.row + 1 AND b.col = a.col WHERE a.active <> b.active")
+STENCIL = "g AS (SELECT r AS row, c AS col FROM range(60) x(r), range(80) y(c)), z AS (SELECT row, col, greatest(coalesce(value, 0), 0) AS z, coalesce(value, -1) < 0 AS bad FROM g LEFT JOIN dem USING (row, col)), t AS (SELECT c.row, c.col, c.z AS c, coalesce(e.z, 0) AS e, coalesce(w.z, 0) AS w, coalesce(n.z, 0) AS n, coalesce(s.z, 0) AS s, c.bad OR coalesce(e.bad, true) OR coalesce(w.bad, true) OR coalesce(n.bad, true) OR coalesce(s.bad, true) AS bad FROM z c LEFT JOIN z e ON e.row = c.row AND e.col = c.col + 1 LEFT JOIN z w ON w.row = c.row AND w.col = c.col - 1 LEFT JOIN z n ON n.row = c.row + 1 AND n.col = c.col LEFT JOIN z s ON s.row = c.row - 1 AND s.col = c.col)"
+
+
+@query(f"WITH {HOLE}, {DEM_SQL}, {STENCIL} SELECT row, col, c AS surface_z, round(degrees(atan(sqrt(((e - w) / 2000) ** 2 + ((n - s) / 2000) ** 2))), 6) AS slope, round((e - 2 * c + w) / 1e6 + (n - 2 * c + s) / 1e6, 12) AS curvature, bad AS dem_missing FROM t WHERE EXISTS (SELECT 1 FROM dem WHERE dem.row BETWEEN t.row // 16 * 16 - 2 AND t.row // 16 * 16 + 17 AND dem.col BETWEEN t.col // 16 * 16 - 2 AND t.col // 16 * 16 + 17)")
+def terrain_cells(spark, d):
+    out = raster.terrain(raster.tiles_of_cells(ground.terrain(spark, d), ground.DEM, 16), ground.DEM, ground.DEM_STEP, 16)
+    return out.withColumns({"slope": r6("slope"), "curvature": F.round("curvature", 12)})
+
+
+@query(f"WITH {HOLE}, {DEM_SQL}, g AS (SELECT r AS row, c AS col FROM range(60) x(r), range(80) y(c)), a AS (SELECT row, col, CAST(coalesce(value > 60, false) AS INTEGER) AS v FROM g LEFT JOIN dem USING (row, col)), q AS (SELECT a.row, a.col, a.v + 2 * b.v + 4 * c.v + 8 * d.v AS code FROM a JOIN a b ON b.row = a.row AND b.col = a.col + 1 JOIN a c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN a d ON d.row = a.row + 1 AND d.col = a.col), piece(code, sr, sc, er, ec) AS (VALUES (1, 0, 0.5, 0.5, 0), (2, 0.5, 1, 0, 0.5), (3, 0.5, 1, 0.5, 0), (4, 1, 0.5, 0.5, 1), (5, 0, 0.5, 0.5, 0), (5, 1, 0.5, 0.5, 1), (6, 1, 0.5, 0, 0.5), (7, 1, 0.5, 0.5, 0), (8, 0.5, 0, 1, 0.5), (9, 0, 0.5, 1, 0.5), (10, 0.5, 1, 0, 0.5), (10, 0.5, 0, 1, 0.5), (11, 0.5, 1, 1, 0.5), (12, 0.5, 0, 0.5, 1), (13, 0, 0.5, 0.5, 1), (14, 0.5, 0, 0, 0.5)) SELECT CAST(row + sr AS DOUBLE) AS start_row, CAST(col + sc AS DOUBLE) AS start_col, CAST(row + er AS DOUBLE) AS end_row, CAST(col + ec AS DOUBLE) AS end_col FROM q JOIN piece USING (code)")
+def boundary_segments(spark, d):
+    return raster.boundary_segments(_mask_tiles(spark, d), ground.DEM, 16)
+
+
+@query(None)
+def boundary_lines(spark, d):
+    return raster.boundary_lines(raster.boundary_segments(_mask_tiles(spark, d), ground.DEM, 16))
+
+
+def _mask_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return raster.tiles_of_cells(ground.terrain(spark, d).select("row", "col", (F.col("value") > 60).cast("int").alias("value")), ground.DEM, 16)
+
+
+@query(f"WITH {HOLE}, {DEM_SQL}, a AS (SELECT row, col, value > 60 AS active FROM dem) SELECT a.row, a.col, 'right' AS side, a.active FROM a JOIN a b ON b.row = a.row AND b.col = a.col + 1 WHERE a.active <> b.active UNION ALL SELECT a.row, a.col, 'up', a.active FROM a JOIN a b ON b.row = a.row + 1 AND b.col = a.col WHERE a.active <> b.active")
 def mask_boundary_edges(spark, d):
-    return grid.mask_edges(ground.terrain(spark).select("row", "col", (F.col("value") > 60).cast("int").alias("value")))
+    return grid.mask_edges(ground.terrain(spark, d).select("row", "col", (F.col("value") > 60).cast("int").alias("value")))
 
 
 @query(f"WITH {SPT} SELECT hole_id, measurement_no, round(least(sqrt(15 * greatest(n_value, 0)) + 15, 40), 6) AS phi FROM spt")
@@ -473,6 +496,19 @@ def code_fractions(spark, d):
     return summaries.code_fractions(coded, "code", F.col("surface_z")).withColumns({"fraction": F.round("fraction", 9), "area_fraction": F.round("area_fraction", 9)})
 
 
+CLIPPED = "clipped AS (SELECT code, greatest(x0, -40000) AS x0, greatest(y0, 110000) AS y0, least(x1, 10000) AS x1, least(y1, 160000) AS y1 FROM parcel WHERE x0 < 10000 AND x1 > -40000 AND y0 < 160000 AND y1 > 110000)"
+
+
+@query(f"WITH {PARCEL}, {CLIPPED}, xs AS (SELECT code, x, lead(x) OVER (PARTITION BY code ORDER BY x) AS x2 FROM (SELECT code, x0 AS x FROM clipped UNION SELECT code, x1 FROM clipped)), ys AS (SELECT code, y, lead(y) OVER (PARTITION BY code ORDER BY y) AS y2 FROM (SELECT code, y0 AS y FROM clipped UNION SELECT code, y1 FROM clipped)), a AS (SELECT code, sum((x2 - x) * (y2 - y)) AS area FROM xs JOIN ys USING (code) WHERE EXISTS (SELECT 1 FROM clipped p WHERE p.code = xs.code AND p.x0 <= x AND p.x1 >= x2 AND p.y0 <= y AND p.y1 >= y2) GROUP BY 1), k AS (SELECT DISTINCT code FROM parcel) SELECT code, round(coalesce(area, 0), 3) AS area FROM k LEFT JOIN a USING (code)")
+def parcel_union_areas(spark, d):
+    return overlay.union_areas(ground.parcels(spark, d), 1000.0, bounds=(-40000.0, 110000.0, 10000.0, 160000.0)).withColumn("area", F.round("area", 3))
+
+
+@query(f"WITH {ZONE}, {PARCEL}, k AS (SELECT DISTINCT z.code AS za, p.code AS pb FROM zone z, parcel p), xs AS (SELECT za, pb, x, lead(x) OVER (PARTITION BY za, pb ORDER BY x) AS x2 FROM (SELECT za, pb, unnest([x0, x1]) AS x FROM k JOIN zone ON code = za UNION SELECT za, pb, unnest([x0, x1]) FROM k JOIN parcel ON code = pb)), ys AS (SELECT za, pb, y, lead(y) OVER (PARTITION BY za, pb ORDER BY y) AS y2 FROM (SELECT za, pb, unnest([y0, y1]) AS y FROM k JOIN zone ON code = za UNION SELECT za, pb, unnest([y0, y1]) FROM k JOIN parcel ON code = pb)) SELECT xs.za AS code_a, xs.pb AS code_b, round(sum((x2 - x) * (y2 - y)), 3) AS area FROM xs JOIN ys ON xs.za = ys.za AND xs.pb = ys.pb WHERE EXISTS (SELECT 1 FROM zone z WHERE z.code = xs.za AND z.x0 <= x AND z.x1 >= x2 AND z.y0 <= y AND z.y1 >= y2) AND EXISTS (SELECT 1 FROM parcel p WHERE p.code = xs.pb AND p.x0 <= x AND p.x1 >= x2 AND p.y0 <= y AND p.y1 >= y2) GROUP BY 1, 2")
+def zone_parcel_overlay(spark, d):
+    return overlay.overlay_areas(ground.zones(spark, d), ground.parcels(spark, d), 1000.0).withColumn("area", F.round("area", 3))
+
+
 @query("SELECT DISTINCT c_nationkey AS code FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
 def common_codes(spark, d):
     return summaries.common_codes(table(spark, d, "customer").select(F.col("c_nationkey").alias("code")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("code")), "code")
@@ -569,7 +605,7 @@ def observed_overlay(spark, d):
 @query(f"WITH {HOLE}, {DEM_SQL}, {CORNER}, {ZONE}, {INSIDE}, f AS (SELECT point_id, arg_min(code, poly_id) AS code FROM inside GROUP BY 1) SELECT h.hole_id AS point_id, CAST(h.hole_id % 30 AS DOUBLE) AS depth, CASE WHEN inside THEN round(c, 6) END AS surface_z, CASE WHEN inside THEN round(c - h.hole_id % 30, 6) END AS elevation, coalesce(f.code, 'UNKNOWN') AS zone FROM hole h JOIN t ON t.hole_id = h.hole_id LEFT JOIN f ON f.point_id = h.hole_id")
 def enriched_points(spark, d):
     points = _points(spark, d).withColumn("depth", (F.col("point_id") % 30).cast("double"))
-    out = scoring.enrich(points, ground.terrain(spark), ground.DEM, (ground.XMIN, ground.YMIN), ground.DEM_STEP, ground.zones(spark, d))
+    out = scoring.enrich(points, ground.terrain(spark, d), ground.DEM, (ground.XMIN, ground.YMIN), ground.DEM_STEP, ground.zones(spark, d))
     return out.select("point_id", "depth", r6("surface_z").alias("surface_z"), r6("elevation").alias("elevation"), "zone")
 
 

@@ -43,8 +43,8 @@ def grid_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(number(F.get(parts, F.lit(0))).alias("x"), number(F.get(parts, F.lit(1))).alias("y"))
 
 
-def matrix_text(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> DataFrame:
-    """row, col, value of a text matrix: a file, or a folder of part files in the order of their names, as `sinks.matrix` writes it. A line's row is
+def matrix_lines(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> DataFrame:
+    """row, values of a text matrix: a file, or a folder of part files in the order of their names, as `sinks.matrix` writes it. A line's row is
     the lines of the files and blocks before its own, and its place in its block; there is one count for each block that a task reads."""
     at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
     lines = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line"))
@@ -52,14 +52,17 @@ def matrix_text(spark: SparkSession, path: str, shape: tuple[int, int] | None =
     blocks = blocks.withColumn("before", F.sum("n").over(Window.orderBy("file", "block")) - F.col("n"))
     placed = lines.filter("line <> ''").join(blocks.select("file", "block", "before"), ["file", "block"])
     inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
-    placed = placed.select((F.col("before") + inside - 1).alias("row"), "line")
-    cells = placed.select("row", F.posexplode(F.split("line", r"\s+")).alias("col", "text"))
-    out = cells.select("row", F.col("col").cast("long").alias("col"), number(F.col("text")).alias("value"))
+    out = placed.select((F.col("before") + inside - 1).alias("row"), F.transform(F.split("line", r"\s+"), number).alias("values"))
     if shape:
-        ledger.assert_none(out.agg(F.max("row").alias("r"), F.max("col").alias("c"), F.count("*").alias("n")), (F.col("r") != shape[0] - 1) | (F.col("c") != shape[1] - 1) | (F.col("n") != shape[0] * shape[1]), "the matrix has another shape")
+        ledger.assert_none(out.agg(F.count("*").alias("n"), F.count_if(F.size("values") != shape[1]).alias("odd")), (F.col("n") != shape[0]) | (F.col("odd") > 0), "the matrix has another shape")
     return out
 
 
+def matrix_text(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> DataFrame:
+    """row, col, value of a text matrix, as `matrix_lines` reads it."""
+    return matrix_lines(spark, path, shape).select("row", F.posexplode("values").alias("col", "value")).withColumn("col", F.col("col").cast("long"))
+
+
 def mask_text(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> DataFrame:
     """A matrix as 0 and 1: any finite value but zero is active."""
     return matrix_text(spark, path, shape).select("row", "col", F.when(F.coalesce(F.col("value") != 0, F.lit(False)), 1).otherwise(0).alias("value"))
