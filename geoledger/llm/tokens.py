@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pieces that a worker keeps, and the longest of them.
-KEPT_PIECES, KEPT_LENGTH = 700_000, 48
+#: Bytes of distinct pieces, with their ids, that a worker keeps, what an entry takes besides its objects, and the longest piece.
+KEPT_BYTES, ENTRY_BYTES, KEPT_LENGTH = 128 << 20, 104, 48
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -47,6 +48,7 @@ class IdEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.pieces = _Pieces()
+        self.kept = 0
         #: Bytes of each id: a byte-level token has a character for each byte.
         self.lengths = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
@@ -88,10 +90,11 @@ class IdEncoder:
         whole = [i for i, text in enumerate(texts) if text and not out[i]]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        full = len(self.pieces) > KEPT_PIECES
         for p in new:
-            if full or len(p) > KEPT_LENGTH:
+            if self.kept > KEPT_BYTES or len(p) > KEPT_LENGTH:
                 del self.pieces[p]
+            else:
+                self.kept += ENTRY_BYTES + sys.getsizeof(p) + sys.getsizeof(look(p))
         new.clear()
         return out
 
