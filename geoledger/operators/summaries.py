@@ -110,19 +110,55 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
     return out.orderBy(F.desc("n"), F.col("value").asc_nulls_last()).limit(top) if top else out
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], few_keys: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """keys and an array `quantiles` of the exact quantiles of the finite values, between two values in proportion; keys without a finite value have no row.
+
+    As in `quantile_higher` a sketch brackets each place in the order; what lies below a bracket is counted only, and distinct values inside it are put in order, so
+    no task holds or sorts a group. few_keys: the keys are few by construction, so their brackets are broadcast."""
+    rows = df.filter(is_finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v"))
+    edges = [max(0.0, min(1.0, q + d)) for q in at for d in (-4 / accuracy, 4 / accuracy)]
+    span = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    few = F.col("_n") <= accuracy  # all of them are the bracket
+
+    def bracket(i: int, q: float) -> Column:
+        low, high = F.get("_e", F.lit(2 * i)), F.get("_e", F.lit(2 * i + 1))
+        place = (F.col("_n") - 1) * q
+        low = F.when(few | F.lit(edges[2 * i] <= 0), F.col("_lo")).otherwise(low)
+        high = F.when(few | F.lit(edges[2 * i + 1] >= 1), F.col("_hi")).otherwise(high)
+        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"), (F.floor(place) + 1).alias("first"), (F.ceil(place) + 1).alias("second"), (place - F.floor(place)).alias("part"))
+
+    span = span.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(keys)), F.array(*(bracket(i, q) for i, q in enumerate(at))).alias("_b"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(keys)]
+    both = rows.join(F.broadcast(span) if few_keys or not keys else span, same or None)
+    inside = F.filter("_b", lambda x: F.col("_v") <= x["high"])
+    counted = both.select(*keys, "_v", F.explode(inside).alias("b")).groupBy(*keys, "b", F.greatest("_v", "b.low").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "b.i").orderBy("_v"))
+    of = lambda rank: F.min(F.when(F.col("_upto") >= F.col(f"b.{rank}"), F.col("_v")))
+    # the value above the place may lie beyond the bracket only if the sketch is off by its bound: the bracket is eight times as wide
+    found = counted.withColumn("_upto", upto).groupBy(*keys, "b").agg(of("first").alias("x"), of("second").alias("y"))
+    value_at = F.when(F.col("b.part") == 0, F.col("x")).otherwise(F.col("x") * (1 - F.col("b.part")) + F.col("y") * F.col("b.part"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("b.i", value_at.alias("q")))), lambda s: s["q"]).alias("quantiles"))
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each column: count of finite values, missing, mean, std, min, quartiles (exact), max."""
     rows = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))))
     v = F.when(is_finite(F.col("v")), F.col("v"))
-    quarter = lambda q: F.percentile(v, q)
-    return rows.groupBy("name").agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), quarter(0.25).alias("q25"), quarter(0.5).alias("median"), quarter(0.75).alias("q75"), F.max(v).alias("most"))
+    out = rows.groupBy("name").agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+    quarters = exact_quantiles(rows, ["name"], "v", [0.25, 0.5, 0.75], few_keys=True)
+    q = [F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))]
+    return out.join(quarters, "name", "left").select("name", "n", "missing", "mean", "std", "least", *q, "most")
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str, enough: int = 5) -> DataFrame:
     """count, least, most, mean, median (exact) of a value by keys, and status: insufficient below `enough` values, no_data without any."""
     v = F.when(is_finite(F.col(value)), F.col(value))
-    out = df.groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.median(v).alias("median"))
-    return out.withColumn("status", F.when(F.col("count") == 0, "no_data").when(F.col("count") < enough, "insufficient").otherwise("ok"))
+    out = df.groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"))
+    middle = exact_quantiles(df, keys, value, [0.5]).select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(keys)), F.get("quantiles", F.lit(0)).alias("median"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(keys)]
+    out = out.join(middle, same, "left") if keys else out.join(F.broadcast(middle), how="left")  # one row
+    status = F.when(F.col("count") == 0, "no_data").when(F.col("count") < enough, "insufficient").otherwise("ok")
+    return out.select(*keys, "count", "least", "most", "mean", "median", status.alias("status"))
 
 
 def composition(df: DataFrame, parts: Sequence[str], total: float = 100.0, tolerance: float = 1.0) -> DataFrame:
