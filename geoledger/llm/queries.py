@@ -25,7 +25,7 @@ def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path)
 
 

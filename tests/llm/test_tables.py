@@ -7,6 +7,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoledger.llm import ann_search, exact_search, mixing, warc
 from geoledger.storage import scratch
@@ -84,7 +85,7 @@ PAGES = "page_id long, url string, html string, key string, payload string, firs
 def warc_rows(spark, rows, partitions=3, chunk_bytes=1000):
     path = scratch(spark, "warc")
     df = spark.createDataFrame(rows, PAGES)
-    warc.write_archives(warc.plan_records(df.repartition(partitions) if partitions else df), path, chunk_bytes=chunk_bytes)
+    warc.write_archives(df.repartition(partitions) if partitions else df, path, chunk_bytes=chunk_bytes)
     return path, warc.read_archives(spark, path).collect()
 
 
@@ -155,6 +156,21 @@ def test_warc_tells_a_changed_chunk(spark):
         warc.read_archives(spark, other).collect()
 
 
+def test_warc_long_payloads_are_chunks_everywhere(spark):
+    """40 MB, twice: decided on rows without payloads, and no row after the scan is larger than a chunk."""
+    path = scratch(spark, "long")
+    text = F.repeat(F.lit("0123456789abcdef" * 64), 40 << 10)
+    df = spark.range(2).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), text.alias("html"), F.lit(1).alias("identity"))
+    assert "html" not in warc.plan_records(df).columns and not {"payload", "piece"} & set(warc.plan_records(df).columns)
+    assert warc.chunks(df).agg(F.max(F.octet_length("piece")), F.count("*")).first() == (1 << 20, 80)
+    warc.write_archives(df, path)
+    found = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    digest = base64.b32encode(hashlib.sha1(b"0123456789abcdef" * 64 * (40 << 10)).digest()).decode()
+    assert all(r.payload_digest == digest and r.payload_bytes == 40 << 20 for r in found.values())
+    assert (found[0].record_type, found[0].n_chunks, found[1].record_type, found[1].refers_to, found[1].n_chunks) == ("response", 40, "revisit", 0, 1)
+    assert spark.read.parquet(path).agg(F.count("*")).first()[0] == 41
+
+
 def test_warc_least_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = {r.page_id: r.record_type for r in warc.plan_records(df, least_bytes=3).collect()}
