@@ -155,8 +155,12 @@ def graph(text: str, base: list[Span], taught: list[Span] = ()) -> Graph:
         run = _run(said, joined, i)
         if run and len(run[0]) >= SHARED_DIGITS:
             first, before, based = runs.get(run[0][-SHARED_DIGITS:], (run, None, None))
-            skip += sorted({e for other in (first, before, based) if other and other is not run for e in _ties(other, run, other is based or cover is not None)})
-            runs[run[0][-SHARED_DIGITS:]] = (first, run, run if cover is not None else based)
+            latest = before or first
+            if latest is not run and latest[1][0][0] >= run[1][-1][0]:  # digits that repeat on and on: the same mention yet, not another
+                runs[run[0][-SHARED_DIGITS:]] = (first, before, run if cover is not None else based)
+            else:
+                skip += sorted({e for other in (first, before, based) if other and other is not run for e in _ties(other, run, other is based or cover is not None)})
+                runs[run[0][-SHARED_DIGITS:]] = (first, run, run if cover is not None else based)
         for key in {core if len(core) >= 6 else "", f"@{mailbox}" if mailbox else ""} - {""}:
             if key in seen:
                 skip += [(j, i) for j in {seen[key][0], seen[key][1]}]
@@ -325,29 +329,30 @@ def marginals(graphs: list[Graph], field: Field, rounds: int = 12, damping: floa
     known = fixed >= 0
     unary[known] = -30.0
     unary[known, fixed[known]] = 30.0
-    ends, tables = [], []
+    ends, kinds = [], []
     for name, table in (("chain", field.chain), ("skip", field.skip)):
+        start = len(ends)
         for g, o in zip(graphs, offsets, strict=False):
             ends += [(a + o, b + o) for a, b in getattr(g, name)]
-        tables += [table] * (len(ends) - len(tables))
-    log_sum = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
-    norm = lambda v: v - log_sum(v, 1)[:, None]
+        # some edges at a time: what they need besides their messages is much more than those
+        kinds += [(slice(i, min(i + EDGES, len(ends))), np.exp(table)) for i in range(start, len(ends), EDGES)]
+    log_sum = lambda v: (m := v.max(1, keepdims=True)) + np.log(np.exp(v - m).sum(1, keepdims=True))
+    norm = lambda v: v - log_sum(v)
     if not ends:
         return np.exp(norm(unary))
-    e, t = np.array(ends), np.array([k is field.skip for k in tables]).astype(int)
-    both = np.stack([field.chain, field.skip])
+    e = np.array(ends)
     forth, back = np.zeros((len(e), N)), np.zeros((len(e), N))  # to the right end, to the left end
 
     def beliefs() -> np.ndarray:
         return unary + np.stack([np.bincount(e[:, 1], forth[:, k], len(unary)) + np.bincount(e[:, 0], back[:, k], len(unary)) for k in range(N)], 1)
 
+    def passed(v: np.ndarray, table: np.ndarray) -> np.ndarray:
+        return norm(np.log(np.exp(v - v.max(1, keepdims=True)) @ table))
+
     for _ in range(rounds):
         b, change = beliefs(), 0.0
-        for i in range(0, len(e), EDGES):  # some edges at a time: a table for each is much more than its messages
-            part = slice(i, i + EDGES)
-            left, right, table = e[part, 0], e[part, 1], both[t[part]]
-            new_forth = norm(log_sum((b[left] - back[part])[:, :, None] + table, 1))
-            new_back = norm(log_sum((b[right] - forth[part])[:, None, :] + table, 2))
+        for part, table in kinds:
+            new_forth, new_back = passed(b[e[part, 0]] - back[part], table), passed(b[e[part, 1]] - forth[part], table.T)
             change = max(change, np.abs(new_forth - forth[part]).max(), np.abs(new_back - back[part]).max())
             forth[part], back[part] = damping * forth[part] + (1 - damping) * new_forth, damping * back[part] + (1 - damping) * new_back
         if change < 1e-4:
@@ -418,16 +423,18 @@ def _spans(batch_texts: list[str], field: Field) -> Iterator[tuple[list[Span], l
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans and n_spans (of all kinds, added ones too) for each document."""
+    """doc_id, counts of base spans by kind, base_sha256, spans (of the base kinds, added ones too), n_spans and secrets (spans of keys) for each document."""
     field = field or learn(docs)
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long, secrets string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_spans(texts(batch), field))
             columns = [pa.array([sum(s[2] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
             sums = pa.array([hashlib.sha256(said(b).encode()).hexdigest() for b, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, sums, pa.array([said(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], [c.split()[0] for c in schema.split(", ")])
+            spans, secrets = ([[x for x in s if (x[2] in KINDS) == base] for _, s in found] for base in (True, False))
+            told = (pa.array([said(s) for s in spans], pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array([said(s) for s in secrets], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, sums, *told], [c.split()[0] for c in schema.split(", ")])
 
     return docs.select("doc_id", empty_text()).mapInArrow(run, schema)
 
