@@ -28,6 +28,12 @@ def test_a_file_with_two_notices_keeps_both(spark, first, second, label):
         assert label in r.labels.split(",") and {"mit", "gpl-3.0"} & set(r.labels.split(","))
 
 
+def test_a_notice_whose_first_word_is_cut_off_and_whole_texts(spark):
+    whole = max((t for t, _ in licenses.TEMPLATES["unlicense"]), key=len)
+    rows = licenses.scan(documents(spark, ["under cc by nc 4 0", "x under cc by nc 4 0", whole, f"Copyright 2020 x. {whole}", "under cc by 4"])).collect()
+    assert [r.labels for r in rows] == ["cc-by,cc-by-nc-4.0", "cc-by,cc-by-nc-4.0", "unlicense", "unlicense", "cc-by"] and rows[0].matches[0].word == 0 and rows[2].score == 1.0
+
+
 def test_templates_against_every_place():
     rng, index = random.Random(3), licenses.Index(licenses.BASE, licenses.TEMPLATES)
     index.weigh({w: rng.random() for w in index.vocabulary})
@@ -39,11 +45,11 @@ def test_templates_against_every_place():
             text += [rng.choice(words) for _ in range(rng.randint(0, 9))] + notice[: rng.randint(len(notice) * 2 // 3, len(notice))]
         best = {}
         for label, template, keys in index.templates:
-            for at in range(len(text)):
-                share = sum(a == b for a, b in zip(text[at:], template, strict=False)) / len(template)
+            for at in range(-len(template), len(text)):
+                share = sum(text[at + i] == w for i, w in enumerate(template) if 0 <= at + i < len(text)) / len(template)
                 if share >= licenses.SHARE and all(any(at + q + d >= 0 and tuple(text[at + q + d : at + q + d + len(key)]) == key for d in range(-licenses.SLACK, licenses.SLACK + 1)) for q, key in keys):
                     best[label] = max(best.get(label, (0.0, 0)), (share, -at))
-        assert index.scan(text)[2] == [(label, -at, share) for label, (share, at) in sorted(best.items())]
+        assert index.scan(text)[2] == [(label, max(0, -at), share) for label, (share, at) in sorted(best.items())]
         every += len(best)
     assert every > 150
 
