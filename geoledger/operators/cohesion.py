@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import in_range
 from ..storage import written
 from . import ledger, ml, scoring, splits, summaries
+from .graph import location_groups
 
 SCENARIOS = ("predicted_n", "measured_n")
 
@@ -27,6 +28,7 @@ class Settings:
     least_holes: int = 5
     trees: int = 50
     seed: str = "cohesion"
+    tolerance: float = 0.01
 
     @property
     def uses_n(self) -> bool:
@@ -45,6 +47,20 @@ def prepare(records: DataFrame, identity: Sequence[str], least_depth: float | No
     return told.filter("exclusion_reason IS NULL").drop("exclusion_reason").withColumn("sample_elevation", F.col("surface_z") - F.col("depth")), told.filter("exclusion_reason IS NOT NULL")
 
 
+def located(data: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """data with boring_id as the smallest of the names that its place has (holes linked by steps within the tolerance are one), the own name in source_boring_id: so a place
+    never stands in training and in the test under two names."""
+    groups = location_groups(data.filter("x IS NOT NULL AND y IS NOT NULL"), tolerance).select(F.col("boring_id").alias("_own"), "location")
+    own = data.withColumn("source_boring_id", F.col("boring_id")).join(groups, F.col("boring_id") == F.col("_own"), "left")
+    return own.withColumn("boring_id", F.coalesce("location", "boring_id")).drop("_own", "location")
+
+
+def _splittable(rows: DataFrame) -> bool:
+    """Whether each split has two rows."""
+    sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}  # three rows at most
+    return min(sizes.get(s, 0) for s in ("train", "validation", "test")) >= 2
+
+
 def _with_n(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.drop("n_value").join(estimates.select("record_id", F.col("n_predicted").alias("n_value")), "record_id")
 
@@ -54,8 +70,7 @@ def evaluate(rows: DataFrame, settings: Settings, scenario: str = "predicted_n",
     for measured_n. Estimated blow counts come from models that saw neither validation nor test places; predictions are never negative."""
     if scenario not in SCENARIOS:
         raise ValueError(f"scenario must be one of {SCENARIOS}")
-    sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}  # three rows at most
-    if min(sizes.get(s, 0) for s in ("train", "validation", "test")) < 2:
+    if not _splittable(rows):
         raise ValueError("each split needs two rows")
     if settings.uses_n and scenario == "measured_n":
         rows = rows.withColumn("n_value", F.col("n_measured"))
@@ -72,11 +87,18 @@ def evaluate(rows: DataFrame, settings: Settings, scenario: str = "predicted_n",
 
 def compare(data: DataFrame, settings: Settings, spt: DataFrame | None = None) -> tuple[DataFrame, int]:
     """(scenario, status, reason, n and the metrics; the tree count of predicted_n). Both scenarios meet the same split of the rows with a measured count,
-    if those come from enough holes; otherwise all rows are evaluated with estimates and measured_n is unavailable."""
+    if those come from enough holes and each split has two of them; otherwise all rows are evaluated with estimates and measured_n is unavailable. Holes of one place are one."""
+    data = written(located(data, settings.tolerance), "cohesion-located")
     common = data.filter("n_measured IS NOT NULL") if settings.uses_n else data
     holes = common.agg(F.count_distinct("boring_id")).first()[0] if settings.uses_n else 0
     both = settings.uses_n and holes >= settings.least_holes
-    rows = written(splits.group_split(common if both else data, "boring_id", settings.seed), "cohesion-split")
+    why = f"measured counts of {holes} holes; {settings.least_holes} are needed"
+    if both:
+        rows = written(splits.group_split(common, "boring_id", settings.seed), "cohesion-split")
+        if not _splittable(rows):
+            both, why = False, f"measured counts of {holes} holes leave a split with fewer than two rows"
+    if not both:
+        rows = written(splits.group_split(data, "boring_id", settings.seed), "cohesion-split")
     parts, trees = [], 0
     for scenario in SCENARIOS if both else SCENARIOS[:1]:
         _, metrics, n = evaluate(rows, settings, scenario, spt)
@@ -86,14 +108,14 @@ def compare(data: DataFrame, settings: Settings, spt: DataFrame | None = None) -
     for p in parts[1:]:
         out = out.unionByName(p)
     if settings.uses_n and not both:
-        why = f"measured counts of {holes} holes; {settings.least_holes} are needed"
         gone = data.sparkSession.createDataFrame([("measured_n", "unavailable", why)], "scenario string, status string, reason string")
         out = out.unionByName(gone, allowMissingColumns=True)
     return out, trees
 
 
 def final(data: DataFrame, settings: Settings, trees: int, spt: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
-    """(the model of all rows with the chosen tree count, its metrics on them). Blow counts are cross-fitted: none comes from a row's own hole."""
+    """(the model of all rows with the chosen tree count, its metrics on them). Blow counts are cross-fitted: none comes from a row's own place."""
+    data = written(located(data, settings.tolerance), "cohesion-located")
     if settings.uses_n:
         plain = data.drop("n_value")
         data = written(_with_n(plain, ml.crossfit_n(plain, spt, settings.estimator, settings.folds)), "cohesion-final")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import projection as P
-from ..operators import graph, grid, joins, ledger, matching, ml, overlay, raster, reshape, scoring, spatial, splits, summaries
+from ..operators import boosting, chunk_cache, graph, grid, joins, ledger, matching, ml, overlay, raster, reshape, scoring, spatial, splits, summaries
 from . import ground
 from .ground import DEM_SQL, HOLE, PARCEL, SAMPLE, SPT, ZONE, table
 
@@ -678,3 +678,24 @@ def plane_coordinates(spark, d):
 @query(f"WITH {HOLE}, e AS (SELECT min(x) AS x0, min(y) AS y0 FROM hole), c AS (SELECT CAST(round((y - y0) / 10) AS BIGINT) AS row, CAST(round((x - x0) / 10) AS BIGINT) AS col, max(surface_z) AS value FROM hole, e GROUP BY ALL) SELECT row, col, value FROM c")
 def display_raster(spark, d):
     return grid.display_raster(ground.holes(spark, d), 10.0, "surface_z")[0]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS row_id FROM lineitem")
+def dense_row_ids(spark, d):
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return ledger.dense_ids(table(spark, d, "lineitem").select(columns), columns)
+
+
+@query(None)
+def missing_boosted_out_of_fold(spark, d):
+    """Places are missing where the blow count is high: trees with a direction for missing values, holes held out."""
+    rows = clean(spark, d).withColumn("x", F.when(F.col("n_value") < 40, F.col("x"))).select("hole_id", "measurement_no", "depth", "x", "y", "n_value")
+    out = boosting.out_of_fold(rows, "n_value", ["depth", "x", "y"], [], "hole_id", 2, "gaps", trees=4, depth=3, rate=0.5, bins=32)
+    return out.select("hole_id", "measurement_no", "fold", r6("prediction").alias("prediction"))
+
+
+@query(None)
+def chunk_digests(spark, d):
+    """What a run compares with its manifest: a digest of each customer segment's orders."""
+    o = table(spark, d, "orders").withColumn("chunk", F.pmod("o_custkey", F.lit(64)).cast("string"))
+    return chunk_cache.chunk_digests(o, "chunk")

@@ -21,15 +21,26 @@ ALIASES = {
     "longitude": ("longitude", "経度"),
     "surface_z": ("surfacez", "孔口標高", "坑口標高", "標高"),
     "sample_id": ("sampleid", "試料id", "試料番号", "試料no", "試料ナンバー"),
+    "sample_no": ("sampleno", "試料連番", "試料番号連番"),
     "depth_top": ("depthtop", "試料採取開始深度", "開始深度", "上端深度"),
     "depth_bottom": ("depthbottom", "試料採取終了深度", "終了深度", "下端深度"),
     "depth_mid": ("depthmid", "試料代表深度", "代表深度", "試料深度"),
-    "soil_name": ("soilname", "土質名", "土質分類名", "地盤材料の分類名", "分類", "土質"),
     "elevation": ("samplez", "試料採取標高", "試料標高"),
+    "soil_name": ("soilname", "土質名", "土質分類名", "地盤材料の分類名", "分類", "土質"),
     "soil_code": ("soilcode", "地盤材料の分類記号", "分類記号", "土質コード"),
+    "test_type": ("testtype", "試験名", "試験種別", "強度試験", "試験条件", "せん断試験条件", "せん断試験条件コード"),
+    "test_condition_code": ("せん断試験条件コード", "試験条件コード"),
+    "test_condition": ("せん断試験条件", "試験条件"),
+    "wet_density": ("湿潤密度",),
+    "dry_density": ("乾燥密度",),
     "particle_density": ("土粒子密度",),
+    "water_content": ("自然含水比",),
     "void_ratio": ("間隙比",),
     "degree_of_saturation": ("飽和度",),
+    "gravel_fraction": ("礫分",),
+    "sand_fraction": ("砂分",),
+    "silt_fraction": ("シルト分",),
+    "clay_fraction": ("粘土分",),
     "maximum_particle_size": ("最大粒径",),
     "d10": ("D10",),
     "d50": ("D50",),
@@ -37,14 +48,6 @@ ALIASES = {
     "liquid_limit": ("液性限界",),
     "plastic_limit": ("塑性限界",),
     "plasticity_index": ("塑性指数",),
-    "test_condition_code": ("せん断試験条件コード", "試験条件コード"),
-    "wet_density": ("湿潤密度",),
-    "dry_density": ("乾燥密度",),
-    "water_content": ("自然含水比",),
-    "gravel_fraction": ("礫分",),
-    "sand_fraction": ("砂分",),
-    "silt_fraction": ("シルト分",),
-    "clay_fraction": ("粘土分",),
     "c_total": ("ctotal", "全応力粘着力", "粘着力全応力", "c全応力", "c"),
     "shear_strength_total": ("せん断強さ_全応力", "全応力せん断強さ"),
     "phi_total": ("phitotal", "全応力内部摩擦角", "内部摩擦角全応力", "φ全応力", "phi全応力", "せん断抵抗角_全応力"),
@@ -53,7 +56,7 @@ ALIASES = {
     "phi_effective": ("phieffective", "有効応力内部摩擦角", "内部摩擦角有効応力", "φ有効応力", "phi有効応力", "せん断抵抗角_有効応力"),
     "qu": ("qu", "一軸圧縮強さ", "一軸圧縮強度", "圧縮強さ"),
 }
-TEXTS = ("boring_id", "sample_id", "soil_name", "soil_code", "test_condition_code")
+TEXTS = ("boring_id", "sample_id", "sample_no", "soil_name", "soil_code", "test_type", "test_condition_code", "test_condition")
 RECORD, CONDITION = "試験情報", "せん断試験条件"
 HINTS = ("sample", "試料", "strength", "強度", "triaxial", "三軸", "shear", "せん断")
 _MARKS = re.compile(C.NAME_MARKS)
@@ -88,8 +91,6 @@ def _decoded(content: bytes) -> str:
 #: Fields of which one makes a test a record of strength, and those that make any element one.
 STRENGTH = ("c_total", "shear_strength_total", "phi_total", "c_effective", "shear_strength_effective", "phi_effective", "qu")
 NAMED = ("c_total", "phi_total", "c_effective", "phi_effective", "qu")
-# Other names under which a test's kind stands.
-TEST_KIND = ("testtype", "試験名", "試験種別", "強度試験", "試験条件", "せん断試験条件", "せん断試験条件コード")
 DENSITY = ("wet_density", "dry_density")
 
 
@@ -102,7 +103,7 @@ def parse(content: bytes, strength: bool = False) -> list[tuple[dict[str, str],
     innermost elements whose names hint at a test and that hold strength content; else the root (strength: if it holds any)."""
     root = ET.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", _decoded(content)))
     tests = [e for e in root.iter() if _key(e.tag) == _key(RECORD)]
-    kinds = {_key(k) for k in TEST_KIND}
+    kinds = {_key(k) for k in ALIASES["test_type"]}
     records = tests if not strength else [e for e in tests if _holds(f := _fields(e), STRENGTH) or kinds & f.keys()]
 
     def content_of(e: ET.Element) -> bool:

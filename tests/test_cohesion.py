@@ -49,6 +49,21 @@ def test_comparison_with_measured_counts(spark, monkeypatch):
         cohesion.evaluate(data.withColumn("split", F.lit("train")), set_up, "measured_n")
 
 
+def test_a_split_without_rows_falls_back_to_estimates(spark, monkeypatch):
+    """Five holes with measured counts, one row each: some split has one row, and all rows are evaluated with estimates."""
+    data = samples(spark)
+    five = data.withColumn("n_measured", F.when(F.col("record_id").isin("1", "2", "3", "4", "5"), F.lit(5.0)))
+    monkeypatch.setattr(ml, "evaluation_n", lambda train, heldout, *_: tuple(d.withColumn("n_predicted", F.col("depth") * 2) for d in (train, heldout)))
+    got = {r.scenario: r for r in cohesion.compare(five, cohesion.Settings(["depth", "n_value"], estimator=ml.Estimator(("depth",)), folds=2, trees=2))[0].collect()}
+    assert got["measured_n"].status == "unavailable" and "fewer than two rows" in got["measured_n"].reason and got["predicted_n"].status == "evaluated"
+
+
+def test_a_place_has_one_name(spark):
+    rows = [("b", 1.0, 1.0), ("a", 1.0, 1.004), ("c", 9.0, 9.0), ("d", None, 1.0), ("b", 1.0, 1.0)]
+    got = cohesion.located(spark.createDataFrame(rows, "boring_id string, x double, y double")).collect()
+    assert sorted((r.source_boring_id, r.boring_id) for r in got) == [("a", "a"), ("b", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+
+
 def test_one_member_has_no_deviation(spark):
     r = summaries.ensemble(spark.createDataFrame([(3.0,)], "a double"), ["a"], F.lit(1.0), 0.0, 50.0).first()
     assert (r.prediction, r.deviation, r.lower, r.upper) == (3.0, None, 2.0, 4.0)

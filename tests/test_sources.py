@@ -138,3 +138,9 @@ def test_scoring_resumes(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(source)
     score()
     assert sorted(r.twice for r in spark.read.parquet(sink).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_sample_numbers_and_conditions_are_fields(spark, tmp_path):
+    (tmp_path / "a.xml").write_bytes('<?xml version="1.0" encoding="Shift_JIS"?><r><試験情報><試料番号>T-1</試料番号><試料連番>007</試料連番><せん断試験条件>CUb</せん断試験条件><せん断試験条件コード>3</せん断試験条件コード><湿潤密度>1.9</湿潤密度></試験情報></r>'.encode("shift_jis"))
+    r = xml_records.read_records(spark, str(tmp_path)).first()
+    assert (r.sample_id, r.sample_no, r.test_condition, r.test_condition_code, r.wet_density) == ("T-1", "007", "CUb", "3", 1.9) and r.test_type
