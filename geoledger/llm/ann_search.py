@@ -7,13 +7,13 @@ probable part; a query goes to its most probable parts, as many as hold PROBED o
 rows there are reranked by the exact inner product. The first LEAST_PARTS parts give a query its k-th score so far; from the
 others only rows that reach it leave their task.
 
-Parts grow in number with the table, about PART_ROWS rows each: up to MOST_PARTS by one classifier; beyond that each part is cut
+Parts grow in number with the table, about PART_ROWS rows each (a small table has up to FEW_PARTS of FEW_ROWS rows or more): up to MOST_PARTS by one classifier; beyond that each part is cut
 again by a classifier of its own, learned in a task from a bounded sample of the part, and probabilities multiply (MOST_PARTS squared parts
 at most; then parts grow). A part's rows lie in blocks of at most about BLOCK rows, so that a part with a third of all rows is many
 rows of the join.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another length
-than most; ties go to the smaller vec_id; a repeated vec_id is a candidate for each of its rows and a query once for each
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of each length are searched
+among their own; ties go to the smaller vec_id; a repeated vec_id is a candidate for each of its rows and a query once for each
 distinct vector; an empty table gives no rows; a query that finds fewer than k rows in its parts is searched against all
 parts, so that it returns k, or all candidates.
 """
@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import best_rows, finite_vectors
+from .vectors import best_rows, each_length, finite_vectors
 
 SAMPLE, GRAPH_DEGREE, PART_ROWS, MOST_PARTS = 6000, 16, 1024, 64
 PROBED, LEAST_PARTS, QUERY_BLOCK, BLOCK = 0.98, 4, 512, 4096
+FEW_PARTS, FEW_ROWS = 8, 64
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -154,7 +155,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def learn(vectors: DataFrame, n: int, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> Router:
     """The router of a table of n vectors. On the driver: a sample of SAMPLE vectors, and at most most_parts classifiers of a part's parts."""
     sample = vectors.select("vector", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).collect()
-    wanted = max(1, n // part_rows)
+    wanted = max(1, n // part_rows, min(FEW_PARTS, n // FEW_ROWS))
     top = Router(learned_parts(np.array([r.vector for r in sample]).reshape(len(sample), -1 if sample else 0), min(most_parts, wanted)))
     if wanted <= most_parts or top.parts == 1:
         return top
@@ -206,7 +207,11 @@ def rerank(qi, q, floor, ci, c, k: int) -> Iterator[tuple[int, int, float]]:
 def search(embeddings: DataFrame, every: int, k: int, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS, probed: float = PROBED) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, whose vec_id is divisible by `every`, against all other rows."""
     vectors = finite_vectors(embeddings).filter(F.exists("vector", lambda x: x != 0))
-    vectors = written(vectors, "ann-vectors")
+    return each_length(written(vectors, "ann-vectors"), lambda own: _searched(own, every, k, part_rows, most_parts, probed))
+
+
+def _searched(vectors: DataFrame, every: int, k: int, part_rows: int, most_parts: int, probed: float) -> DataFrame:
+    """search() among vectors of one length."""
     n = vectors.count()
     router = learn(vectors, n, part_rows, most_parts)
 

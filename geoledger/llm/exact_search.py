@@ -8,7 +8,7 @@ Results don't depend on the pivots, which are far-apart vectors of a small sampl
 
 Tiles come from a join on the candidates' block number; queries are repeated once for each block of candidates, BLOCK rows, and
 nothing is broadcast but the pivots. Vectors are integers floor(scale * x). Defined results: vectors that are null or hold null or
-non-finite components take no part, nor do vectors of another length than most; ties go to the smaller vec_id; a repeated
+non-finite components take no part; vectors of each length are searched among their own; ties go to the smaller vec_id; a repeated
 vec_id is a candidate for each of its rows and a query once for each distinct vector; an empty table gives no rows.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import best_rows, finite_vectors
+from .vectors import best_rows, each_length, finite_vectors
 
 PIVOTS, PIVOT_SAMPLE, QUERY_BLOCK, BLOCK, LEAST_BLOCK, STEP = 24, 512, 1024, 8192, 1024, 256
 #: The score that a query begins with.
@@ -96,11 +96,16 @@ def search(embeddings: DataFrame, every: int, k: int, scale: int = 256) -> DataF
     """query_id, rank, vec_id, score for the queries, whose vec_id is divisible by `every`, against all other rows."""
     vectors = finite_vectors(embeddings).select("vec_id", F.transform("vector", lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("vector"))
     vectors = written(vectors.withColumn("floor", F.lit(LOWEST)), "exact-vectors")
+    return each_length(vectors, lambda own: _searched(own, every, k))
+
+
+def _searched(vectors: DataFrame, every: int, k: int) -> DataFrame:
+    """search() among vectors (vec_id, vector, floor) of one length."""
     is_query = F.col("vec_id") % every == 0
     n, n_query = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     pivots = choose_pivots(vectors)
     # small tables are cut finer, so that all task slots have tiles
-    blocks = max(1, math.ceil(n / BLOCK), min(embeddings.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK))
+    blocks = max(1, math.ceil(n / BLOCK), min(vectors.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK))
     query_blocks = max(1, math.ceil(n_query / QUERY_BLOCK))
     rows = written(pivot_blocks(vectors, pivots, blocks), "exact-blocks")
     width = pivots.shape[1]

@@ -79,6 +79,16 @@ def test_search_small_tables(spark, search):
     assert [r.vec_id for r in search(three).orderBy("rank").collect()] == [2, 1]
 
 
+@pytest.mark.parametrize(("search", "k", "every"), [(exact_search.search, 5, 50), (ann_search.search, 20, 20)])
+def test_each_length_is_searched_among_its_own(spark, search, k, every):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(1, 9, 3 if i % 2 else 5).astype(float).tolist(), 0) for i in range(200)] + [(100_000, [1.0], 0)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), every, k).collect()
+    length = {i: len(v) for i, v, _ in rows}
+    assert all(length[r.query_id] == length[r.vec_id] for r in got)
+    assert {q: sum(r.query_id == q for r in got) for q in range(0, 200, every)} == dict.fromkeys(range(0, 200, every), k)
+
+
 PAGES = "page_id long, url string, html string, key string, payload string, first_id long"
 
 
