@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +54,11 @@ def bom_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     marked.write.mode(mode).option("header", "true").option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
-def dated(path: str, day: datetime.date | None = None) -> str:
-    """The folder of a day's run below path; readers of path see run_date as a column."""
-    return f"{path.rstrip('/')}/run_date={(day or datetime.datetime.now(datetime.UTC).date()).isoformat()}"
+def dated(path: str, day: datetime.date | None = None, run: str | None = None) -> str:
+    """The folder of a run below path, by its day and its time (or a name given), so that an earlier run of the same day stays; readers of path see run_date and run as
+    columns."""
+    now = datetime.datetime.now(datetime.UTC)
+    return f"{path.rstrip('/')}/run_date={(day or now.date()).isoformat()}/run={run or f'{now:%H%M%S.%f}Z'}"
 
 
 def log(spark: SparkSession, path: str, event: str, details: dict[str, object]) -> None:
@@ -65,9 +68,20 @@ def log(spark: SparkSession, path: str, event: str, details: dict[str, object])
 
 
 def summary(spark: SparkSession, path: str, settings: dict[str, object], results: dict[str, object]) -> None:
-    """One JSON record of a run: the settings it had and what came out; an earlier record at the path is replaced."""
+    """One JSON record of a run: the settings it had and what came out. The record is written beside the path and then takes the earlier one's place in one
+    step, so readers find the old one or the new one whole, and a crash loses neither."""
     text = lambda d: {k: str(v) for k, v in d.items()}
-    spark.createDataFrame([(text(settings), text(results))], "settings map<string,string>, results map<string,string>").coalesce(1).write.mode("overwrite").json(path)
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text(settings), text(results))], "settings map<string,string>, results map<string,string>").coalesce(1).write.json(beside)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    files = hadoop.Path(path).getFileSystem(conf)
+    files.mkdirs(hadoop.Path(path))
+    part = next(f.getPath() for f in files.listStatus(hadoop.Path(beside)) if f.getPath().getName().startswith("part-"))
+    rename = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(part, hadoop.Path(f"{path.rstrip('/')}/record.json"), overwrite)
+    files.delete(hadoop.Path(beside), True)
 
 
 def markdown(df: DataFrame, order: list[str], digits: int = 4, most: int = 1000) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geoledger import settings
 from geoledger.functions import projection as P
-from geoledger.operators import grid
+from geoledger.operators import grid, reshape
 from geoledger.sources import sinks, tables
 
 
@@ -84,7 +84,10 @@ def test_marked_csv_log_and_summary(spark, tmp_path):
     for n in (1, 2):
         sinks.summary(spark, f"{tmp_path}/summary", {"trees": n}, {"status": "complete"})
     assert [r.settings["trees"] for r in spark.read.schema("settings map<string,string>").json(f"{tmp_path}/summary").collect()] == ["2"]
-    df.write.parquet(sinks.dated(f"{tmp_path}/runs", datetime.date(2026, 1, 2)))
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("summary")] == ["summary"]
+    for _ in range(2):
+        df.write.parquet(sinks.dated(f"{tmp_path}/runs", datetime.date(2026, 1, 2)))
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 4  # both runs of the day
     assert {str(r.run_date) for r in spark.read.parquet(f"{tmp_path}/runs").collect()} == {"2026-01-02"}
 
 
@@ -121,3 +124,13 @@ def test_property_sheets(spark, tmp_path):
     (tmp_path / "other.csv").write_text("a\nb\nc\nother,value\n", encoding="utf-8")
     with pytest.raises(ValueError):
         tables.property_sheets(spark, str(tmp_path))
+
+
+def test_training_rows(spark):
+    rows = [(1, 1.0, 10.0), (2, 5.0, 50.0), (3, 5.0, 80.0), (4, 20.0, 3.0), (5, None, 3.0), (6, 2.0, None), (7, 2.0, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, depth double, n_value double")
+    kept, left = reshape.training_rows(df, settings.Training(1.0, 10.0))
+    assert sorted((r.id, r.n_value) for r in kept.collect()) == [(1, 10.0), (2, 50.0), (3, 50.0)]
+    assert {r.id: r.exclusion_reason for r in left.collect()} == {4: "outside_training_depth_range", 5: "outside_training_depth_range", 6: "missing_target", 7: "missing_target"}
+    kept, left = reshape.training_rows(df, settings.Training(include_capped=False))
+    assert sorted(r.id for r in kept.collect()) == [1, 4] and {r.id for r in left.filter("exclusion_reason = 'capped_target'").collect()} == {2, 3}
