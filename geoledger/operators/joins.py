@@ -14,7 +14,7 @@ from .ledger import assert_unique
 
 
 def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", validate: str = "many_to_one", flag: str | None = "matched") -> DataFrame:
-    """A join whose "one" sides are checked first. flag: whether a left row found its match."""
+    """A join whose "one" sides are checked first, by jobs that run while the plan is built. flag: whether a left row found its match."""
     if validate.split("_to_")[0] == "one":
         assert_unique(left, on, "left side")
     if validate.split("_to_")[1] == "one":
@@ -29,18 +29,6 @@ def exclude_heldout(candidates: DataFrame, heldout: DataFrame, key: str = "borin
     return candidates.join(heldout.select(key), key, "left_anti").join(heldout.select("x", "y"), ["x", "y"], "left_anti")
 
 
-def near_pairs(a: DataFrame, b: DataFrame, tolerance: float, a_key: str, b_key: str) -> DataFrame:
-    """(a_key, b_key, distance) within the tolerance. Points meet by square cells of that size: b's rows are repeated for
-    the nine cells around theirs, so the join is by equal keys."""
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    left = a.select(F.col(a_key), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    right = b.select(F.col(b_key), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("bcx"), cell("y").alias("bcy"))
-    right = right.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select(b_key, "bx", "by", (F.col("bcx") + F.col("dx")).alias("cx"), (F.col("bcy") + F.col("dy")).alias("cy"))
-    distance = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return left.join(right, ["cx", "cy"]).withColumn("distance", distance).filter(F.col("distance") <= tolerance).select(a_key, b_key, "distance")
-
-
 def exclude_near(rows: DataFrame, heldout: DataFrame, tolerance: float, key: str = "boring_id") -> DataFrame:
     """Drops every row of a hole within the tolerance of a held-out point; an empty held-out table drops nothing. Whether one is there is all that's asked."""
     near = pyramid.nearest_within(rows.select(key, "x", "y"), heldout.select(F.lit(0).alias("_held"), "x", "y"), tolerance, key, "_held")
