@@ -182,9 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> M
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("label_id"), "quality")
     n = usable.count()
     parts = 1 << 20
-    sample = usable.filter(F.pmod(F.xxhash64("label_id"), F.lit(parts)) < int(parts * min(1.0, 0.95 * most_rows / max(n, 1)) + 1)).limit(most_rows)
+    sample = usable.filter(F.pmod(F.xxhash64("label_id"), F.lit(parts)) < int(parts * min(1.0, 0.95 * most_rows / max(n, 1)) + 1))
+    sample = sample.orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(most_rows)  # the same rows after a lost task
     found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # at most most_rows rows of two numbers
-    rows = _with_features(found, "quality").limit(2 * most_rows).collect()
+    rows = _with_features(found, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(2 * most_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], float))
 
