@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
+from ..storage import written
 from .joins import nearest_reference
 
 
@@ -16,6 +17,7 @@ def match_intervals(samples: DataFrame, measurements: DataFrame, xy_tolerance: f
     else over those at its depth, ends widened by depth_tolerance. Outcomes: no_matching_hole, ambiguous_hole,
     invalid_sample_interval, interval_mean, exact_depth_mean, no_spt_in_interval. The nearest measurement is diagnostic only."""
     holes = measurements.groupBy("hole_id").agg(F.min_by(F.struct("x", "y"), "measurement_no").alias("p")).select("hole_id", "p.*")
+    holes = written(holes, "interval-holes")  # the search reads them several times
     near = nearest_reference(samples.select("sample_id", "x", "y"), holes, xy_tolerance, "sample_id", "hole_id")
     near = near.select("sample_id", F.col("n_within").alias("candidate_holes"), F.col("nearest_hole_id").alias("hole_id"))
     given = samples.join(near, "sample_id", "left").withColumn("candidate_holes", F.coalesce("candidate_holes", F.lit(0)))

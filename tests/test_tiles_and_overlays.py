@@ -219,8 +219,9 @@ def scattered(seed, n):
 
 
 @pytest.mark.parametrize("itself", [True, False])
-@pytest.mark.parametrize("pairs", [4, 1 << 18])
-def test_counts_and_nearest_against_all_pairs(spark, itself, pairs):
+@pytest.mark.parametrize(("pairs", "single"), [(4, 0), (4, 3), (1 << 18, 64), (1 << 18, 0)])
+def test_counts_and_nearest_against_all_pairs(spark, monkeypatch, itself, pairs, single):
+    monkeypatch.setattr(pyramid, "SINGLE", single)
     points, refs, radius = scattered(1, 60), scattered(2, 80), 100.0
     p = spark.createDataFrame([*points, (7, None, 1.0), (8, float("nan"), 1.0)], "k long, x double, y double")
     r = spark.createDataFrame([*refs, (9, None, None), (None, 500.0, 500.0)], "ref long, x double, y double")
