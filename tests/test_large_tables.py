@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from geoledger.operators import joins
+from geoledger.operators import joins, ml, overlay, spatial, summaries
 
 
 def _plan(df):
@@ -18,3 +20,13 @@ def test_no_table_of_places_is_broadcast(spark):
         assert "BroadcastHashJoin" not in _plan(joins.pyramid.nearest_within(holes, refs, 150.0, "hole_id", "ref_id", itself))
         assert "BroadcastHashJoin" not in _plan(joins.pyramid.radius_counts(holes, refs, 150.0, "hole_id", "ref_id", itself))
         assert "BroadcastHashJoin" not in _plan(joins.nearest_reference(holes, refs, 150.0, "hole_id", "ref_id", itself))
+
+
+def test_shapes_that_a_cell_cannot_tell_apart_are_one(spark, monkeypatch):
+    """Rectangles with a common corner lie on one another there at any depth."""
+    monkeypatch.setattr(overlay, "DEEPEST", 2)
+    rings = [(i, "A", [[(0.0, 0.0), (100.0 + i, 0.0), (100.0 + i, 100.0 + i), (0.0, 100.0 + i)]]) for i in range(40)]
+    shapes = spark.createDataFrame(rings, "poly_id long, code string, rings array<array<struct<x:double,y:double>>>")
+    cells = overlay.refined(spatial.cell_index(shapes, 50.0), 50.0, 16)
+    assert [(r.level, r.corner, len(r.edges)) for r in cells.filter("cx = 0 AND cy = 0").collect()] == [(0, True, 2)]
+    assert overlay.union_areas(shapes, 50.0, most=16).first().area == 139.0**2
