@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
+from ..storage import written
 
 
 def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
@@ -55,7 +56,9 @@ def mean_std(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Data
 
 
 def baseline_deltas(df: DataFrame, keys: Sequence[str], condition: str, baseline: str, metric: str) -> DataFrame:
-    """Per key and condition: the metric less the baseline condition's, and whether it is better (larger)."""
+    """Per key and condition: the metric less the baseline condition's, and whether it is better (larger). df is computed once: sums of doubles that are made
+    anew differ in their last digits, and the baseline would be better than itself."""
+    df = written(df.select(*keys, condition, metric), "deltas")
     base = df.filter(F.col(condition) == baseline).select(*keys, F.col(metric).alias("_base"))
     return df.join(base, list(keys)).select(*keys, condition, (F.col(metric) - F.col("_base")).alias("delta"), (F.col(metric) > F.col("_base")).alias("improved"))
 

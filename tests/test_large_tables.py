@@ -30,3 +30,10 @@ def test_shapes_that_a_cell_cannot_tell_apart_are_one(spark, monkeypatch):
     cells = overlay.refined(spatial.cell_index(shapes, 50.0), 50.0, 16)
     assert [(r.level, r.corner, len(r.edges)) for r in cells.filter("cx = 0 AND cy = 0").collect()] == [(0, True, 2)]
     assert overlay.union_areas(shapes, 50.0, most=16).first().area == 139.0**2
+
+
+def test_a_baseline_is_never_better_than_itself(spark):
+    drawn = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    df = spark.range(40).select((F.col("id") % 20).alias("seed"), F.when(F.col("id") < 20, "N").otherwise("A").alias("condition"), drawn("id").alias("v"))
+    rows = summaries.baseline_deltas(df, ["seed"], "condition", "N", "v").filter("condition = 'N'").collect()
+    assert len(rows) == 20 and all(r.delta == 0.0 and not r.improved for r in rows)
