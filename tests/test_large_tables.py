@@ -37,3 +37,16 @@ def test_a_baseline_is_never_better_than_itself(spark):
     df = spark.range(40).select((F.col("id") % 20).alias("seed"), F.when(F.col("id") < 20, "N").otherwise("A").alias("condition"), drawn("id").alias("v"))
     rows = summaries.baseline_deltas(df, ["seed"], "condition", "N", "v").filter("condition = 'N'").collect()
     assert len(rows) == 20 and all(r.delta == 0.0 and not r.improved for r in rows)
+
+
+def test_models_are_compared_on_folds_computed_once(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(i):
+        passed.add(1)
+        return float(i % 7)
+
+    dealt = spark.range(60).select(F.col("id").alias("record_id"), (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 5).cast("double").alias("depth"), counted("id").alias("n_value"))
+    assert ml.compare_models(dealt, "n_value", ["depth"], [], {"linear": ml.fitted_with(ml.linear("n_value"))}, "record_id", 2)[1].count() == 3
+    assert passed.value == 60
