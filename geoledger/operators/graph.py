@@ -33,17 +33,26 @@ def location_groups(points: DataFrame, tolerance: float, key: str = "boring_id")
     """key, location (the smallest key of its component): keys whose median places are linked by steps within the tolerance.
 
     In a cell of tolerance / sqrt(2) all places are within the tolerance of each other, so they are one node, the cell, however many they
-    are; neighbouring cells need one link, found among their distinct places."""
+    are. Neighbouring cells need one link: it is sought among one place for each of 64 parts of a cell; only cells without a link among those compare all
+    their places, as far as these lie within the tolerance of the other cell."""
     sites = points.groupBy(key).agg(F.median("x").alias("x"), F.median("y").alias("y"))
     side = tolerance / 2**0.5
-    cell = lambda c: F.floor(F.col(c) / side)
-    placed = written(sites.withColumns({"cx": cell("x"), "cy": cell("y")}), "places")
+    cell = lambda c, parts=1: F.floor(F.col(c) / (side / parts))
+    # places pack well in files: their size there tells nothing of a broadcast's
+    placed = written(sites.withColumns({"cx": cell("x"), "cy": cell("y")}), "places").hint("merge")
     cells = placed.groupBy("cx", "cy").agg(F.min(key).alias("least"))
-    places = placed.join(cells, ["cx", "cy"]).select("cx", "cy", "least", "x", "y").distinct()
+    places = written(placed.join(cells, ["cx", "cy"]).select("cx", "cy", "least", "x", "y").distinct(), "places").hint("merge")
     # half of the cells around, so that each two cells meet once
-    steps = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)))
-    other = places.select("cx", "cy", F.col("least").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(steps).alias("s")).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "a", "ax", "ay")
+    steps = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0))))
+    beside = lambda df, *names: df.select("cx", "cy", F.col("least").alias("a"), *names, steps.alias("s")).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "a", *names)
     near = F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2) <= tolerance
-    links = other.join(places, ["cx", "cy"]).filter(near).select("a", F.col("least").alias("b")).distinct()
-    found = components(links).select(F.col("node").alias("least"), "component")
+    links = lambda other, those: other.join(those, ["cx", "cy"]).filter(near).select("a", F.col("least").alias("b")).distinct()
+    own = lambda df: df.withColumns({"ax": F.col("x"), "ay": F.col("y")})
+    some = places.groupBy("cx", "cy", "least", cell("x", 8), cell("y", 8)).agg(F.min(F.struct("x", "y")).alias("p")).select("cx", "cy", "least", "p.x", "p.y")
+    first = written(links(beside(own(some), "ax", "ay"), some), "links")
+    unlinked = beside(cells).join(cells.withColumnRenamed("least", "b"), ["cx", "cy"]).join(first, ["a", "b"], "left_anti")
+    gap = lambda c, at: F.greatest(F.col(at) * side - F.col(c), F.col(c) - (F.col(at) + 1) * side, F.lit(0.0))
+    within = gap("ax", "cx") ** 2 + gap("ay", "cy") ** 2 <= tolerance**2 * (1 + 1e-6)
+    rest = links(beside(own(places), "ax", "ay").filter(within).join(unlinked.select("a", "cx", "cy"), ["a", "cx", "cy"]), places)
+    found = components(first.unionByName(rest)).select(F.col("node").alias("least"), "component")
     return placed.join(cells, ["cx", "cy"]).join(found, "least", "left").select(key, F.coalesce("component", "least").alias("location"))

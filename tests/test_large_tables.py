@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from geoledger.operators import joins, ml, overlay, spatial, summaries
+from geoledger.operators import graph, joins, ml, overlay, spatial, summaries
 
 
 def _plan(df):
@@ -50,3 +50,17 @@ def test_models_are_compared_on_folds_computed_once(spark):
     dealt = spark.range(60).select(F.col("id").alias("record_id"), (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 5).cast("double").alias("depth"), counted("id").alias("n_value"))
     assert ml.compare_models(dealt, "n_value", ["depth"], [], {"linear": ml.fitted_with(ml.linear("n_value"))}, "record_id", 2)[1].count() == 3
     assert passed.value == 60
+
+
+def test_location_groups_against_all_pairs(spark):
+    """Crowded cells whose picked places link nothing, single places, and a gap a little over the tolerance."""
+    random.seed(5)
+    at = [(random.uniform(0, 150), random.uniform(0, 150)) for _ in range(250)] + [(300 + random.uniform(0, 1), random.uniform(0, 6)) for _ in range(60)] + [(310.5 + random.uniform(0, 1), random.uniform(0, 6)) for _ in range(60)]
+    part = list(range(len(at)))
+    for i, (x, y) in enumerate(at):
+        for j in range(i):
+            if ((x - at[j][0]) ** 2 + (y - at[j][1]) ** 2) ** 0.5 <= 10.0 and part[i] != part[j]:
+                lo, hi = sorted((part[i], part[j]))
+                part = [lo if p == hi else p for p in part]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(at)], "boring_id long, x double, y double")
+    assert {r.boring_id: r.location for r in graph.location_groups(points, 10.0).collect()} == dict(enumerate(part))
