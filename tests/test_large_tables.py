@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -64,3 +65,26 @@ def test_location_groups_against_all_pairs(spark):
                 part = [lo if p == hi else p for p in part]
     points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(at)], "boring_id long, x double, y double")
     assert {r.boring_id: r.location for r in graph.location_groups(points, 10.0).collect()} == dict(enumerate(part))
+
+
+def test_nearest_deals_a_point_to_few_tiles(spark, monkeypatch):
+    """Crowds, sparse places and an edge between them; in sum each point meets hardly more than its own tile."""
+    pyramid = joins.pyramid
+    random.seed(8)
+    at = [(random.uniform(0, 2000), random.uniform(0, 2000)) for _ in range(1500)] + [(5000 + random.uniform(0, 3), random.uniform(0, 3)) for _ in range(500)] + [(5000 + random.uniform(-90, 90), random.uniform(-90, 90)) for _ in range(30)]
+    refs = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(at)], "h long, x double, y double")
+    points = [(i, x + random.uniform(-0.1, 0.1), y + random.uniform(-9, 9) / (1 if i < 1500 else 90)) for i, (x, y) in enumerate(at)]
+    monkeypatch.setattr(pyramid, "TILE", 64)
+    searched, dealt = pyramid._nearest_in_tiles, []
+
+    def counted(rows, *more):
+        dealt.append(rows.count())
+        return searched(rows, *more)
+
+    monkeypatch.setattr(pyramid, "_nearest_in_tiles", counted)
+    found = {r.q: (r.nearest_distance, r.nearest_h) for r in pyramid.nearest_within(spark.createDataFrame(points, "q long, x double, y double"), refs, 100.0, "q", "h").collect()}
+    least = {i: min((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), h) for h, (a, b) in enumerate(at)) for i, x, y in points}
+    assert found == {i: v for i, v in least.items() if v[0] <= 100.0}
+    assert dealt[0] == len(at) and dealt[1] < len(at)
+    monkeypatch.setattr(pyramid, "CROWD", 20)  # a tile's points in several tasks
+    assert found == {r.q: (r.nearest_distance, r.nearest_h) for r in pyramid.nearest_within(spark.createDataFrame(points, "q long, x double, y double"), refs, 100.0, "q", "h").collect()}
