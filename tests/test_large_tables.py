@@ -88,3 +88,17 @@ def test_nearest_deals_a_point_to_few_tiles(spark, monkeypatch):
     assert dealt[0] == len(at) and dealt[1] < len(at)
     monkeypatch.setattr(pyramid, "CROWD", 20)  # a tile's points in several tasks
     assert found == {r.q: (r.nearest_distance, r.nearest_h) for r in pyramid.nearest_within(spark.createDataFrame(points, "q long, x double, y double"), refs, 100.0, "q", "h").collect()}
+
+
+def test_a_model_reads_its_rows_in_bounded_parts(spark, monkeypatch):
+    parts = []
+
+    class Counted(ml.LinearRegression):
+        def _fit(self, dataset):
+            parts.extend(dataset.rdd.glom().map(len).collect())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(ml, "ROWS", 20, raising=False)
+    df = spark.range(0, 600, 1, 2).select((F.col("id") % 7).cast("double").alias("depth"), (F.col("id") % 5).cast("double").alias("n_value"))
+    ml.fit(df, ["depth"], [], Counted(labelCol="n_value", featuresCol="features", solver="normal"))
+    assert sum(parts) == 600 and max(parts) <= 25
