@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import projection as P
 from ..operators import boosting, chunk_cache, graph, grid, joins, ledger, matching, ml, overlay, raster, reshape, scoring, spatial, splits, summaries
+from ..storage import written
 from . import ground
 from .ground import DEM_SQL, HOLE, PARCEL, SAMPLE, SPT, ZONE, table
 
@@ -645,7 +646,7 @@ def model_comparison(spark, d):
 @query(None)
 def grouped_importance(spark, d):
     """Contribution of each configured feature in percent."""
-    rows = _training(spark, d).withColumn("zone", F.floor((F.col("x") - ground.XMIN) / 13000).cast("string"))
+    rows = written(_training(spark, d).withColumn("zone", F.floor((F.col("x") - ground.XMIN) / 13000).cast("string")), "importance-rows")
     numeric, categorical = ["depth", "elevation", "x"], ["zone"]
     fitted = ml.fit(rows, numeric, categorical, ml.boosted("n_value", trees=5, depth=3))
     return ml.importance(fitted, fitted.transform(ml.feature_frame(rows, numeric, categorical)), numeric, categorical, top=30)
