@@ -2,7 +2,7 @@
 
 Every vector keeps its distances to PIVOTS pivots. By the triangle inequality |d(q,p) - d(x,p)| is a lower bound of d(q,x) for
 each pivot p; the largest of them bounds the inner product (|q|^2 + |x|^2 - d^2) / 2 from above. Inside a tile of a block of
-queries and a block of candidates, each query takes its candidates in the order of their bounds, some at a time, until the
+queries and a block of candidates, each query takes its candidates in the order of their bounds, some at a time (twice as many each time), until the
 next bound is below its k-th best score. A first pass over one block of candidates gives every query a score to begin with.
 Results don't depend on the pivots, which are far-apart vectors of a small sample.
 
@@ -77,10 +77,10 @@ def tile_best(qi, q, qd, ci, c, cd, k: int, floor: np.ndarray) -> Iterator[tuple
         open_ = np.flatnonzero(bound >= floor[a])
         order = open_[np.argsort(-bound[open_], kind="stable")]
         scores, ids, kth = np.empty(0, np.int64), np.empty(0, np.int64), floor[a]
-        for at in range(0, len(order), STEP):
-            part = order[at : at + STEP]
-            if bound[part[0]] < kth:
-                break
+        at, step = 0, STEP
+        while at < len(order) and bound[order[at]] >= kth:
+            part = order[at : at + step]
+            at, step = at + step, 2 * step
             part = part[ci[part] != qi[a]]
             scores, ids = np.concatenate([scores, products(q[a : a + 1], c[part])[0]]), np.concatenate([ids, ci[part]])
             best = np.lexsort((ids, -scores))[:k]
@@ -118,10 +118,11 @@ def _searched(vectors: DataFrame, every: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
 
     def best(queries: DataFrame, to: int) -> DataFrame:
-        """The best of the first `to` blocks of candidates: each block of queries meets each of them."""
+        """The best of the first `to` blocks of candidates: each block of queries meets each of them. Spark doesn't count the rows that an explode adds, and
+        would send the queries' blocks to the driver as a broadcast: once for each block of candidates."""
         each = pivot_blocks(queries, pivots, query_blocks)
         each = each.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "distances", "floors")), F.explode(F.sequence(F.lit(0), F.lit(to - 1))).alias("block"))
-        return best_rows(each.join(rows, "block").mapInArrow(run, "query_id long, vec_id long, score long"), k)
+        return best_rows(each.hint("merge").join(rows, "block").mapInArrow(run, "query_id long, vec_id long, score long"), k)
 
     queries = vectors.filter(is_query).distinct()
     if blocks > 1:

@@ -40,6 +40,14 @@ def test_exact_search(spark, monkeypatch):
         assert [(i, s) for _, i, s in sorted(rows)] == best(z @ z[q], ids, q, 5)
 
 
+def test_exploded_blocks_of_queries_are_not_broadcast(spark, monkeypatch):
+    """However small Spark holds them, they are as many rows as tiles."""
+    monkeypatch.setattr(exact_search, "BLOCK", 30)
+    found = exact_search.search(vectors(spark)[0], 50, 5)
+    assert found.count() == 90 and found.collect()
+    assert "BroadcastHashJoin [block" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_elimination_skips_candidates_but_no_result():
     rng = np.random.default_rng(2)
     c = np.floor(100 * np.concatenate([rng.normal(size=(400, 4)), 30 + rng.normal(size=(400, 4))]))
