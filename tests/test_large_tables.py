@@ -102,3 +102,31 @@ def test_a_model_reads_its_rows_in_bounded_parts(spark, monkeypatch):
     df = spark.range(0, 600, 1, 2).select((F.col("id") % 7).cast("double").alias("depth"), (F.col("id") % 5).cast("double").alias("n_value"))
     ml.fit(df, ["depth"], [], Counted(labelCol="n_value", featuresCol="features", solver="normal"))
     assert sum(parts) == 600 and max(parts) <= 25
+
+
+def test_even_places_are_written_and_dealt_few_times(spark, monkeypatch):
+    """A dense grid: the nearest is found without writing the rows anew for each level, and the references of a count go to few tiles."""
+    pyramid = joins.pyramid
+    n = 80
+    h = spark.range(n * n).select(F.col("id").alias("k"), (F.col("id") % n * 10).cast("double").alias("x"), (F.floor(F.col("id") / n) * 10).cast("double").alias("y"))
+    refs = h.select(F.col("k").alias("ref"), "x", "y").localCheckpoint()
+    monkeypatch.setattr(pyramid, "TILE", 64)
+    wrote, write, dealt = [], pyramid.written, []
+
+    def counted(df, name):
+        out = write(df, name)
+        wrote.append(name)
+        return out
+
+    monkeypatch.setattr(pyramid, "written", counted)
+    found = pyramid.nearest_within(h, refs, 400.0, "k", "ref", itself=False)
+    assert found.filter("nearest_distance = 10").count() == n * n
+    assert "nearest-told" not in wrote
+    told = pyramid._counted
+    monkeypatch.setattr(pyramid, "_counted", lambda df, radius: dealt.append(df.count()) or told(df, radius))
+    monkeypatch.setattr(pyramid, "CROWD", 1 << 11)
+    places = [(i * 10.0, j * 10.0) for i in range(n) for j in range(n)]
+    some = {(x, y): sum(math.sqrt((x - a) * (x - a) + (y - b) * (y - b)) <= 400.0 for a, b in places) for x, y in places[:: 97]}
+    got = {(r.x, r.y): r.n_within for r in pyramid.place_counts(h, refs, 400.0).collect()}
+    assert len(got) == n * n and {p: got[p] for p in some} == some
+    assert sum(dealt) < 8 * n * n
