@@ -130,3 +130,15 @@ def test_even_places_are_written_and_dealt_few_times(spark, monkeypatch):
     got = {(r.x, r.y): r.n_within for r in pyramid.place_counts(h, refs, 400.0).collect()}
     assert len(got) == n * n and {p: got[p] for p in some} == some
     assert sum(dealt) < 8 * n * n
+
+
+def test_places_far_apart_are_not_dealt_to_the_cells_around(spark, monkeypatch):
+    """Of 300 lonely cells and two pairs, one two steps apart over a corner of blocks, only the pairs meet; measurements are made once for an estimate."""
+    at = [(i * 100, i * 37) for i in range(1, 301)] + [(-3, -1), (-1, -3), (2, 900), (3, 900)]
+    cells = spark.createDataFrame(at, "cx long, cy long")
+    assert sorted(map(tuple, graph.neighboured(cells).collect())) == [(-3, -1), (-1, -3), (2, 900), (3, 900)]
+    lonely = spark.range(200).select(F.col("id").alias("boring_id"), (F.col("id") * 10).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    rows, write = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rows.setdefault(name, []).append(df.count()) or write(df, name))
+    assert graph.location_groups(lonely, 0.01).filter("location = boring_id").count() == 200
+    assert rows["cells"] == [0] and rows["places"] == [200, 200, 0, 0]
